@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import simhash
+from braidwork.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_sharding": sharding.op7_sharding,
+    "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+}

@@ -83,3 +83,12 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", extra: Column | None = None) -> DataFrame:
+    """An equi-join on keys in which null equals null; the keys of the right side are dropped."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = extra if extra is not None else F.lit(True)
+    for k in keys:
+        on = left[k].eqNullSafe(other[f"_{k}"]) & on
+    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])

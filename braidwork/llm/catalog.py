@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import exact_dedup, mixing, sharding, simhash
+from braidwork.llm import decontamination, exact_dedup, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1_quality,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": quality.op1_quality,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }

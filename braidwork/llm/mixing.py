@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     the splitting tree gives every shard an exact number of units of each source, and a source's permuted units go to
     the shards in that order. `place` orders a shard's documents: a shuffle within the shard.
 
-    Returns doc_id, size, source_size, target, taken, shards (of each copy) and place. Null texts have size 0; sizes
+    Returns doc_id, source, turn (the permutation's hash), size, source_size, target, taken, shards (of each copy) and place. Null texts have size 0; sizes
     of 0 are taken 0 times. A null source is a source of its own, the last one. Ties and repeated rows are
     permuted by all their columns and share a place in the permutation only if they are alike, where either order
     gives the same rows. An empty table gives no rows; other columns are ignored.
@@ -153,9 +153,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("begin") - F.col("ahead")))
     taken = (F.col("passes") * F.col("size") + last).cast("long")
     return final.select(
-        "doc_id", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, F.slice("to", 1, (F.col("passes") + F.when(last > 0, 1).otherwise(0)).cast("int"))).alias("shards"), F.xxhash64(F.lit(seed + 1), "turn", "doc_id").alias("place")
+        "doc_id", "source", "turn", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, F.slice("to", 1, (F.col("passes") + F.when(last > 0, 1).otherwise(0)).cast("int"))).alias("shards"), F.xxhash64(F.lit(seed + 1), "turn", "doc_id").alias("place")
     )
 
 
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = 16, seed: int = 7) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, each as often as mixed() takes its document.
+
+    The document in which a source's target falls counts as taken if at least half of it is. Texts of size 0 stay once.
+    Rows are matched by doc_id and a hash of source and text; rows alike in these are taken alike, and each row counts
+    once for itself.
+    """
+    plan = mixed(docs, weights, most, shards, seed)
+    keyed = docs.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")).withColumn("_source", F.col("source").cast("string"))
+    times = plan.groupBy("doc_id", "source", "turn").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)).alias("copies"))
+    times = stored(times.select(F.col("source").alias("_source"), F.col("turn").alias("_turn"), F.col("doc_id").alias("_id"), "rows", "copies"), "times")
+    joined = null_safe(keyed.withColumn("_id", F.col("doc_id").cast("long")), times, ["_id", "_turn", "_source"])
+    # rows alike share their copies: floor(copies / rows) each
+    return joined.withColumn("_n", F.explode(F.expr("sequence(1, greatest(1, cast(round(copies / rows) as int)))"))).where("copies > 0").select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).drop("source", "turn")

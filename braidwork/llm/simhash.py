@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.common import bytes_of, components, partitions_for, stored, table
 
@@ -193,5 +195,84 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
     return grouped(prints, budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The near-duplicate stage: words of a shingle, similarity of shingle sets, partial fingerprints of a text, shingles in each.
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_PARTS, STAGE_EACH = 5, 0.8, 16, 4
+
+
+def partial_prints(texts: DataFrame, words: int = STAGE_WORDS, parts: int = STAGE_PARTS, each: int = STAGE_EACH) -> DataFrame:
+    """(key, fp) from texts (key, text): SimHash fingerprints of fixed small samples of each text's distinct shingles.
+
+    Shingles fall into `parts` classes by hash; a class's fingerprint is that of its `each` least shingles. A whole
+    text's fingerprint moves by many bits when a fifth of its shingles differ, but then several of the samples are the
+    same: with similarity 0.8, all 16 samples of 4 differ in 2 texts of 10,000.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, fps = [], []
+            for k, t in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), strict=True):
+                h = np.unique(hashed(shingles(t, words)))
+                kind = h % np.uint64(parts)
+                for p in np.unique(kind):
+                    keys.append(k)
+                    fps.append(majority(h[kind == p][:each]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=["key", "fp"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, fp long")
+
+
+@F.pandas_udf(T.DoubleType())
+def shingle_similarity(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Series:
+    """Jaccard similarity of two texts' sets of shingles; 1 for two without words."""
+    out = []
+    for x, y, n in zip(a, b, words, strict=True):
+        s, t = set(shingles(x.encode(), n)), set(shingles(y.encode(), n))
+        out.append(len(s & t) / len(s | t) if s or t else 1.0)
+    return pd.Series(out)
+
+
+def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, budget: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when of each group of near copies one document stays.
+
+    Equal texts are one node (by their 64-bit hash). Nodes that share a partial fingerprint are candidates of the least
+    of them, and the trie join links fingerprints within the budget; a candidate pair is a link if the texts' shingle
+    sets really are as similar as asked. Groups are the components of links; of each the row with the least doc_id
+    stays. Nodes, candidates and links stay tables: at most `parts` candidates a node, besides the trie's.
+
+    Null texts are one group with the empty ones. A null doc_id ranks last. Of rows with one doc_id and text one
+    stays. An empty table gives no rows.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
+    texts = keyed.select(F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = stored(partial_prints(texts, words).distinct(), "prints")
+    least = stored(prints.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "least")
+    shared = prints.join(least.where("first <> last").select("fp", "first"), "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    close = linked(least, budget)
+    near = close.join(least.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = stored(shared.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    held = stored(texts.join(ends, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    links = stored(both.where(shingle_similarity("ta", "tb", F.lit(words)) >= similarity).select("a", "b"), "links")
+    ids = stored(keyed.select("_key", "_id"), "ids")
+    sums = ids.groupBy("_key").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
+    if not links.isEmpty():
+        roots = components(links)
+        sums = sums.join(roots, sums["_key"] == roots.node, "left").select("_key", "id", "n", F.coalesce("root", "_key").alias("root"))
+        # of a group, the node with the least id stays; nodes without id rank last
+        rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_key").alias("key"))
+        stays = sums.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"))
+        sums = sums.join(stays, "_key")
+    stay = stored(sums.select("_key", F.col("id").alias("_least")), "stay")
+    many = ids.groupBy("_key", "_id").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_id")
+    kept = keyed.join(stay, "_key").where(F.col("_id").eqNullSafe(F.col("_least"))).drop("_least")
+    again = stored(many.join(stay, "_key").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_key", F.lit(True).alias("_again")), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    kept = kept.join(again, "_key", "left")
+    single = kept.where("_again is null").select(*docs.columns)
+    return single.union(kept.where("_again").dropDuplicates(["_key"]).select(*docs.columns))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))

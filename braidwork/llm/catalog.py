@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import decontamination, exact_dedup, mixing, quality, sharding, simhash
+from braidwork.llm import decontamination, exact_dedup, language, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_language": language.op2_language,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": quality.op1_quality,
+    "op2_language": language.op2_language,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import decontamination, exact_dedup, language, mixing, quality, sharding, simhash, toxicity
+from braidwork.llm import decontamination, exact_dedup, language, language_model, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_language": language.op2_language,
+    "op3_language_model": language_model.op3_language_model,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_sharding": sharding.op7_sharding,

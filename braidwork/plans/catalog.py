@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import market
+from braidwork.plans import market, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (market,):
+for module in (market, texts):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -30,11 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Lets Spark remove a query's shuffle files as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/braidwork/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation.
+
+    The shuffle files of the write are removed when it is over, since nothing reads them later.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/braidwork/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._braidwork_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that stored() wrote, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._braidwork_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -18,7 +18,9 @@ from braidwork.llm.common import fold_of, stored, table
 LEXICON, EXCEPTIONS, SUPPORT = 500, 500, 0.02
 #: Lengths of stems.
 STEMS = (5, 6, 7, 8)
-#: Rows of either label that the length-normalised score is calibrated on: the bound of the sample.
+#: Labelled rows of either label that the lexicon is learned from (the least by a hash of the id): the bound of the sample.
+LABELLED = 20_000
+#: Of these, rows of either label that the length-normalised score is calibrated on.
 SAMPLE = 4000
 #: Words that a task counts before it passes its counts on.
 COUNTED = 200_000
@@ -120,14 +122,20 @@ def _counted(rows: DataFrame, terms) -> DataFrame:  # noqa: ANN001
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Matcher, np.ndarray]:
-    """Lexicon and exceptions counted over all labelled rows (equal texts once), and the score's weights from a sample.
+    """Lexicon and exceptions counted over LABELLED labelled rows of either label (equal texts once), and the score's weights from `sample` of them.
 
     A word enters by its log odds between toxic and other texts. An exception is two neighbouring words, one of them of
     the lexicon, seen in five clean texts or more and in toxic ones hardly ever. The driver gets LEXICON + EXCEPTIONS
     terms and three numbers for each of 2 * sample rows.
     """
     label = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where("toxic in (0, 1)")
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(label, "doc_id")
+    label = stored(label.join(docs.where("text is not null").select(F.col("doc_id").cast("long")), "doc_id", "left_semi"), "labels")
+    sizes = {r["toxic"]: r["n"] for r in label.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    turn = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
+    some = label.where("toxic = 1").orderBy(*turn).limit(LABELLED).union(label.where("toxic = 0").orderBy(*turn).limit(LABELLED))
+    some = stored(some, "labels")  # 2 * LABELLED rows of two numbers, so it may be broadcast
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id")
     rows = stored(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "toxic"]), "labelled")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -151,7 +159,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[M
     order = [F.xxhash64("key", F.lit(3)), F.col("key")]
     picked = rows.where("toxic = 1").orderBy(*order).limit(sample).union(rows.where("toxic = 0").orderBy(*order).limit(sample))
     got = picked.select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").collect()
-    return matcher, calibrated(np.array([[r["a"], r["b"], r["c"], 1.0] for r in got]).reshape(-1, 4), np.array([r["toxic"] for r in got], float), n_pos / max(1, n_pos + n_neg))
+    return matcher, calibrated(np.array([[r["a"], r["b"], r["c"], 1.0] for r in got]).reshape(-1, 4), np.array([r["toxic"] for r in got], float), share)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, toxic: float) -> np.ndarray:

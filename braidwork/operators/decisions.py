@@ -56,7 +56,7 @@ def counter_checked(connections: DataFrame, checks: DataFrame, floor: int = 60)
     c = checks.where("refuted").select("connection_id", "adjusted", "reason")
     j = connections.join(c, "connection_id", "left")
     on = (F.col("business_relevance") >= floor) & F.col("adjusted").isNotNull()
-    return j.withColumn("business_relevance", F.when(on, F.col("adjusted")).otherwise(F.col("business_relevance"))).withColumn("counter_reason", F.when(on, F.col("reason"))).drop("adjusted", "reason")
+    return j.withColumns({"business_relevance": F.when(on, F.col("adjusted")).otherwise(F.col("business_relevance")), "counter_reason": F.when(on, F.col("reason"))}).drop("adjusted", "reason")
 
 
 def promoted(status: Column, understood: Column, farfetched: Column, wrong: Column, cfg: Feedback = FEEDBACK) -> Column:

@@ -26,7 +26,7 @@ def alias_hits(entities: DataFrame, aliases: DataFrame, cfg: Recall = RECALL) ->
     exact = e.join(a, e.norm == a.alias_norm).select(*ids)
     head = lambda c: F.left(c, F.lit(2))
     prefix = e.where(F.length("norm") >= 2).join(a.where(F.length("alias_norm") >= 2), head(e.norm) == head(a.alias_norm)).where(F.startswith("alias_norm", F.col("norm")) | F.startswith("norm", F.col("alias_norm"))).select(*ids)
-    letter = e.join(a, (F.left(e.name, F.lit(1)) == F.left(a.alias, F.lit(1))) & (F.length("name") > 0) & (F.length("alias") > 0)).select(*ids)
+    letter = e.join(a, (F.left(e["name"], F.lit(1)) == F.left(a["alias"], F.lit(1))) & (F.length("name") > 0) & (F.length("alias") > 0)).select(*ids)
     similar = similar_spellings(e.select(F.col("spelled").alias("x")).distinct(), a.select(F.col("alias_spelled").alias("y")).distinct(), cfg.similar_floor)
     near = e.join(similar, e.spelled == similar.x).join(a, F.col("y") == a.alias_spelled).select(*ids)
     pairs = exact.union(prefix).union(letter).union(near).distinct()

@@ -201,6 +201,20 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield close()
 
 
+def _may_agree(variants: list[tuple[int, bytes, bytes]], begin: int, end: int) -> list[int]:
+    """Those of an anchor's variants that can share a window with another: a window reaches half of its other bytes or more
+    to the left or to the right, so one of these halves must occur twice."""
+    half = (REACH - 1) // 2
+    lefts, rights = defaultdict(list), defaultdict(list)
+    for v in range(begin, end):
+        _, left, right = variants[v]
+        if len(left) >= half:
+            lefts[left[-half:]].append(v)
+        if len(right) >= half:
+            rights[right[:half]].append(v)
+    return sorted({v for side in (lefts, rights) for vs in side.values() if len(vs) > 1 for v in vs})
+
+
 def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -> list[np.ndarray]:
     """For each variant (anchor, bytes left, bytes right), and each of its windows, the least document that has the window.
 
@@ -211,16 +225,16 @@ def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -
     groups, begin = [], 0
     for i in range(1, len(variants) + 1):
         if i == len(variants) or variants[i][0] != variants[begin][0]:
-            if i - begin > 1:
-                groups.append((begin, i))
+            if i - begin > 1 and len(some := _may_agree(variants, begin, i)) > 1:
+                groups.append(some)
             begin = i
-    block: list[tuple[int, int]] = []
+    block: list[list[int]] = []
     size = 0
 
     def settle() -> None:
         s, where, owner, sign = [], [], [], 258
-        for begin, end in block:
-            for v in range(begin, end):
+        for group in block:
+            for v in group:
                 _, left, right = variants[v]
                 where.append(np.arange(len(s), len(s) + len(out[v])))
                 owner.append(np.full(len(out[v]), v))
@@ -246,13 +260,13 @@ def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -
         back = np.empty(len(starts), np.int64)
         back[k] = least
         at = 0
-        for begin, end in block:
-            for v in range(begin, end):
+        for group in block:
+            for v in group:
                 out[v] = back[at : at + len(out[v])]
                 at += len(out[v])
 
     for g in groups:
-        n = sum(len(variants[v][1]) + len(variants[v][2]) + 2 for v in range(*g))
+        n = sum(len(variants[v][1]) + len(variants[v][2]) + 2 for v in g)
         if block and size + n > SORTED:
             settle()
             block, size = [], 0
@@ -389,7 +403,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 if d < least.get(v, LAST + 1):
                     least[v] = d
             lists.append(vs)
-        order = sorted(least)
+        order = sorted(least, key=lambda v: v[0])
         got = dict(zip(order, least_documents(order, [least[v] for v in order]), strict=True))
         out = [_pack(np.concatenate([got[v] for v in vs])) for vs in lists]
         return pa.table([told.column("chunk"), told.column("key"), pa.array(out, pa.binary())], names=["chunk", "key", "a"])
@@ -401,23 +415,31 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         texts, ids = _texts(row), row["ids"]
         answers, windows = both.filter(pa.compute.is_null(both.column("key"))), both.filter(pa.compute.is_valid(both.column("key")))
         found, places = _variants(row, answers, buckets)
-        least = {}
-        for r in windows.to_pylist():
-            flat, at = np.frombuffer(_open(r["a"]), "<i8"), 0
-            for v in found[r["key"]]:
-                n = len(v[1]) + len(v[2]) - (REACH - 1) + 1
-                least[v] = flat[at : at + n]
-                at += n
-        marks: dict[int, list[np.ndarray]] = defaultdict(list)
-        for t, a, _, v in places:
-            hit = np.nonzero(least[v] < (LAST if ids[t] is None else ids[t]))[0]
-            if len(hit):
-                marks[t].append(hit + a)
+        got = {r["key"]: np.frombuffer(_open(r["a"]), "<i8") for r in windows.to_pylist()}
+        start, n, at, parts = {}, {}, 0, []
+        for part, mine in found.items():
+            parts.append(got[part])
+            for v in mine:
+                start[v], n[v] = at, len(v[1]) + len(v[2]) - (REACH - 1) + 1
+                at += n[v]
+        marks: dict[int, np.ndarray] = {}
+        if places:
+            flat = np.concatenate(parts)
+            t = np.array([p[0] for p in places])
+            size = np.array([n[p[3]] for p in places])
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            least = flat[np.repeat([start[p[3]] for p in places], size) + step]
+            own = np.array([LAST if d is None else d for d in ids])
+            hit = least < np.repeat(own[t], size)
+            where, of = (np.repeat([p[1] for p in places], size) + step)[hit], np.repeat(t, size)[hit]
+            order = np.argsort(of, kind="stable")
+            for group in np.split(order, np.nonzero(np.diff(of[order]))[0] + 1) if len(order) else []:
+                marks[int(of[group[0]])] = where[group]
         out = []
         for t, x in enumerate(texts):
             removed = spans = 0
             if t in marks:
-                p = np.concatenate(marks[t])
+                p = marks[t]
                 edge = np.zeros(len(x) + 1, np.int32)
                 np.add.at(edge, p, 1)
                 np.add.at(edge, p + WINDOW, -1)

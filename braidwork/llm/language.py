@@ -32,8 +32,8 @@ def presence(texts: list[str | None]) -> np.ndarray:
     flat = out.ravel()
     parts: list[tuple[int, str]] = []
     for i, t in enumerate(texts):
-        t = (t or "").lower()
-        parts += [(i, " " + t[a : a + CHARS + max(SPECTRUM) - 1] + " ") for a in range(0, len(t), CHARS)]
+        t = f" {(t or '').lower()} "
+        parts += [(i, t[a : a + CHARS + max(SPECTRUM) - 1]) for a in range(0, len(t), CHARS)]
     begin = 0
     while begin < len(parts):
         end, n = begin, 0

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import links, market, scores, texts
+from braidwork.plans import links, market, reads, scores, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (market, texts, links, scores):
+for module in (market, texts, links, scores, reads):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from braidwork.functions.scoring import connection_score, half_up, market_reaction
 from braidwork.functions.timeutil import fixed_window, market_status, quiet_hours, trade_date
 from braidwork.operators.matching import as_of, latest
 from braidwork.plans.views import daily_market, table, view, with_views
 
-BY_DAY = Window.partitionBy("company_id").orderBy("trade_date")
+def by_day() -> WindowSpec:
+    return Window.partitionBy("company_id").orderBy("trade_date")
 
 
 def with_ratio(days: DataFrame) -> DataFrame:
     """Volume against the mean of the 20 trading days before, to 2 digits; price change in percent."""
-    base, before = F.avg("volume").over(BY_DAY.rowsBetween(-20, -1)), F.lag("price").over(BY_DAY)
+    base, before = F.avg("volume").over(by_day().rowsBetween(-20, -1)), F.lag("price").over(by_day())
     return days.withColumn("volume_ratio", F.when(base > 0, half_up(F.col("volume") / base, 2))).withColumn("change_pct", F.when(before > 0, half_up((F.col("price") / before - 1) * 100, 2)))
 
 

@@ -22,7 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_quality": quality.op1_quality,
-    "op2_language": language.op2_language,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }

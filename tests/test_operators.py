@@ -161,6 +161,7 @@ def test_guards_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())
 
 
 def test_import_without_a_session():

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from braidwork.session import local_session
 
-    session = local_session("4", "tests", 4)
+    session = local_session(os.environ.get("TEST_CPUS", "4"), "tests", 4)
     yield session
     session.stop()
 

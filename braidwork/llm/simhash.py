@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from braidwork.llm.common import bytes_of, components, partitions_for, stored, table
+from braidwork.llm.common import bytes_of, components, discard, partitions_for, stored, table
 
 SEED = 42
 #: A subtree with more fingerprints than this is split among tasks by its next SPLIT_BITS bits.
@@ -199,26 +200,38 @@ def near_components(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 STAGE_WORDS, STAGE_SIMILARITY, STAGE_PARTS, STAGE_EACH = 5, 0.8, 16, 4
 
 
+#: Bits of a text's sketch: the parities of its shingles by hash.
+SKETCH = 256
+#: Members of a bucket that meet all others in the next round are ROUND_GROWTH times those that did before; once at most
+#: ALL_PAIRS pairs are left, all of them meet.
+ROUND_GROWTH, ALL_PAIRS = 8, 1 << 25
+#: Pairs of a bucket that one task makes.
+TASK_PAIRS = 1 << 20
+
+
 def partial_prints(texts: DataFrame, words: int = STAGE_WORDS, parts: int = STAGE_PARTS, each: int = STAGE_EACH) -> DataFrame:
-    """(key, fp) from texts (key, text): SimHash fingerprints of fixed small samples of each text's distinct shingles.
+    """(key, n, s0 to s3, fps) from texts (key, text): number, sketch and partial fingerprints of each text's distinct shingles.
 
-    Shingles fall into `parts` classes by hash; a class's fingerprint is that of its `each` least shingles. A whole
+    Shingles fall into `parts` classes by hash; a class's fingerprint is the SimHash of its `each` least shingles. A whole
     text's fingerprint moves by many bits when a fifth of its shingles differ, but then several of the samples are the
-    same: with similarity 0.8, all 16 samples of 4 differ in 2 texts of 10,000.
+    same: with similarity 0.8, all 16 samples of 4 differ in 2 texts of 10,000. Two texts' sketches differ in no more
+    bits than their sets do in shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, fps = [], []
-            for k, t in zip(b.column(0).to_pylist(), bytes_of(b.column(1)), strict=True):
+            sizes, sketches, prints = [], [], []
+            for t in bytes_of(b.column(1)):
                 h = np.unique(hashed(shingles(t, words)))
                 kind = h % np.uint64(parts)
-                for p in np.unique(kind):
-                    keys.append(k)
-                    fps.append(majority(h[kind == p][:each]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], names=["key", "fp"])
+                odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1
+                sizes.append(len(h))
+                sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
+                prints.append(np.unique(np.array([majority(h[kind == p][:each]) for p in np.unique(kind)], np.uint64)).view(np.int64))
+            s = np.array(sketches, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(s[:, i]) for i in range(4)), pa.array(prints, pa.list_(pa.int64()))], names=["key", "n", "s0", "s1", "s2", "s3", "fps"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, fp long")
+    return texts.select(F.col("key").cast("long"), "text").mapInArrow(run, "key long, n long, s0 long, s1 long, s2 long, s3 long, fps array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -231,33 +244,89 @@ def shingle_similarity(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Serie
     return pd.Series(out)
 
 
+def may_be_near(similarity: float) -> Column:
+    """Whether the sketches and sizes of a (a_n, a_s0 ...) and b allow a Jaccard similarity of `similarity`; never false for a pair that has it."""
+    most = (F.col("a_n") + F.col("b_n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)
+    bits = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
+    return (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (bits <= most)
+
+
+def near_links(texts: DataFrame, words: int, similarity: float, budget: int, all_pairs: int = ALL_PAIRS) -> DataFrame | None:
+    """(node, root) of the groups of near copies of texts (key, text), None without any.
+
+    Texts meet if they share a partial fingerprint or have two within the budget. Every pair that meets is compared,
+    unless its texts are in one group already: in rounds, the texts of a bucket that have most partners meet all
+    others first, and buckets that have become one group are done. Pairs whose sketches differ in more bits than so
+    similar texts can aren't compared word by word.
+    """
+    prints = stored(partial_prints(texts, words).distinct(), "prints")
+    flat = prints.select("key", F.explode("fps").alias("fp"))
+    sizes = stored(flat.groupBy("fp").agg(F.count("*").alias("members")), "sizes")
+    close = stored(linked(sizes, budget), "close")
+    shared = sizes.where("members > 1").select("fp")
+    meets = shared.select(F.col("fp").alias("fa"), F.col("fp").alias("fb")).union(close.select("a", "b"))
+    buckets = stored(sizes.join(shared.union(close.select("a")).union(close.select("b")).distinct(), "fp"), "buckets")
+    rows = stored(flat.join(buckets, "fp"), "shared")
+    hub = rows.groupBy("key").agg(F.sum("members").alias("hub"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("hub"), "key"))
+    live = rows.select("fp", "key").join(hub, "key").withColumn("place", place).drop("hub").join(prints.drop("fps"), "key")
+    live = stored(live.withColumn("root", F.col("key")), "members")
+    met, upto, roots = 0, 1, None
+    while True:
+        stats = live.groupBy("fp").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+        side = lambda x: stats.select(F.col("fp").alias(f"f{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("members", "low", "high")))  # noqa: E731, B023
+        mixed = F.least("low_a", "low_b") != F.greatest("high_a", "high_b")
+        left = F.col("members_a") > F.lit(met) + F.when(F.col("fa") == F.col("fb"), 1).otherwise(0)
+        meets = stored(meets.select("fa", "fb").join(side("a"), "fa").join(side("b"), "fb").where(mixed & left).select("fa", "fb", "members_a", "members_b"), "meets")
+        work = meets.agg(F.sum((F.col("members_a") - met) * F.col("members_b"))).first()[0]
+        if work is None:
+            return roots
+        if work <= all_pairs:
+            upto = 2**31 - 1
+        pairs_in = F.least(F.col("members_a"), F.lit(upto)) - met
+        salts = F.ceil(pairs_in * F.col("members_b") / F.lit(TASK_PAIRS)).cast("int")
+        blocks = stored(meets.withColumn("salts", F.least(salts, F.col("members_b").cast("int"))), "blocks")
+        a = live.select(*(F.col(c).alias(f"a_{c}") for c in live.columns)).where((F.col("a_place") > met) & (F.col("a_place") <= upto))
+        a = a.join(blocks.select("fa", "fb", "salts"), F.col("a_fp") == F.col("fa")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        dealt = blocks.select(F.col("fb").alias("b_fp"), F.col("salts").alias("b_salts")).distinct()
+        b = live.select(*(F.col(c).alias(f"b_{c}") for c in live.columns)).join(dealt, "b_fp").withColumn("b_salt", F.pmod(F.xxhash64("b_key"), F.col("b_salts")).cast("int"))
+        both = a.join(b, (F.col("fb") == F.col("b_fp")) & (F.col("salts") == F.col("b_salts")) & (F.col("salt") == F.col("b_salt")))
+        new = (F.col("a_root") != F.col("b_root")) & ((F.col("fa") != F.col("fb")) | (F.col("b_place") > F.col("a_place")))
+        pairs = stored(both.where(new & may_be_near(similarity)).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct(), "candidates")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        held = stored(texts.join(ends, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
+        compared = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        links = stored(compared.where(shingle_similarity("ta", "tb", F.lit(words)) >= similarity).select("a", "b"), "links")
+        discard(held)
+        found = not links.isEmpty()
+        if found:
+            roots = components(links if roots is None else links.union(roots.select("node", "root")))
+        if upto == 2**31 - 1:
+            return roots
+        if found:
+            now = live.drop("root").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            left_in = meets.select(F.col("fa").alias("fp")).union(meets.select(F.col("fb").alias("fp"))).distinct()
+            before, live = live, stored(now.join(left_in, "fp", "left_semi").select(*live.columns), "members")
+            discard(before)
+        met, upto = upto, upto * ROUND_GROWTH
+
+
 def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, budget: int = 2) -> DataFrame:
     """The rows of docs, with all their columns, that stay when of each group of near copies one document stays.
 
-    Equal texts are one node (by their 64-bit hash). Nodes that share a partial fingerprint are candidates of the least
-    of them, and the trie join links fingerprints within the budget; a candidate pair is a link if the texts' shingle
-    sets really are as similar as asked. Groups are the components of links; of each the row with the least doc_id
-    stays. Nodes, candidates and links stay tables: at most `parts` candidates a node, besides the trie's.
+    Equal texts are one node (by their 64-bit hash). All nodes that share a partial fingerprint, or have two within the
+    budget, are candidates of each other; a candidate pair is a link if the texts' shingle sets really are as similar
+    as asked. Groups are the components of links; of each the row with the least doc_id stays.
 
     Null texts are one group with the empty ones. A null doc_id ranks last. Of rows with one doc_id and text one
     stays. An empty table gives no rows.
     """
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
     texts = keyed.select(F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = stored(partial_prints(texts, words).distinct(), "prints")
-    least = stored(prints.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "least")
-    shared = prints.join(least.where("first <> last").select("fp", "first"), "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    close = linked(least, budget)
-    near = close.join(least.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = stored(shared.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    held = stored(texts.join(ends, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    links = stored(both.where(shingle_similarity("ta", "tb", F.lit(words)) >= similarity).select("a", "b"), "links")
+    roots = near_links(texts, words, similarity, budget)
     ids = stored(keyed.select("_key", "_id"), "ids")
     sums = ids.groupBy("_key").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
-    if not links.isEmpty():
-        roots = components(links)
+    if roots is not None:
         sums = sums.join(roots, sums["_key"] == roots.node, "left").select("_key", "id", "n", F.coalesce("root", "_key").alias("root"))
         # of a group, the node with the least id stays; nodes without id rank last
         rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_key").alias("key"))

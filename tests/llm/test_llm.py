@@ -305,6 +305,29 @@ def test_near_dedup_stage(spark, docs, rows):
     assert {t for _, t in texts(rows)} - {r["text"] or "" for r in kept} <= {texts(rows)[k][1] for k, r in enumerate(rows) if r[0] in (6, 102, 107, 113)} | {" \t\n", ""}
 
 
+@pytest.mark.parametrize("all_pairs", [simhash.ALL_PAIRS, 0])
+def test_near_links_are_whole(spark, all_pairs):
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts = [base]
+    for i in range(60):  # each is near the base alone
+        texts.append(list(base))
+        for k in rng.sample(range(300), 5):
+            texts[-1][k] = f"e{i}"
+    texts += [[f"v{rng.randint(0, 10**6)}" for _ in range(40)] + base[:30] for _ in range(5)]
+    sets = [set(simhash.shingles(" ".join(t).encode(), 5)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert min(alike(0, k) for k in range(1, 61)) >= 0.8
+    assert sum(alike(a, b) < 0.8 for a in range(1, 61) for b in range(1, a)) > 1700
+    df = spark.createDataFrame([(i * 7919 % 1009, " ".join(t)) for i, t in enumerate(texts)], "key long, text string")
+    groups = defaultdict(set)
+    for r in simhash.near_links(df, 5, 0.8, 2, all_pairs).collect():
+        groups[r["root"]].add(r["node"])
+    assert [len(g) for g in groups.values()] == [61]
+    kept = simhash.one_of_each(df.withColumnRenamed("key", "doc_id")).count()
+    assert kept == 6
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (None, 3), (8, 7), (4, 1)]
     got = {(r["node"], r["root"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: seeds that no leak can lack find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.common import table
 
-#: Words of a seed.
+#: Items with fewer words are not searched.
 SEED_WORDS = 3
-#: A seed is rare if independent words would give it at a place with at most this probability.
-RARE = 1e-9
-#: An item's rarest seeds are used even if none of them is rare.
-LEAST_SEEDS = 6
+#: A seed is a pair of words that lie this far apart, in the item and in the text: a link of two matches and one error at most.
+STEPS = (1, 2)
+#: Seeds of an item that must meet within a leak's length before it is aligned (fewer if a leak is sure of fewer).
+MEET = 3
 #: Alignment scores: a pair of equal words, of unequal words, a word left out.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's highest possible score from which a passage is a leak.
@@ -57,59 +57,77 @@ def smith_waterman(items: np.ndarray, passages: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """Finds passages of a block of test items in texts."""
+    """Finds passages of a block of test items in texts.
 
-    def __init__(self, items: list[tuple[int | None, list[str]]], counts: dict[str, int], total: int) -> None:
+    An alignment of m matches that scores S = 2 * threshold * n or more of an item of n words has 2m - S errors at most
+    between its matches, so at least S / 2 - 1 (rounded up) of its m - 1 links of consecutive matches hold one error or
+    none, and it spans 3n - S words of the text at most. Such a link is a pair of words, one or two words apart in the
+    item and in the text: a seed. An item's seeds at its most frequent places are left out, but so few that every leak
+    keeps MEET of the seeds it is sure of, or all; no leak is lost.
+    """
+
+    def __init__(self, items: list[tuple[int | None, list[str]]], counts: dict[str, int], total: int, threshold: float = LEAK) -> None:
         self.items = [(k, w) for k, w in items if w]
         vocabulary = sorted({x for _, w in self.items for x in w})
         self.number = {x: i for i, x in enumerate(vocabulary)}
         self.bits = max(1, len(vocabulary).bit_length())
-        if self.bits * SEED_WORDS > 63:
+        if self.bits * 2 > 63:
             raise ValueError("a block of test items has too many different words; lower BLOCK_BYTES")
         log = np.log((np.array([counts.get(x, 0) for x in vocabulary]) + 0.5) / (total + 0.5 * (len(vocabulary) + 1)))
         self.ids = [np.array([self.number[x] for x in w], np.int64) for _, w in self.items]
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.need, self.span = np.ones(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, ids in enumerate(self.ids):
-            keys = self.keys(ids)
-            if not len(keys):  # shorter than a seed: the item's own words stand for one
+            n = len(ids)
+            if n < SEED_WORDS:
                 continue
-            chance = sum(log[ids[j : len(ids) - SEED_WORDS + 1 + j]] for j in range(SEED_WORDS))
-            limit = max(np.log(RARE), np.sort(chance)[min(len(chance), LEAST_SEEDS) - 1])
-            for o in np.nonzero(chance <= limit)[0]:
-                places[int(keys[o])].append((k, int(o)))
-        self.places = dict(places)
-        self.sorted = np.array(sorted(places), np.int64)
-
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        n = len(ids) - SEED_WORDS + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        out, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(SEED_WORDS):
-            part = ids[j : n + j]
-            out = (out << self.bits) | np.maximum(part, 0)
-            known &= part >= 0
-        return np.where(known, out, -1)
+            least = int(np.ceil(MATCH * threshold * n - 1e-9))
+            sure = max(1, -(-least // 2) - 1)
+            self.need[k], self.span[k] = min(sure, MEET), max(n, 3 * n - least) + max(STEPS)
+            chance = np.zeros(n - 1)
+            for d in STEPS:
+                chance[: n - d] += np.exp(log[ids[:-d]] + log[ids[d:]])
+            places = np.sort(np.argsort(chance, kind="stable")[: n - 1 - (sure - self.need[k])])
+            for d in STEPS:
+                at = places[places < n - d]
+                keys.append((ids[at] << self.bits) | ids[at + d])
+                owners.append(np.full(len(at), k, np.int64))
+        flat = np.unique(np.stack((np.concatenate(keys), np.concatenate(owners))), axis=1)
+        self.sorted, self.start = np.unique(flat[0], return_index=True)
+        self.start, self.owner = np.append(self.start, flat.shape[1]), flat[1]
 
     def passages(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The text's word numbers (-2: in no item), and (item, begin, end) of passages around seeds."""
         number = self.number
         ids = np.array([number.get(x, -2) for x in words(text)], np.int64)
-        keys = self.keys(ids)
-        if not len(keys) or not len(self.sorted):
+        if len(ids) < 2 or not len(self.sorted):
             return ids, []
-        at = np.searchsorted(self.sorted, keys)
-        hit = np.nonzero(self.sorted[np.minimum(at, len(self.sorted) - 1)] == keys)[0]
-        found, last = [], {}
-        for p in hit.tolist():
-            for k, o in self.places[int(keys[p])]:
-                n = len(self.ids[k])
-                pad = n // 2 + 4
-                if p < last.get(k, -1):
-                    continue
-                begin, end = max(0, p - o - pad), min(len(ids), p - o + n + pad)
-                last[k] = end - pad  # a later seed that lies in this passage needs none of its own
-                found.append((k, begin, end))
+        met = []
+        for d in STEPS:
+            u, w = ids[:-d], ids[d:]
+            p = np.nonzero((u >= 0) & (w >= 0))[0]
+            keys = (u[p] << self.bits) | w[p]
+            at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
+            hit = self.sorted[at] == keys
+            p, at = p[hit], at[hit]
+            n = self.start[at + 1] - self.start[at]
+            which = np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            met.append(self.owner[which] * len(ids) + np.repeat(p, n))
+        met = np.unique(np.concatenate(met))  # a leak's links begin at different words of the text
+        k, p = met // len(ids), met % len(ids)
+        if not len(k):
+            return ids, []
+        last = np.arange(len(k)) + self.need[k] - 1
+        ok = last < len(k)
+        last = np.minimum(last, len(k) - 1)
+        ok &= (k[last] == k) & (p[last] - p <= self.span[k])
+        found, done = [], {}
+        for k, p in zip(k[ok].tolist(), p[ok].tolist(), strict=True):
+            if p <= done.get(k, -1):
+                continue
+            span = int(self.span[k])
+            done[k] = p + span  # a leak whose first seed lies up to here lies in this passage
+            found.append((k, max(0, p - span), min(len(ids), p + 2 * span)))
         return ids, found
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, float, int, int]]]:
@@ -138,7 +156,7 @@ class Searcher:
         return out
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Searcher]:
+def searchers(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, threshold: float = LEAK) -> Iterator[Searcher]:
     """One Searcher for each block of test items. A block's bytes are bounded, whatever the table's size.
 
     Word probabilities come from all whole texts of docs: each task counts the block's own words, of which there are
@@ -162,19 +180,19 @@ def searchers(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
             yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([total, *seen.values()], pa.int64())], names=["word", "n"])
 
         counts = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-        yield Searcher(items, counts, counts.pop(None, 0) or 1)
+        yield Searcher(items, counts, counts.pop(None, 0) or 1, threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> DataFrame:
     """(doc_id, item_id, score, first_word, n_words): one row for each document and test item whose best passage leaks.
 
     score is the alignment's share of the item's highest, 1 for an unchanged copy. Null and empty texts or items have
-    no leaks; items under three words have no seed and are never found. Repeated rows of either table are reported
+    no leaks; items under three words are not searched. All other leaks are found, whatever their words. Repeated rows of either table are reported
     each (a repeated document once a row, a repeated item once a row). Null ids stay null. Empty tables give no rows;
     extra columns are ignored.
     """
     out = None
-    for s in searchers(docs, benchmark):
+    for s in searchers(docs, benchmark, threshold=threshold):
         held = docs.sparkSession.sparkContext.broadcast(s)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
@@ -198,7 +216,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> Dat
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> DataFrame:
     """The rows of docs, with all their columns, in which no test item leaks."""
     out = docs
-    for s in searchers(docs, benchmark):
+    for s in searchers(docs, benchmark, threshold=threshold):
         held = docs.sparkSession.sparkContext.broadcast(s)
 
         @F.pandas_udf("boolean")

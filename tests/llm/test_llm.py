@@ -198,6 +198,35 @@ def test_decontamination(spark, docs, none, rows):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all():
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(30)]
+    items = [(k, [rng.choice(names) for _ in range(rng.randint(3, 30))]) for k in range(40)]
+    texts_ = []
+    for _, w in items:
+        for share in (0.1, 0.3, 0.5):
+            copy = []
+            for x in w:
+                kind = rng.random()
+                copy += [x] if kind > share else rng.choice(([], ["other"], [x, "more"], [rng.choice(names)]))
+            texts_.append(" ".join(["before"] * rng.randint(0, 90) + [rng.choice(names) for _ in range(20)] + copy + [rng.choice(names) for _ in range(20)]))
+        texts_.append(" ".join(y for x in w for y in (x, "between")))
+        texts_.append(" ".join("other" if i % 3 == 2 else x for i, x in enumerate(w)))
+    counts = Counter(x for t in texts_ for x in decontamination.words(t))
+    s = decontamination.Searcher(items, counts, sum(counts.values()))
+    got = [{k: max(y[1] for y in found if y[0] == k) for k in {y[0] for y in found if y[1] >= 0.5}} for found in s.search(texts_)]
+    leaks = 0
+    for t, text in enumerate(texts_):
+        ids = [s.number.get(x, -2) for x in decontamination.words(text)]
+        a = np.full((len(items), 30), -1)
+        for k, x in enumerate(s.ids):
+            a[k, : len(x)] = x
+        best = decontamination.smith_waterman(a, np.tile(ids, (len(items), 1))) / np.array([2 * len(x) for x in s.ids])
+        assert got[t] == {k: x for k, x in enumerate(best.tolist()) if x >= 0.5}
+        leaks += len(got[t])
+    assert leaks > 200
+
+
 def test_smith_waterman():
     def slow(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)

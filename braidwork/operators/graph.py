@@ -68,19 +68,22 @@ def merged(candidates: DataFrame, key: list[str], cfg: Recall = RECALL) -> DataF
     return best.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= cfg.cap)
 
 
-def closure(starts: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """(start, node_id, side) of all ancestors and descendants of each start; what is an ancestor isn't entered again as a descendant."""
+def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, node_id, side) of all ancestors and descendants of each start; what is an ancestor isn't entered again as a descendant.
+
+    Goes on until a hop finds nothing new, however deep the edges lead."""
 
     def reach(e: DataFrame, seen: DataFrame) -> DataFrame:
         front = starts.select("start", F.col("start").alias("node_id")).distinct()
-        found = front.limit(0)
-        for _ in range(most):
+        found, hops = front.limit(0), 0
+        while True:
             nxt = front.join(e, front.node_id == e.src).select("start", F.col("dst").alias("node_id")).distinct()
             nxt = stored(nxt.join(seen, ["start", "node_id"], "left_anti").join(found, ["start", "node_id"], "left_anti").where("start <> node_id"), "front")
             if nxt.isEmpty():
-                break
-            found, front = found.union(nxt), nxt
-        return found
+                return found
+            found, front, hops = found.union(nxt), nxt, hops + 1
+            if hops % 16 == 0:  # one table again, so that plans stay short
+                found = stored(found, "found")
 
     none = starts.select("start", F.col("start").alias("node_id")).limit(0)
     up = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), none)

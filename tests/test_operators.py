@@ -43,6 +43,12 @@ def test_walk_keeps_first_hop_under_floor(spark):
     assert {tuple(r["nodes"]) for r in w.collect()} == {(1, 2), (1, 4), (1, 4, 3)}
 
 
+def test_closure_is_deep(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(53)], "src long, dst long")
+    got = graph.closure(spark.createDataFrame([(0,)], "start long"), e).collect()
+    assert sorted((r["node_id"], r["side"]) for r in got) == [(i, "descendant") for i in range(1, 54)]
+
+
 def test_merge_caps_at_40(spark):
     c = spark.createDataFrame([(1, i, i / 100, i) for i in range(50)] + [(1, 49, 0.1, 99)], "start long, company_id long, recall_score double, ordinal long")
     got = graph.merged(c, ["start"]).collect()

@@ -91,7 +91,7 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     k = keywords.select("keyword_id", "keyword_norm")
     long = t.withColumn("g", F.explode(F.when(F.length("t") > 0, F.array_distinct(grams)))).join(k.where(F.length("keyword_norm") >= 2).withColumn("g", F.left("keyword_norm", F.lit(2))), "g").where(F.contains("t", F.col("keyword_norm")))
     one = t.withColumn("g", F.explode(F.when(F.length("t") > 0, F.array_distinct(letters)))).join(k.where(F.length("keyword_norm") == 1), F.col("g") == F.col("keyword_norm"))
-    every = texts.select("text_id").distinct().crossJoin(F.broadcast(k.where("keyword_norm = ''").select("keyword_id").limit(1000)))
+    every = texts.select("text_id").distinct().crossJoin(k.where("keyword_norm = ''").select("keyword_id").distinct())
     return long.select("text_id", "keyword_id").union(one.select("text_id", "keyword_id")).union(every.select("text_id", "keyword_id")).distinct()
 
 

@@ -60,6 +60,12 @@ def test_budget_skips_whole_connections(spark):
     assert {r["connection_id"]: r["kept"] for r in graph.budgeted_subgraph(c, 5).collect()} == {1: True, 2: False, 3: True}
 
 
+def test_all_empty_keywords_meet_all(spark):
+    texts = spark.createDataFrame([(1, ["ab"]), (2, ["c"])], "text_id long, texts array<string>")
+    k = spark.range(1001).select(F.col("id").alias("keyword_id"), F.lit("").alias("keyword_norm"))
+    assert matching.keyword_hits(texts, k).count() == 2002
+
+
 def test_as_of_and_similar(spark):
     left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "k string, t int")
     facts = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y")], "k string, t int, v string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there and a lost executor costs no recomputation.
 
@@ -41,20 +52,29 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _tidy(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._braidwork_path = path
     return out
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, what: str) -> DataFrame:
+    """Like stored(), but bucketed by a column: what is grouped or joined by it later needs no shuffle of this table."""
+    spark, name = df.sparkSession, f"braidwork_{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/braidwork/{what}-{uuid.uuid4().hex}"
+    with _tidy(spark):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._braidwork_path, out._braidwork_table = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Removes a table that stored() wrote, once nothing that is still to run reads it."""
+    """Removes a table that stored() or bucketed() wrote, once nothing that is still to run reads it."""
     spark = df.sparkSession
+    if hasattr(df, "_braidwork_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df._braidwork_table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._braidwork_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

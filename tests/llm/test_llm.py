@@ -1,5 +1,6 @@
 """Each operator on a table of edge cases against a brute-force version, and on an empty table."""
 
+import functools
 import hashlib
 import math
 import random
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from braidwork.llm import decontamination, exact_dedup, language, language_model, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 from braidwork.llm.common import components, fold_of
@@ -54,37 +56,66 @@ def test_language_presence_is_whole():
     assert (whole == ab).all()
 
 
-def test_language_model(spark, docs, none, rows, tmp_path):
-    path = str(tmp_path / "docs")
-    docs.select("doc_id", (fold_of(docs.doc_id, 5) != 1).alias("flag"), "text").write.parquet(path)
-    stored = spark.read.parquet(path)
-    tok = [(i, zlib.crc32((str(i) if i is not None else "").encode()) % 5 != 1, t.encode().lower().split() + [None]) for i, t in texts(rows)]
-    uni, bi, n = Counter(), Counter(), 0
-    for _, flag, x in tok:
+def katz_by_hand(tok):
+    """score(words) and its context sums, for (flag, words with the end) texts: counts and recursion in plain loops."""
+    uni, bi, tri, n = Counter(), Counter(), Counter(), 0
+    for flag, x in tok:
         if flag:
-            n, _, _ = n + 1, uni.update(x), bi.update(zip([0, *x[:-1]], x, strict=True))
-    total, kinds = sum(uni.values()), len(uni)
-    d = language_model.discounts(Counter(bi.values()))
+            y = [0, *x]
+            n, _, _, _ = n + 1, uni.update(x), bi.update(zip(y, x, strict=False)), tri.update(zip(y, x, x[1:], strict=False))
+    total, kinds, top = sum(uni.values()), len(uni), language_model.GOOD_TURING
+    star2, star3 = (language_model.Stars([sum(c == r for c in g.values()) for r in range(top + 2)]) for g in (bi, tri))
     low = lambda w: (uni[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    seen, lower = defaultdict(float), defaultdict(float)
-    for (u, w), c in bi.items():
-        if c >= language_model.LEAST:
-            seen[u] += c * d.get(c, 1.0)
-            lower[u] += low(w)
-    times = lambda u: max(n if u == 0 else uni[u], seen[u] + language_model.LEFT)
-
-    def p(u, w):
-        if (c := bi[u, w]) >= language_model.LEAST:
-            return c * d.get(c, 1.0) / times(u)
-        return low(w) * ((1 - seen[u] / times(u)) / (1 - lower[u]) if u in lower else 1)
-
-    for u in list(lower)[:5]:
-        assert sum(p(u, w) for w in uni) + (1 - seen[u] / times(u)) / (1 - lower[u]) * 0.5 / (total + 0.5 * (kinds + 1)) == pytest.approx(1)
-    want = Counter((i, len(x), sum(uni[w] > 0 for w in x), total, round(sum(math.log10(low(w)) for w in x), 6), round(sum(math.log10(p(u, w)) for u, w in zip([0, *x[:-1]], x, strict=True)), 2)) for i, _, x in tok)
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 2)) for r in language_model.katz(stored).collect())
-    assert got == want
-    none.select("doc_id", (fold_of(none.doc_id, 5) != 1).alias("flag"), "text").write.parquet(path + "0")
-    assert language_model.katz(spark.read.parquet(path + "0")).count() == 0
+    after = defaultdict(set)
+    for u, w in bi:
+        after[u,].add(w)
+    for u, v, w in tri:
+        after[u, v].add(w)
+    times = lambda h: (n if h[0] == 0 else uni[h[0]]) if len(h) == 1 else bi[h]
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            return low(w)
+        c = tri[*h, w] if len(h) == 2 else bi[*h, w]
+        if c:
+            return float((star3 if len(h) == 2 else star2).of(np.array([c]))[0]) / times(h)
+        return weight(h) * p(h[1:], w)
+
+    @functools.cache
+    def weight(h):
+        if h not in after:
+            return 1.0
+        return (1 - sum(p(h, w) for w in after[h])) / (1 - sum(p(h[1:], w) for w in after[h]))
+
+    score = lambda x: sum(math.log10(p(h, w)) for h, w in zip([(0,), *zip([0, *x], x, strict=False)], x, strict=False))
+    return score, p, uni, after, low, total
+
+
+@pytest.mark.parametrize("chunk", [10 << 20, 2000])
+def test_language_model(docs, none, rows, chunk, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK", chunk)
+    flagged = docs.select("doc_id", (fold_of(docs.doc_id, 5) != 1).alias("flag"), "text")
+    tok = [(i, zlib.crc32((str(i) if i is not None else "").encode()) % 5 != 1, t.encode().lower().split() + [None]) for i, t in texts(rows)]
+    score, p, uni, after, low, total = katz_by_hand([x[1:] for x in tok])
+    for h in [*after][:: max(1, len(after) // 300)]:  # all words and the unknown one share the whole of 1
+        assert sum(p(h, w) for w in uni) + p(h, b"never seen") == pytest.approx(1)
+    want = {(i, bytes(str(x), "utf8")): (len(x), sum(uni[w] > 0 for w in x), total, sum(math.log10(low(w)) for w in x), score(x)) for i, _, x in tok}
+    got = language_model.katz(flagged).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in tok)
+    by_id = defaultdict(list)
+    for (i, _), v in want.items():
+        by_id[i].append(v)
+    for r in got:
+        mine = (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
+        assert any(mine == pytest.approx(v, rel=1e-5, abs=1e-4) for v in by_id[r["doc_id"]])
+        assert r["held_out"] == (zlib.crc32((str(r["doc_id"]) if r["doc_id"] is not None else "").encode()) % 5 == 1)
+    assert language_model.katz(none.select("doc_id", (fold_of(none.doc_id, 5) != 1).alias("flag"), "text")).count() == 0
+
+
+def test_language_model_without_training(docs):
+    got = language_model.katz(docs.select("doc_id", F.lit(False).alias("flag"), "text")).collect()
+    assert {(r["n_known"], r["train_tokens"], round(r["score"], 9), round(r["base_score"], 9)) for r in got} == {(0, 0, 0.0, 0.0)}
 
 
 def exact_groups(rows):

@@ -11,9 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A-Z only: what the contracts call lower-casing.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 #: The words of the contracts are runs of anything else than these; bytes.split() separates at the same six.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -79,8 +76,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df by name, dots and spaces included."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def word_count(text: Column) -> Column:
@@ -129,8 +138,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", extra: Column | None = None) -> DataFrame:
     """An equi-join on keys in which null equals null; the keys of the right side are dropped."""
-    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    names = [f"{n}_r" for n in free_names(left, *keys)]
+    other = right.withColumnsRenamed(dict(zip(keys, names, strict=True)))
     on = extra if extra is not None else F.lit(True)
-    for k in keys:
-        on = left[k].eqNullSafe(other[f"_{k}"]) & on
-    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])
+    for k, n in zip(keys, names, strict=True):
+        on = F.col(k).eqNullSafe(F.col(n)) & on
+    return left.join(other, on, how).drop(*names)

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import null_safe, stored, table, word_count
+from braidwork.llm.common import columns, free_names, null_safe, partitions_for, stored, table, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source is used more often than this.
 MOST_REPEATS = 3
-#: A source is cut into blocks of about BLOCK_DOCS documents, into LEAST_BLOCKS at least and MOST_BLOCKS at most.
-BLOCK_DOCS, LEAST_BLOCKS, MOST_BLOCKS = 256, 32, 4096
+#: A source is cut into blocks of about BLOCK_DOCS documents, into LEAST_BLOCKS at least. Sums along a source's blocks
+#: are taken within cells of CELL_BLOCKS blocks, then over the cells.
+BLOCK_DOCS, LEAST_BLOCKS, CELL_BLOCKS = 256, 32, 4096
+#: Output shards of a mix.
+SHARDS = 16
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -107,70 +110,94 @@ def splitting_tree(units: DataFrame, shards: int, seed: int) -> DataFrame:
     return per.withColumn("first", F.coalesce(F.sum("units").over(before), F.lit(0))).where("units > 0")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = 16, seed: int = 7) -> DataFrame:
-    """What a mix at the target weights takes of each document, and where its first copy goes.
+def before(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows (source, block, ...), one a block, with `name`: the sum of `value` over the source's lower blocks."""
+    celled = rows.withColumn("cell", F.floor(F.col("block") / CELL_BLOCKS))
+    cells = celled.groupBy("source", "cell").agg(F.sum(value).alias("all"))
+    lower = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("source", "cell", F.coalesce(F.sum("all").over(lower), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("source", "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    summed = null_safe(celled.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))), cells, ["source", "cell"])
+    return summed.withColumn(name, (F.col(name) + F.col("offset")).cast("long")).drop("cell", "offset")
 
-    Every source's documents are permuted by a hash and cut into blocks. A source whose target is r times its size
-    passes whole through the mix floor(r) times; the last pass takes its permuted documents up to the target, and cuts
-    the one document in which the target falls, so the sum is the target rounded down. Each (pass, block) is a unit;
-    the splitting tree gives every shard an exact number of units of each source, and a source's permuted units go to
-    the shards in that order. `place` orders a shard's documents: a shuffle within the shard.
 
-    Returns doc_id, source, turn (the permutation's hash), size, source_size, target, taken, shards (of each copy) and place. Null texts have size 0; sizes
-    of 0 are taken 0 times. A null source is a source of its own, the last one. Ties and repeated rows are
-    permuted by all their columns and share a place in the permutation only if they are alike, where either order
-    gives the same rows. An empty table gives no rows; other columns are ignored.
+def planned(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, source_size, target, passes, rest, blocks): a source passes whole through the mix `passes` times, and once
+    more up to `rest` words; its documents are in so many blocks."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    goal = F.floor("target").cast("long")
+    return (
+        null_safe(targets(sums.select("source", "source_size"), weights, most), sums.select("source", "n"), ["source"])
+        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long"))
+        .select("source", "source_size", "target", "passes", (goal - F.col("passes") * F.col("source_size")).alias("rest"), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS)).cast("long").alias("blocks"))
+    )
+
+
+def drawn(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source, block, to) from blocks (source, block, block_size, passes, rest): the units of each block as structs of unit,
+    shard and words, the words that the unit offers from the block's first document on.
+
+    A unit is a block in one pass. The exact numbers of units of the sources go down the splitting tree; a shard draws
+    the next so many of each source's units, which are in permuted order, so that shards share none.
+    """
+    placed = before(blocks, "block_size", "begin")
+    placed = placed.withColumn("uses", F.col("passes") + F.when((F.col("begin") < F.col("rest")) & (F.col("block_size") > 0), 1).otherwise(0))
+    placed = stored(before(placed, "uses", "unit"), "units")
+    tree = splitting_tree(placed.groupBy("source").agg(F.sum("uses").alias("units")), shards, seed)
+    one = placed.where("uses > 0").select("source", "block", "block_size", "begin", "passes", "rest", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)).alias("pass"))
+    one = one.select("source", "block", (F.col("unit") + F.col("pass")).alias("unit"), F.when(F.col("pass") < F.col("passes"), F.col("block_size")).otherwise(F.least(F.col("block_size"), F.col("rest") - F.col("begin"))).alias("words"))
+    dealt = null_safe(one, tree, ["source"], extra=(F.col("unit") >= F.col("first")) & (F.col("unit") < F.col("first") + F.col("units")))
+    return dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("unit", "shard", "words"))).alias("to"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """What a mix at the target weights takes of each document, and where its copies go.
+
+    Every source's documents are permuted by a hash and cut into blocks; a source's target makes so many units of them
+    (blocks in a pass), of which the last may offer a part of its words only. The splitting tree deals the units out
+    to the shards; a document is taken as often as shards have drawn its block, and as far as their units' words reach,
+    so the sum is the target rounded down and one document at most is cut. `place` orders a shard: a shuffle within it.
+
+    Returns doc_id, source, turn (the permutation's hash), size, source_size, target, taken, parts (the shard and the
+    words of each copy) and place. Null texts have size 0; sizes of 0 are taken 0 times. A null source is a source of
+    its own, the last one. Ties and repeated rows are permuted by all their columns and share a place in the
+    permutation only if they are alike, where either order gives the same rows. An empty table gives no rows; other
+    columns are ignored. Sources are one row each where they are ranked and one array for each tree node: 5 MB for
+    100,000 sources.
     """
     sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("turn")), "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = targets(sums.select("source", "source_size"), weights, most)
-    plan = stored(
-        null_safe(plan, sums.select("source", "n"), ["source"])
-        .withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / BLOCK_DOCS))).cast("long"))
-        .withColumn("goal", F.floor("target").cast("long"))
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size")),
-        "plan",
-    )
-    placed = null_safe(sized, plan.drop("n", "weight"), ["source"])
-    placed = placed.withColumn("block", F.pmod(F.shiftright("turn", 20), F.col("blocks")))
+    plan = stored(planned(sized, weights, most), "plan")
+    placed = null_safe(sized, plan, ["source"]).withColumn("block", F.pmod(F.shiftright("turn", 20), F.col("blocks")))
     blocks = stored(placed.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("passes").alias("passes"), F.first("rest").alias("rest")), "blocks")
-    along = Window.partitionBy("source").orderBy("block")
-    blocks = stored(
-        blocks.withColumn("begin", F.sum("block_size").over(along) - F.col("block_size"))
-        .withColumn("uses", F.col("passes") + F.when(F.col("begin") < F.col("rest"), 1).otherwise(0))
-        .withColumn("unit", F.sum("uses").over(along) - F.col("uses")),
-        "blocks",
-    )
-    tree = splitting_tree(blocks.groupBy("source").agg(F.sum("uses").alias("units")), shards, seed)
-    unit = blocks.where("uses > 0").select("source", "block", F.explode(F.sequence(F.col("unit"), F.col("unit") + F.col("uses") - 1)).alias("unit"))
-    dealt = null_safe(unit, tree, ["source"], extra=(F.col("unit") >= F.col("first")) & (F.col("unit") < F.col("first") + F.col("units")))
-    where_to = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("unit", "shard"))).alias("to"))
-    spots = null_safe(blocks, where_to, ["source", "block"], "left").select("source", "block", "begin", F.transform("to", lambda x: x["shard"]).alias("to"))
+    to = drawn(blocks, shards, seed)
     within = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    final = null_safe(inside, spots, ["source", "block"])
-    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("begin") - F.col("ahead")))
-    taken = (F.col("passes") * F.col("size") + last).cast("long")
-    return final.select(
-        "doc_id", "source", "turn", "size", "source_size", "target", taken.alias("taken"), F.when(taken > 0, F.slice("to", 1, (F.col("passes") + F.when(last > 0, 1).otherwise(0)).cast("int"))).alias("shards"), F.xxhash64(F.lit(seed + 1), "turn", "doc_id").alias("place")
-    )
+    final = null_safe(inside, to, ["source", "block"], "left")
+    part = F.transform("to", lambda u: F.struct(u["shard"].alias("shard"), F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), u["words"] - F.col("ahead"))).alias("words")))
+    final = final.withColumn("parts", F.filter(F.coalesce(part, F.array().cast("array<struct<shard:int,words:bigint>>")), lambda x: x["words"] > 0))
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    return final.select("doc_id", "source", "turn", "size", "source_size", "target", taken.alias("taken"), "parts", F.xxhash64(F.lit(seed + 1), "turn", "doc_id").alias("place"))
 
 
-def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = 16, seed: int = 7) -> DataFrame:
-    """The mix itself: rows of docs, with all their columns, each as often as mixed() takes its document.
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, each as often as shards have drawn its document, laid out by shard
+    and in shuffled order within it.
 
-    The document in which a source's target falls counts as taken if at least half of it is. Texts of size 0 stay once.
-    Rows are matched by doc_id and a hash of source and text; rows alike in these are taken alike, and each row counts
-    once for itself.
+    A copy counts if at least half of the document's words are in it. Documents of size 0 stay once. Rows are matched
+    by doc_id and a hash of source and text; rows alike in these share their copies, each the rounded mean. Null texts, sources and
+    ids are handled as in mixed(); an empty table gives no rows; columns of any name pass through.
     """
+    turn, source, id_, to, place = free_names(docs, "turn", "source", "id", "to", "place")
     plan = mixed(docs, weights, most, shards, seed)
-    keyed = docs.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")).withColumn("_source", F.col("source").cast("string"))
-    times = plan.groupBy("doc_id", "source", "turn").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)).alias("copies"))
-    times = stored(times.select(F.col("source").alias("_source"), F.col("turn").alias("_turn"), F.col("doc_id").alias("_id"), "rows", "copies"), "times")
-    joined = null_safe(keyed.withColumn("_id", F.col("doc_id").cast("long")), times, ["_id", "_turn", "_source"])
-    # rows alike share their copies: floor(copies / rows) each
-    return joined.withColumn("_n", F.explode(F.expr("sequence(1, greatest(1, cast(round(copies / rows) as int)))"))).where("copies > 0").select(*docs.columns)
+    whole = F.transform(F.filter("parts", lambda x: 2 * x["words"] >= F.col("size")), lambda x: x["shard"])
+    whole = F.when(F.col("size") > 0, whole).otherwise(F.array(F.pmod("place", F.lit(shards)).cast("int")))
+    times = plan.groupBy("doc_id", "source", "turn").agg(F.count("*").alias("n"), F.flatten(F.collect_list(whole)).alias("all"), F.first("place").alias("place"))
+    each = F.slice("all", 1, F.round(F.size("all") / F.col("n")).cast("int"))
+    times = stored(times.select(F.col("source").alias(source), F.col("turn").alias(turn), F.col("doc_id").alias(id_), each.alias(to), F.col("place").alias(place)).where(F.size(to) > 0), "times")
+    keyed = docs.withColumn(turn, F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn(source, F.col("source").cast("string")).withColumn(id_, F.col("doc_id").cast("long"))
+    copies = null_safe(keyed, times, [id_, turn, source]).withColumn(to, F.explode(to))
+    n = partitions_for(docs.sparkSession)
+    return copies.repartition(n, to, F.pmod(place, F.lit(-(-n // shards)))).sortWithinPartitions(to, place).select(*columns(docs))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import bytes_of, stored, table
@@ -61,14 +61,19 @@ SILENT = sum(NONE * 3**i for i in range(LABELLERS))
 
 
 def patterns(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern): the votes on each whole text as digits in base 3. Extra columns stay out."""
+    """(row, pattern): a hash of each row's id and text, and the votes on the whole text as digits in base 3. Extra columns stay out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = [sum(v * 3**i for i, v in enumerate(votes(t))) for t in bytes_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32())], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int32())], names=["row", "pattern"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pattern int")
+    return docs.select(_row().alias("row"), "text").mapInArrow(run, "row long, pattern int")
+
+
+def _row() -> Column:
+    """What tells rows apart when the sample is drawn: rows alike in id and text count as one there."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(11))
 
 
 def weigh(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
@@ -155,11 +160,9 @@ def trained(docs: DataFrame, patterned: DataFrame, sample: int = SAMPLE) -> tupl
     counts = {r["pattern"]: r["n"] for r in patterned.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior = weigh(counts)
     good = [c for c, p in posterior.items() if p >= 0.5]
-    order = F.xxhash64(F.col("doc_id"), F.lit(11))
-    heard = patterned.where(F.col("pattern") != SILENT)
-    picked = heard.where(F.col("pattern").isin([-1, *good])).orderBy(order, "doc_id").limit(sample)
-    picked = picked.union(heard.where(~F.col("pattern").isin([-1, *good])).orderBy(order, "doc_id").limit(sample))
-    picked = stored(picked.dropDuplicates(["doc_id"]), "sample")
+    heard = patterned.where(F.col("pattern") != SILENT).distinct()
+    side = F.col("pattern").isin([-1, *good])
+    picked = stored(heard.where(side).orderBy("row", "pattern").limit(sample).union(heard.where(~side).orderBy("row", "pattern").limit(sample)).dropDuplicates(["row"]), "sample")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
@@ -167,8 +170,9 @@ def trained(docs: DataFrame, patterned: DataFrame, sample: int = SAMPLE) -> tupl
             both = [f.of(t) for t in bytes_of(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0].astype("<i4").tobytes() for x in both], pa.binary()), pa.array([x[1].astype("<f4").tobytes() for x in both], pa.binary())], names=["pattern", "slot", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id").select("text", "pattern").mapInArrow(slots, "pattern int, slot binary, x binary")
-    got = sorted((bytes(r["slot"]), bytes(r["x"]), r["pattern"]) for r in rows.limit(4 * sample).collect())
+    one = docs.select(_row().alias("row"), "text").join(picked, "row").groupBy("row", "pattern").agg(F.max("text").alias("text"))  # rows alike have one text
+    rows = one.select("text", "pattern").mapInArrow(slots, "pattern int, slot binary, x binary")
+    got = sorted((bytes(r["slot"]), bytes(r["x"]), r["pattern"]) for r in rows.collect())  # 2 * sample rows at most
     return posterior, fit([(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), posterior[p]) for s, x, p in got])
 
 
@@ -176,8 +180,8 @@ def scored(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFra
     """(doc_id, posterior, score, kept) for each row: the weak label, the scorer's value in 0 to 1, and score >= keep.
 
     All vote counts cover all rows and whole texts; the scorer is fitted on the documented sample. Null, empty and very
-    short texts get abstentions and a score from the intercept alone or their few words; null ids are scored like any
-    other but never sampled. An empty table gives no rows. Extra columns are ignored.
+    short texts get abstentions and a score from the intercept alone or their few words; null ids are handled like any
+    other, and rows that repeat are sampled once. An empty table gives no rows. Extra columns are ignored.
     """
     patterned = stored(patterns(docs), "votes")
     posterior, weights = trained(docs, patterned, sample)
@@ -200,7 +204,8 @@ def scored(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFra
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """The rows of docs, with all their columns, that the scorer keeps."""
+    """The rows of docs, with all their columns, that the scorer keeps: score >= keep, as in scored(), which says what
+    nulls, short texts and repeated rows get. An empty table gives no rows."""
     posterior, weights = trained(docs, stored(patterns(docs), "votes"), sample)
     w = docs.sparkSession.sparkContext.broadcast(weights)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import bytes_of, components, discard, partitions_for, stored, table
+from braidwork.llm.common import bytes_of, columns, components, discard, free_names, partitions_for, stored, table
 
 SEED = 42
 #: A subtree with more fingerprints than this is split among tasks by its next SPLIT_BITS bits.
@@ -204,11 +205,26 @@ STAGE_WORDS, STAGE_SIMILARITY, STAGE_PARTS, STAGE_EACH = 5, 0.8, 16, 4
 SKETCH = 256
 #: Members of a bucket that meet all others in the next round are ROUND_GROWTH times those that did before; once at most
 #: ALL_PAIRS pairs are left, all of them meet.
-ROUND_GROWTH, ALL_PAIRS = 8, 1 << 25
+ROUND_GROWTH, ALL_PAIRS = 8, 1 << 20
 #: Pairs of a bucket that one task makes.
 TASK_PAIRS = 1 << 20
 
 
+def least_prints(h: np.ndarray, parts: int, each: int) -> np.ndarray:
+    """The different SimHashes of the `each` least of the sorted hashes h in each of `parts` classes."""
+    if not len(h):
+        return h
+    kind = (h % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    start = np.nonzero(np.diff(kind, prepend=-1))[0]
+    size = np.minimum(np.diff(np.append(start, len(h))), each)
+    first = np.cumsum(size) - size
+    taken = order[np.repeat(start - first, size) + np.arange(size.sum())]
+    ones = np.add.reduceat(np.unpackbits(h[taken].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
+    return np.unique(np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<u8").ravel())
+
+
 def partial_prints(texts: DataFrame, words: int = STAGE_WORDS, parts: int = STAGE_PARTS, each: int = STAGE_EACH) -> DataFrame:
     """(key, n, s0 to s3, fps) from texts (key, text): number, sketch and partial fingerprints of each text's distinct shingles.
 
@@ -223,11 +239,10 @@ def partial_prints(texts: DataFrame, words: int = STAGE_WORDS, parts: int = STAG
             sizes, sketches, prints = [], [], []
             for t in bytes_of(b.column(1)):
                 h = np.unique(hashed(shingles(t, words)))
-                kind = h % np.uint64(parts)
                 odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=SKETCH) & 1
                 sizes.append(len(h))
                 sketches.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
-                prints.append(np.unique(np.array([majority(h[kind == p][:each]) for p in np.unique(kind)], np.uint64)).view(np.int64))
+                prints.append(least_prints(h, parts, each).view(np.int64))
             s = np.array(sketches, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *(pa.array(s[:, i]) for i in range(4)), pa.array(prints, pa.list_(pa.int64()))], names=["key", "n", "s0", "s1", "s2", "s3", "fps"])
 
@@ -237,9 +252,10 @@ def partial_prints(texts: DataFrame, words: int = STAGE_WORDS, parts: int = STAG
 @F.pandas_udf(T.DoubleType())
 def shingle_similarity(a: pd.Series, b: pd.Series, words: pd.Series) -> pd.Series:
     """Jaccard similarity of two texts' sets of shingles; 1 for two without words."""
+    known = functools.lru_cache(64)(lambda text, n: frozenset(shingles(text.encode(), n)))
     out = []
     for x, y, n in zip(a, b, words, strict=True):
-        s, t = set(shingles(x.encode(), n)), set(shingles(y.encode(), n))
+        s, t = known(x, n), known(y, n)
         out.append(len(s & t) / len(s | t) if s or t else 1.0)
     return pd.Series(out)
 
@@ -311,36 +327,49 @@ def near_links(texts: DataFrame, words: int, similarity: float, budget: int, all
         met, upto = upto, upto * ROUND_GROWTH
 
 
-def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, budget: int = 2) -> DataFrame:
+def text_nodes(docs: DataFrame, key: str, sha: str, hashed_by: Callable[[Column], Column]) -> DataFrame:
+    """docs with a bigint for each different text in column `key`: a hash, or another one where texts with different
+    SHA-256 digests share it. Column `sha` is a helper."""
+    named = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn(key, hashed_by(F.col(sha)))
+    clash = named.groupBy(F.col(key).alias("k")).agg(F.min(sha).alias("a"), F.max(sha).alias("b")).where("a <> b").select("k")
+    clash = stored(named.select(F.col(key).alias("k"), F.col(sha).alias("d")).join(clash, "k", "left_semi").distinct(), "clash")
+    if clash.isEmpty():
+        return named
+    turn, (other,) = F.row_number().over(Window.partitionBy("k").orderBy("d")), free_names(named, "other")
+    again = stored(clash.withColumn("turn", turn).where("turn > 1").select(F.col("d").alias(sha), F.xxhash64("d", "turn").alias(other)), "clash")
+    return named.join(again, sha, "left").withColumn(key, F.coalesce(other, key)).drop(other)
+
+
+def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = STAGE_SIMILARITY, budget: int = 2, hashed_by: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """The rows of docs, with all their columns, that stay when of each group of near copies one document stays.
 
-    Equal texts are one node (by their 64-bit hash). All nodes that share a partial fingerprint, or have two within the
+    Equal texts (by SHA-256) are one node. All nodes that share a partial fingerprint, or have two within the
     budget, are candidates of each other; a candidate pair is a link if the texts' shingle sets really are as similar
     as asked. Groups are the components of links; of each the row with the least doc_id stays.
 
     Null texts are one group with the empty ones. A null doc_id ranks last. Of rows with one doc_id and text one
-    stays. An empty table gives no rows.
+    stays. An empty table gives no rows. Columns of any name pass through.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_id", F.col("doc_id").cast("long"))
-    texts = keyed.select(F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    key, sha, id_, again_ = free_names(docs, "key", "sha", "id", "again")
+    keyed = text_nodes(docs, key, sha, hashed_by).withColumn(id_, F.col("doc_id").cast("long"))
+    texts = keyed.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     roots = near_links(texts, words, similarity, budget)
-    ids = stored(keyed.select("_key", "_id"), "ids")
-    sums = ids.groupBy("_key").agg(F.min("_id").alias("id"), F.count("*").alias("n"))
+    ids = stored(keyed.select(F.col(key).alias("key"), F.col(id_).alias("id")), "ids")
+    sums = ids.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     if roots is not None:
-        sums = sums.join(roots, sums["_key"] == roots.node, "left").select("_key", "id", "n", F.coalesce("root", "_key").alias("root"))
+        sums = sums.join(roots, sums["key"] == roots.node, "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
         # of a group, the node with the least id stays; nodes without id rank last
-        rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_key").alias("key"))
-        stays = sums.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("_key"))
-        sums = sums.join(stays, "_key")
-    stay = stored(sums.select("_key", F.col("id").alias("_least")), "stay")
-    many = ids.groupBy("_key", "_id").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_id")
-    kept = keyed.join(stay, "_key").where(F.col("_id").eqNullSafe(F.col("_least"))).drop("_least")
-    again = stored(many.join(stay, "_key").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_key", F.lit(True).alias("_again")), "again")
+        rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+        sums = sums.join(sums.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("key")), "key")
+    stay = stored(sums.select(F.col("key").alias(key), F.col("id").alias(again_)), "stay")
+    many = ids.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1")
+    kept = keyed.join(stay, key).where(F.col(id_).eqNullSafe(F.col(again_))).drop(again_)
+    again = stored(many.join(stay, (F.col("key") == F.col(key)) & F.col("id").eqNullSafe(F.col(again_))).select(F.col(key), F.lit(True).alias(again_)), "again")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    kept = kept.join(again, "_key", "left")
-    single = kept.where("_again is null").select(*docs.columns)
-    return single.union(kept.where("_again").dropDuplicates(["_key"]).select(*docs.columns))
+        return kept.select(*columns(docs))
+    kept = kept.join(again, key, "left")
+    single = kept.where(F.col(again_).isNull()).select(*columns(docs))
+    return single.union(kept.where(F.col(again_)).dropDuplicates([key]).select(*columns(docs)))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("key", T.StringType()), ("shard", T.IntegerType()), ("size", T.StringType()), ("row", T.LongType()))]
+    + [T.StructField(n, T.LongType()) for n in ("_id", "_KEY", "_turn", "_source", "_n", "rows", "copies", "to", "place", "n", "root", "grp", "a.b", "_row", "all")]
 )
 
 
@@ -22,7 +23,7 @@ def edge_rows():
     more = [(100, base[3]), (101, base[3]), (102, base[7] + " extra word"), (103, ""), (104, None), (105, " \t\n"), (106, long), (107, long[:9000] + " changed " + long[9000:]), (108, "x"), (109, "É" * 60), (110, "aaaa" * 50), (111, "aaaa" * 60), (112, "12 34 !!"), (113, base[5][:30] + base[6])]
     rows += [(i, t, None, None if i % 2 else "s1", None, None, None, None, None) for i, t in more]
     rows += [rows[2], rows[2], (None, base[1], "en", "s0", 1, "k", 1, "x", 1), (None, None, None, None, None, None, None, None, None)]
-    return rows
+    return [(*r, *[777] * 15) for r in rows]
 
 
 @pytest.fixture(scope="session")

@@ -203,11 +203,30 @@ def test_sharding(docs, none, rows):
         together[r["text_crc32"]].add(r["shard"])
     assert all(len(s) == 1 for s in together.values())
     assert sharding.balanced_shards(none).count() == 0
+    rows_out = sharding.sharded(docs, shards=5)
+    assert rows_out.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in rows_out.collect()) == Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in out)
+    assert rows_out.where("_id <> 777 or _row <> 777 or `a.b` <> 777").count() == 0 and sharding.sharded(none).count() == 0
+
+
+def test_sharding_cuts_fewer_edges(spark):
+    """Label propagation against its start: links of equal texts that cross shards, under exact quotas."""
+    rng = random.Random(8)
+    texts = [f"t{k}" for k in range(60) for _ in range(rng.randint(1, 12))]
+    out = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=6).collect()
+    where = defaultdict(list)
+    for r in out:
+        where[texts[r["doc_id"]]].append(r["shard"])
+    cut = lambda of: sum(a != b for s in of for i, a in enumerate(s) for b in s[:i])
+    k = iter(range(len(texts)))
+    start = [[next(k) % 6 for _ in s] for s in where.values()]
+    assert cut(where.values()) < 0.2 * cut(start)
 
 
 def test_sharding_flows():
     assert sharding.flows([[0, 5], [3, 0]], [0, 0]) == [[0, 3], [3, 0]]
     assert sharding.flows([[0, 5], [0, 0]], [0, 2]) == [[0, 2], [0, 0]]
+    assert sharding.flows([[0, 5], [0, 0], [4, 5]], [2, 5]) == [[0, 2], [0, 0], [4, 2]]
 
 
 def test_decontamination(spark, docs, none, rows):
@@ -292,7 +311,7 @@ def test_mixing(docs, none, rows):
     for r in out:
         assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
         assert 0 <= r["taken"] <= 3 * r["size"]
-        assert len(r["shards"] or []) == math.ceil(r["taken"] / r["size"] if r["size"] else 0)
+        assert len(r["parts"]) == math.ceil(r["taken"] / r["size"] if r["size"] else 0) and sum(x["words"] for x in r["parts"]) == r["taken"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) < 1 for s in order)
     assert mixing.mixed(none).count() == 0
@@ -300,6 +319,44 @@ def test_mixing(docs, none, rows):
     assert Counter(map(str, again)) == Counter(map(str, out))
 
 
+def test_mixing_follows_the_tree(spark):
+    """The tree's quotas add up, shards draw disjoint units in order, and many blocks are summed like few."""
+    rng = random.Random(9)
+    blocks = [(s, b, rng.randint(0, 50), p, r) for s, p, r, n in (("a", 2, 700, 90), ("b", 0, 333, 40), (None, 1, 0, 12)) for b in range(n)]
+    df = spark.createDataFrame(blocks, "source string, block long, block_size long, passes long, rest long")
+    for cell in (4096, 7):
+        mixing.CELL_BLOCKS, before = cell, mixing.CELL_BLOCKS
+        try:
+            got = mixing.drawn(df, 5, 3).collect()
+        finally:
+            mixing.CELL_BLOCKS = before
+        units = {(r["source"], u["unit"]): (u["shard"], u["words"], r["block"]) for r in got for u in r["to"]}
+        assert len(units) == sum(len(r["to"]) for r in got)
+        for s, passes, rest in (("a", 2, 700), ("b", 0, 333), (None, 1, 0)):
+            mine = [units[s, k] for k in range(sum(x == s for x, _ in units))]  # numbers without gaps
+            assert [x[0] for x in mine] == sorted(x[0] for x in mine)
+            size = sum(b[2] for b in blocks if b[0] == s)
+            assert sum(x[1] for x in mine) == passes * size + rest
+        tree = mixing.splitting_tree(spark.createDataFrame([(s, sum(x == s for x, _ in units)) for s in ("a", "b", None)], "source string, units long"), 5, 3).collect()
+        quota = {(r["source"], r["shard"]): r["units"] for r in tree}
+        assert quota == Counter((s, x[0]) for (s, _), x in units.items())
+        per = Counter(x[0] for x in units.values())
+        assert len(per) == 5 and max(per.values()) - min(per.values()) <= 3
+
+
+def test_repeated(spark, docs, none):
+    """Rows pass with all their columns as often as whole copies are drawn; nothing else changes."""
+    got = Counter(r["doc_id"] for r in mixing.repeated(docs, shards=3).collect())
+    want, rows = Counter(), Counter()
+    for r in mixing.mixed(docs, shards=3).collect():
+        rows[r["doc_id"]] += 1
+        want[r["doc_id"]] += sum(2 * x["words"] >= r["size"] for x in r["parts"]) if r["size"] else 1
+    assert {i: n for i, n in got.items() if rows[i] == 1} == {i: n for i, n in want.items() if n and rows[i] == 1}
+    out = mixing.repeated(docs, shards=3)
+    assert out.columns == docs.columns and out.where("_id <> 777 or _KEY <> 777 or copies <> 777").count() == 0
+    assert mixing.repeated(none).count() == 0
+
+
 def test_hypergeometric(spark):
     from pyspark.sql import functions as F
 
@@ -362,6 +419,8 @@ def test_near_dedup_stage(spark, docs, rows):
     kept = simhash.one_of_each(more).collect()
     assert Counter(r["doc_id"] for r in kept if r["doc_id"] in (400, 401, 402)) == {400: 1, 402: 1}
     assert len({r["text"] or "" for r in kept}) == len(kept)
+    whole = simhash.one_of_each(docs)
+    assert whole.columns == docs.columns and whole.where("_id <> 777 or _KEY <> 777 or root <> 777").count() == 0
     assert {t for _, t in texts(rows)} - {r["text"] or "" for r in kept} <= {texts(rows)[k][1] for k, r in enumerate(rows) if r[0] in (6, 102, 107, 113)} | {" \t\n", ""}
 
 
@@ -384,8 +443,9 @@ def test_near_links_are_whole(spark, all_pairs):
     for r in simhash.near_links(df, 5, 0.8, 2, all_pairs).collect():
         groups[r["root"]].add(r["node"])
     assert [len(g) for g in groups.values()] == [61]
-    kept = simhash.one_of_each(df.withColumnRenamed("key", "doc_id")).count()
-    assert kept == 6
+    docs = df.withColumnRenamed("key", "doc_id")
+    assert simhash.one_of_each(docs).count() == 6
+    assert simhash.one_of_each(docs, hashed_by=lambda sha: F.pmod(F.xxhash64(sha), F.lit(9))).count() == 6  # texts with one hash are told apart
 
 
 def test_components(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from braidwork.llm import decontamination, mixing, quality, sharding, simhash
 from braidwork.llm.common import stored, table
 
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     return quality.keep_good(docs)
@@ -28,14 +29,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: each row's shard and slot."""
-    return sharding.balanced_shards(docs)
+    """Sharding: the rows, each with its shard and slot."""
+    return sharding.sharded(docs)
 
 
 STAGES = [("quality classifier", good_quality), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left, with shard and slot. Nulls, ties and repeated rows as each stage's operator says; an
+    empty table passes through all stages."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.common import table
 
-#: Items with fewer words are not searched.
+#: Items with fewer words leak only where they stand whole: one of their words says nothing.
 SEED_WORDS = 3
 #: A seed is a pair of words that lie this far apart, in the item and in the text: a link of two matches and one error at most.
 STEPS = (1, 2)
@@ -25,8 +25,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
 #: The test items are taken in blocks of at most this many bytes of text, which bounds what tasks get.
 BLOCK_BYTES = 16 << 20
-#: Alignments that run together.
-TOGETHER = 256
+#: Alignments that run together, and the cells that their arrays have together at most (one alignment may have more).
+TOGETHER, CELLS = 256, 1 << 22
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -71,15 +71,16 @@ class Searcher:
         vocabulary = sorted({x for _, w in self.items for x in w})
         self.number = {x: i for i, x in enumerate(vocabulary)}
         self.bits = max(1, len(vocabulary).bit_length())
-        if self.bits * 2 > 63:
-            raise ValueError("a block of test items has too many different words; lower BLOCK_BYTES")
         log = np.log((np.array([counts.get(x, 0) for x in vocabulary]) + 0.5) / (total + 0.5 * (len(vocabulary) + 1)))
         self.ids = [np.array([self.number[x] for x in w], np.int64) for _, w in self.items]
         self.need, self.span = np.ones(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        self.share = [threshold if len(ids) >= SEED_WORDS else 1.0 for ids in self.ids]
         keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.single: dict[int, list[int]] = defaultdict(list)
         for k, ids in enumerate(self.ids):
             n = len(ids)
-            if n < SEED_WORDS:
+            if n == 1:
+                self.single[int(ids[0])].append(k)
                 continue
             least = int(np.ceil(MATCH * threshold * n - 1e-9))
             sure = max(1, -(-least // 2) - 1)
@@ -100,8 +101,12 @@ class Searcher:
         """The text's word numbers (-2: in no item), and (item, begin, end) of passages around seeds."""
         number = self.number
         ids = np.array([number.get(x, -2) for x in words(text)], np.int64)
+        found = []
+        if self.single:
+            for x, p in zip(*(y.tolist() for y in np.unique(ids, return_index=True)), strict=True):
+                found += [(k, p, p + 1) for k in self.single.get(x, ())]
         if len(ids) < 2 or not len(self.sorted):
-            return ids, []
+            return ids, found
         met = []
         for d in STEPS:
             u, w = ids[:-d], ids[d:]
@@ -116,12 +121,12 @@ class Searcher:
         met = np.unique(np.concatenate(met))  # a leak's links begin at different words of the text
         k, p = met // len(ids), met % len(ids)
         if not len(k):
-            return ids, []
+            return ids, found
         last = np.arange(len(k)) + self.need[k] - 1
         ok = last < len(k)
         last = np.minimum(last, len(k) - 1)
         ok &= (k[last] == k) & (p[last] - p <= self.span[k])
-        found, done = [], {}
+        done: dict[int, int] = {}
         for k, p in zip(k[ok].tolist(), p[ok].tolist(), strict=True):
             if p <= done.get(k, -1):
                 continue
@@ -136,9 +141,11 @@ class Searcher:
         waiting: list[tuple[int, int, int, np.ndarray]] = []
 
         def settle() -> None:
-            waiting.sort(key=lambda x: len(x[3]))
-            for i in range(0, len(waiting), TOGETHER):
-                part = waiting[i : i + TOGETHER]
+            waiting.sort(key=lambda x: -len(x[3]))
+            i = 0
+            while i < len(waiting):
+                part = waiting[i : i + max(1, min(TOGETHER, CELLS // (len(waiting[i][3]) + 1)))]
+                i += len(part)
                 a = np.full((len(part), max(len(self.ids[k]) for _, k, _, _ in part)), -1, np.int64)
                 b = np.full((len(part), max(len(x) for *_, x in part)), -2, np.int64)
                 for r, (_, k, _, x) in enumerate(part):
@@ -157,13 +164,13 @@ class Searcher:
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, threshold: float = LEAK) -> Iterator[Searcher]:
-    """One Searcher for each block of test items. A block's bytes are bounded, whatever the table's size.
+    """One Searcher for each block of different test items, of half of block_bytes on average, whatever the table's size.
 
     Word probabilities come from all whole texts of docs: each task counts the block's own words, of which there are
     as many as the block has.
     """
     spark = docs.sparkSession
-    sized = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    sized = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     blocks = max(1, -(-2 * (sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     for block in range(blocks):
         rows = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # bounded by block_bytes
@@ -187,9 +194,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> Dat
     """(doc_id, item_id, score, first_word, n_words): one row for each document and test item whose best passage leaks.
 
     score is the alignment's share of the item's highest, 1 for an unchanged copy. Null and empty texts or items have
-    no leaks; items under three words are not searched. All other leaks are found, whatever their words. Repeated rows of either table are reported
-    each (a repeated document once a row, a repeated item once a row). Null ids stay null. Empty tables give no rows;
-    extra columns are ignored.
+    no leaks; items under three words leak where they stand whole, word beside word. All leaks are found, whatever their
+    words. A repeated document is reported once a row, an item that repeats with its id and text once. Null ids stay
+    null. Empty tables give no rows; extra columns are ignored.
     """
     out = None
     for s in searchers(docs, benchmark, threshold=threshold):
@@ -202,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> Dat
                 for d, found in zip(b.column(0).to_pylist(), s.search(b.column(1).to_pylist()), strict=True):
                     best: dict[int, tuple[int, float, int, int]] = {}
                     for x in found:
-                        if x[1] >= threshold and (x[0] not in best or x[1] > best[x[0]][1]):
+                        if x[1] >= s.share[x[0]] and (x[0] not in best or x[1] > best[x[0]][1]):
                             best[x[0]] = x
                     rows += [(d, s.items[k][0], *x[1:]) for k, x in best.items()]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -214,7 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK) -> DataFrame:
-    """The rows of docs, with all their columns, in which no test item leaks."""
+    """The rows of docs, with all their columns, in which no test item leaks; nulls, short items, repeated rows and empty
+    tables as in leaks()."""
     out = docs
     for s in searchers(docs, benchmark, threshold=threshold):
         held = docs.sparkSession.sparkContext.broadcast(s)
@@ -223,7 +231,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = LEAK
         def clean(texts, held=held):  # noqa: ANN001, ANN202
             import pandas as pd
 
-            return pd.Series([all(x[1] < threshold for x in found) for found in held.value.search(list(texts))], dtype=bool)
+            s = held.value
+            return pd.Series([all(x[1] < s.share[x[0]] for x in found) for found in s.search(list(texts))], dtype=bool)
 
         out = out.where(clean("text"))
     return out

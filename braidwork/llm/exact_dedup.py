@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import fold_of, partitions_for, stored, table
@@ -86,11 +86,14 @@ class BinaryFuse:
         return (self.slots[p[0]] ^ self.slots[p[1]] ^ self.slots[p[2]]) == mark
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, sha, key): SHA-256 of the UTF-8 text (null: empty) in hex and its first 64 bits."""
-    return docs.select(F.col("doc_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).withColumn(
-        "key", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long")
-    )
+def sha256(text: Column) -> Column:
+    """SHA-256 of the UTF-8 text (null: empty) in hex."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def digests(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """(doc_id, sha, key): each text's digest and its first 64 bits."""
+    return docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("sha")).withColumn("key", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
 
 
 def filters(snapshot: DataFrame, parts: int) -> DataFrame:
@@ -127,18 +130,18 @@ def screened(batch: DataFrame, built: DataFrame, parts: int) -> DataFrame:
     return keys.groupBy("part").cogroup(built.groupBy("part")).applyInArrow(test, "sha string, key long")
 
 
-def exact_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+def exact_groups(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of snapshot and batch, two tables (doc_id, text).
 
     Incoming digests that pass the snapshot's filters join the snapshot's exact buckets by the whole digest; texts that
     meet there are compared byte by byte with their bucket's first text. The others are grouped among themselves, with
-    the same comparison. Of equal texts the row with the largest doc_id stays.
+    the same comparison. Different texts with one digest are told apart by their bytes. Of equal texts the row with the largest doc_id stays.
 
     A null text counts as empty. A null doc_id keeps its row, ranks below all ids, and is kept only if its group has
     no id (then keep_id is null and all rows of the group say kept). Rows with one doc_id and text twice count twice
     in group_size and both say kept. Empty tables and extra columns are fine.
     """
-    old, new = stored(digests(snapshot), "digests"), stored(digests(batch), "digests")
+    old, new = stored(digests(snapshot, digest), "digests"), stored(digests(batch, digest), "digests")
     parts = max(1, -(-old.count() // PART_KEYS))
     passed = screened(new, stored(filters(old, parts), "filters"), parts)
     buckets = old.groupBy("sha").agg(F.count("*").alias("n_old"), F.max("doc_id").alias("id_old"))
@@ -150,17 +153,20 @@ def exact_groups(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     every = old.select("doc_id", "sha").union(new.select("doc_id", "sha"))
     texts = snapshot.select(F.col("doc_id").cast("long"), "text").union(batch.select(F.col("doc_id").cast("long"), "text"))
     shared = groups.where("n > 1").select("sha", "id")
-    full = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    full = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest(F.col("text")).alias("sha"))
     members = full.join(shared, "sha")
     first = members.where(F.col("doc_id").eqNullSafe(F.col("id"))).select("sha", F.col("text").alias("first")).dropDuplicates(["sha"])
-    # Bytes that differ under one digest would be a SHA-256 collision: such rows leave the group, each for itself.
-    unequal = stored(members.join(first, "sha").where("text <> first").select("doc_id", "sha"), "unequal")
+    unequal = stored(members.join(first, "sha").where("text <> first").select("sha").distinct(), "unequal")
     out = every.join(groups, "sha").select(
         "doc_id", F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     if unequal.isEmpty():
         return out
-    raise ValueError("two different texts share a SHA-256 digest: " + str(unequal.first()))
+    # Texts that differ under one digest are grouped by their bytes instead.
+    clashing = full.join(unequal, "sha")
+    own = clashing.groupBy("sha", "text").agg(F.count("*").alias("n"), F.max("doc_id").alias("id"))
+    apart = clashing.join(own, ["sha", "text"]).select("doc_id", F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.join(unequal, out.text_sha256 == unequal.sha, "left_anti").union(apart)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,12 @@ def test_exact_dedup(docs, none, rows):
     assert exact_dedup.exact_groups(none, none).count() == 0
 
 
+def test_exact_dedup_tells_clashes_apart(docs, rows):
+    weak = lambda text: F.substring(exact_dedup.sha256(text), 1, 1)
+    out = exact_dedup.exact_groups(docs.where(fold_of(docs.doc_id, 2) == 0), docs.where(fold_of(docs.doc_id, 2) == 1), weak).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out) == Counter(x[:4] for x in exact_groups(rows).elements())
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 100, 5000])
 def test_binary_fuse(n):
     rng = np.random.default_rng(n)
@@ -277,6 +283,15 @@ def test_decontamination_finds_all():
     assert leaks > 200
 
 
+def test_decontamination_of_short_and_long_items(spark):
+    long = [f"q{i}" for i in range(3000)]
+    items = spark.createDataFrame([(1, "Zanzibar"), (2, "blue whale"), (3, " ".join(long)), (2, "blue whale"), (4, ""), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "to zanzibar!"), (2, "a blue whale"), (3, "blue big whale"), (4, "a whale blue"), (5, " ".join(long[:1000] + ["x"] + long[1000:2500])), (6, " ".join(long[:1400]))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.leaks(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, 3)} and got[2, 2] == 1 and got[5, 3] == pytest.approx(4999 / 6000)
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).collect()) == [3, 4, 6]
+
+
 def test_smith_waterman():
     def slow(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)

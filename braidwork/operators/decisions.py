@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidwork.config import FEEDBACK, RATE_LIMITS, REFERENCE_JUDGE, Feedback
-from braidwork.functions.text import forbidden_words
+from braidwork.functions.text import forbidden_words, normalize_name
 from braidwork.functions.timeutil import quiet_hours, trade_date
 
 REPLACED_EXPLANATION = "설명을 표시할 수 없습니다 — 근거 확인이 필요합니다."
@@ -129,3 +129,13 @@ def pass_rate(outcomes: DataFrame) -> DataFrame:
     """Passed over scored cases; 1 without any."""
     scored = F.count_if(F.col("outcome") != "NEEDS_LLM_REVIEW")
     return outcomes.agg(F.when(scored == 0, F.lit(1.0)).otherwise(F.count_if(F.col("outcome") == "PASS") / scored).alias("pass_rate"))
+
+
+def keyword_requests(requests: DataFrame, request_id: str, at: str, most: int = 5) -> DataFrame:
+    """Q23: requests (user_id, keyword) in their order with `result`: OK, DUPLICATE if the user has the normalised keyword, or
+    PLAN_LIMIT once the user has `most`. What a user has is what they asked for first, up to the limit."""
+    asked = requests.withColumn("keyword_norm", normalize_name(F.col("keyword")))
+    fresh = F.row_number().over(Window.partitionBy("user_id", "keyword_norm").orderBy(at, request_id)) == 1
+    before = Window.partitionBy("user_id").orderBy(at, request_id).rowsBetween(Window.unboundedPreceding, -1)
+    kept = F.coalesce(F.sum(F.col("fresh").cast("int")).over(before), F.lit(0))
+    return asked.withColumn("fresh", fresh).withColumn("result", F.when(kept >= most, "PLAN_LIMIT").when(F.col("fresh"), "OK").otherwise("DUPLICATE")).drop("fresh")

@@ -132,3 +132,11 @@ def budgeted_subgraph(connections: DataFrame, max_nodes: int = 60) -> DataFrame:
         return pd.DataFrame({"cluster_id": rows["cluster_id"], "connection_id": rows["connection_id"], "kept": kept, "truncated": not all(kept)})
 
     return connections.groupBy("cluster_id").applyInPandas(fold, "cluster_id long, connection_id long, kept boolean, truncated boolean")
+
+
+def lanes(nodes: DataFrame, key: list[str], order: list[str], width: float, height: float, count: int = 4, padding: float = 36) -> DataFrame:
+    """Nodes (key, lane, order) with x and y of the still layout: a lane's nodes stand evenly between the paddings, a single one in the middle."""
+    w = Window.partitionBy(*key, "lane")
+    i, n = F.row_number().over(w.orderBy(*order)) - 1, F.count("*").over(w)
+    y = F.when(n == 1, F.lit(height / 2)).otherwise(F.lit(float(padding)) + i * F.lit(float(height - 2 * padding)) / (n - 1))
+    return nodes.withColumn("x", F.col("lane") * F.lit(width / count) + F.lit(width / count / 2)).withColumn("y", y)

@@ -162,3 +162,8 @@ def cache_hits(requests: DataFrame, runs: DataFrame) -> DataFrame:
     keys = ["stage", "prompt_version", "input_hash"]
     ok = latest(runs.where("status = 'OK'"), keys, "created_at", "run_id").select(*keys, "run_id")
     return requests.join(ok, keys, "left")
+
+
+def unlisted(entities: DataFrame, stoplist: DataFrame) -> DataFrame:
+    """entities whose name_norm is not on the stop list (name_norm); a null name stays."""
+    return entities.join(stoplist.select("name_norm").distinct(), "name_norm", "left_anti").select(*entities.columns)

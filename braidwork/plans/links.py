@@ -93,29 +93,30 @@ def judged_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers s and 3s + 1 of every third one are the same."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 3 + 1) % 97).cast("long").alias("b"))
+    """Each supplier s is the same as s - 1 unless s is divisible by 7, and as s + 70 where s is divisible by 14."""
+    k = F.col("s_suppkey").cast("long")
+    s = table(spark, sf_dir, "supplier").select(k.alias("a"), F.when(k % 14 == 0, k + 70).when(k % 7 == 0, k).otherwise(k - 1).alias("b"))
     return G.components(s)
 
 
 def ancestor_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closures of the first regions over edges but those among suppliers and back to regions."""
+    """Closures of all nations over edges but those among suppliers and back to regions."""
     e = view(spark, sf_dir, "edge").where("edge_type not in ('AFFILIATION', 'BELONGS_TO')")
-    starts = table(spark, sf_dir, "nation").where("n_nationkey < 6").select((F.col("n_nationkey") + 2000).cast("long").alias("start"))
+    starts = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000).cast("long").alias("start"))
     return G.closure(starts, e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).select("start", "node_id", "side")
 
 
 def edges_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0").select((F.col("n_nationkey") + 2000).cast("long").alias("node_id"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000).cast("long").alias("node_id"))
     return touching(view(spark, sf_dir, "edge"), n).select("edge_id", "src", "dst")
 
 
 def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks of two edges or fewer as text."""
+    """All walks of three edges or fewer between nations and suppliers as text."""
     nodes = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2000).cast("long").alias("node_id"), F.lit("CONCEPT").alias("kind"), F.col("n_name").alias("label"))
     nodes = nodes.union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + 100000, F.lit("COMPANY"), F.col("s_name")))
-    w = _walks(spark, sf_dir).where("hop <= 2")
+    w = _walks(spark, sf_dir)
     return G.assemble_paths(w, nodes, view(spark, sf_dir, "edge")).select("start", "node_id", F.array_join(F.transform("path", lambda s: s["label"]), " → ").alias("path"))
 
 
@@ -166,15 +167,15 @@ SELECT n AS name_id, c AS concept_id FROM n, c WHERE length(n) >= 2 AND length(c
 t AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY s DESC, path, node_id) AS k FROM b WHERE n = 1) SELECT start, node_id AS company_id, s AS recall_score, CAST(k AS INT) AS rank FROM t WHERE k <= 40""",
     "judged_walks": _WITH_WALK + """ SELECT rule AS recall_rule, CASE rule WHEN 'GRAPH_EXPAND' THEN 'AFFILIATION' WHEN 'SUPPLY_DICT' THEN 'SUPPLY_CHAIN' WHEN 'PERSON_DICT' THEN 'PERSON' ELSE 'THEME' END AS connection_type,
   CASE rule WHEN 'GRAPH_EXPAND' THEN 8 WHEN 'SUPPLY_DICT' THEN 75 WHEN 'PERSON_DICT' THEN 60 ELSE 40 END AS business_relevance, CASE rule WHEN 'GRAPH_EXPAND' THEN 70 WHEN 'THEME_DICT' THEN 10 ELSE 0 END AS meme_llm, 90 AS confidence_llm, count(*) AS n FROM cw GROUP BY 1, 2, 3, 4, 5""",
-    "canonical_components": """WITH RECURSIVE e AS (SELECT s_suppkey AS a, (s_suppkey * 3 + 1) % 97 AS b FROM supplier WHERE s_suppkey % 3 = 0), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "canonical_components": """WITH RECURSIVE e AS (SELECT s_suppkey AS a, CASE WHEN s_suppkey % 14 = 0 THEN s_suppkey + 70 WHEN s_suppkey % 7 = 0 THEN s_suppkey ELSE s_suppkey - 1 END AS b FROM supplier), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node_id, a AS x FROM l UNION SELECT r.node_id, l.b FROM r JOIN l ON r.x = l.a) SELECT node_id, min(x) AS root FROM r GROUP BY node_id""",
-    "ancestor_descendant": with_views("edge", recursive=True) + """, e AS (SELECT src, dst FROM edge WHERE edge_type NOT IN ('AFFILIATION', 'BELONGS_TO')), s AS (SELECT 2000 + n_nationkey AS start FROM nation WHERE n_nationkey < 6),
+    "ancestor_descendant": with_views("edge", recursive=True) + """, e AS (SELECT src, dst FROM edge WHERE edge_type NOT IN ('AFFILIATION', 'BELONGS_TO')), s AS (SELECT 2000 + n_nationkey AS start FROM nation),
 up AS (SELECT start, start AS node_id FROM s UNION SELECT u.start, e.src FROM up u JOIN e ON e.dst = u.node_id),
 down AS (SELECT start, start AS node_id FROM s UNION SELECT d.start, e.dst FROM down d JOIN e ON e.src = d.node_id)
 SELECT start, node_id, 'ancestor' AS side FROM up WHERE node_id <> start UNION ALL SELECT start, node_id, 'descendant' FROM down WHERE node_id <> start AND (start, node_id) NOT IN (SELECT (start, node_id) FROM up)""",
-    "edges_touching": with_views("edge") + ", n AS (SELECT 2000 + n_nationkey AS k FROM nation WHERE n_nationkey % 4 = 0) SELECT edge_id, src, dst FROM edge WHERE src IN (SELECT k FROM n) OR dst IN (SELECT k FROM n)",
+    "edges_touching": with_views("edge") + ", n AS (SELECT 2000 + n_nationkey AS k FROM nation) SELECT edge_id, src, dst FROM edge WHERE src IN (SELECT k FROM n) OR dst IN (SELECT k FROM n)",
     "path_labels": _WITH_WALK + """, lab AS (SELECT 2000 + n_nationkey AS k, n_name AS label FROM nation UNION ALL SELECT 100000 + s_suppkey, s_name FROM supplier)
-SELECT w.start, w.node_id, a.label || ' → ' || b.label || CASE WHEN hop = 2 THEN ' → ' || c.label ELSE '' END AS path FROM walk w JOIN lab a ON a.k = w.nodes[1] JOIN lab b ON b.k = w.nodes[2] LEFT JOIN lab c ON c.k = w.nodes[3] WHERE hop = 1 OR (hop = 2 AND c.k IS NOT NULL)""",
+SELECT w.start, w.node_id, concat_ws(' → ', a.label, b.label, c.label, d.label) AS path FROM walk w JOIN lab a ON a.k = w.nodes[1] JOIN lab b ON b.k = w.nodes[2] LEFT JOIN lab c ON c.k = w.nodes[3] LEFT JOIN lab d ON d.k = w.nodes[4] WHERE (hop < 2 OR c.k IS NOT NULL) AND (hop < 3 OR d.k IS NOT NULL)""",
     "vec_top1": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT query_id, arg_max(vec_id, (c, -vec_id)) AS vec_id, floor(max(c) * 1e5 + 0.5) / 1e5 AS cosine FROM p GROUP BY query_id""",
 }

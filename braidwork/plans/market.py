@@ -69,18 +69,9 @@ def rescore_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("id", "new_mr", connection_score(s, F.col("kind"), F.col("hops"), F.col("gap"), F.col("ambiguous"), F.lit(False)).alias("score"))
 
 
-def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q8: the ten company-days that moved most (unknown ones first, as the reference's sort has them), each with its company's best visible connection."""
-    top = with_ratio(daily_market(spark, sf_dir)).withColumn("move", F.abs("change_pct")).orderBy(F.desc_nulls_first("move"), "company_id", "trade_date").limit(10)
-    w = Window.partitionBy("company_id").orderBy(F.desc("br"), "id")
-    c = view(spark, sf_dir, "connection").where("status <> 'PENDING'").join(top.select("company_id").distinct(), "company_id", "left_semi")
-    best = c.withColumn("n", F.row_number().over(w)).where("n = 1").select("company_id", F.col("id").alias("connection_id"))
-    return top.join(best, "company_id", "left").select("company_id", "trade_date", "change_pct", "connection_id")
-
-
 QUERIES = {
     "market_reaction": market_reaction_query, "volume_ratio20": volume_ratio20, "sparkline5": sparkline5, "last_value_per_day": last_value_per_day, "market_hours": market_hours,
-    "snapshot_as_of": snapshot_as_of, "rescore_market": rescore_market, "movers": movers,
+    "snapshot_as_of": snapshot_as_of, "rescore_market": rescore_market,
 }
 
 RATIO = """w AS (
@@ -121,7 +112,4 @@ SELECT event_id, CAST(t AS DATE) AS local_day, CASE WHEN dayofweek(t) IN (0, 6)
     "rescore_market": with_views("connection", "daily") + "," + RATIO.format(of="daily") + f""", s AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS n FROM ratio WHERE volume_ratio IS NOT NULL AND change_pct IS NOT NULL),
 j AS (SELECT c.*, {REACTION} AS new_mr FROM connection c JOIN s ON c.company_id = s.company_id AND s.n = 1 WHERE status IN ('ACTIVE', 'DISPUTED'))
 SELECT id, new_mr, {score_sql("new_mr")} AS score FROM j WHERE new_mr IS DISTINCT FROM mr""",
-    "movers": with_views("connection", "daily") + "," + RATIO.format(of="daily") + """, t AS (SELECT * FROM ratio ORDER BY abs(change_pct) DESC NULLS FIRST, company_id, trade_date LIMIT 10),
-b AS (SELECT company_id, id, row_number() OVER (PARTITION BY company_id ORDER BY br DESC, id) AS n FROM connection WHERE status <> 'PENDING')
-SELECT t.company_id, t.trade_date, t.change_pct, b.id AS connection_id FROM t LEFT JOIN b ON t.company_id = b.company_id AND b.n = 1""",
 }

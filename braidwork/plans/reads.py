@@ -29,8 +29,6 @@ def top(df: DataFrame, keys: list[str], order: list[Column | str], n: int, rank:
     return out.drop(rank) if rank == "_n" else out
 
 
-
-
 def _order() -> list[Column]:
     return [F.desc("score"), F.col("id"), F.col("company_id"), F.col("entity_id")]
 
@@ -49,13 +47,6 @@ def cluster_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(visible(connections(spark, sf_dir)), ["cluster_id"], _order(), 4, "rank").select("cluster_id", "id", "company_id", "entity_id", "score", "rank")
 
 
-def home_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5, Q10: the 5 clusters with most visible connections on the newest day, each with its best score and a preview."""
-    c = on_latest_day(visible(connections(spark, sf_dir)))
-    g = c.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    return g.orderBy(F.desc("n"), F.desc("best"), "cluster_id").limit(5)
-
-
 def meme_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best meme connections of the newest day, one a company."""
     c = on_latest_day(visible(connections(spark, sf_dir))).where(is_meme(F.col("kind"), F.col("meme")))
@@ -75,38 +66,11 @@ def _meme_top(c: DataFrame) -> DataFrame:
     return ten.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "company_id", "id", "meme")  # 10 rows
 
 
-def recent_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q9: the 20 newest visible connections."""
-    return visible(connections(spark, sf_dir)).orderBy(F.desc("trade_date"), "id", "company_id", "entity_id").limit(20).select("id", "company_id", "entity_id", "trade_date")
-
-
-def connection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Business kinds without memes, by market reaction, 3 of a cluster."""
-    c = visible(connections(spark, sf_dir)).where(F.col("kind").isin(*BUSINESS_KINDS) & ~is_meme(F.col("kind"), F.col("meme")))
-    return top(c, ["cluster_id"], [F.desc(F.coalesce("mr", F.lit(-1))), *_order()], 3, "rank").select("cluster_id", "id", "company_id", "entity_id", "rank")
-
-
-def stock_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q15: visible connections of each company in the 30 days up to the newest, with names."""
-    c = visible(connections(spark, sf_dir))
-    end = c.agg(F.max("trade_date").alias("end"))
-    c = c.join(F.broadcast(end), within_days(F.col("trade_date"), F.col("end"), 30))
-    return c.join(view(spark, sf_dir, "company"), "company_id").groupBy("company_id", "ticker", "market").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-
-
 def entity_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q16: companies of each entity: connections and best score."""
     return visible(connections(spark, sf_dir)).groupBy("entity_id").agg(F.count("*").alias("n"), F.count_distinct("company_id").alias("companies"), F.max("score").alias("best"))
 
 
-def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies and parts whose names contain a text in any case, 10 of each kind."""
-    q = "%00001%"
-    co = view(spark, sf_dir, "company").where(F.col("company_name").ilike(q)).select(F.lit("company").alias("kind"), F.col("company_id").alias("ref_id"), F.col("company_name").alias("name")).orderBy("ref_id").limit(10)
-    pa = table(spark, sf_dir, "part").where(F.col("p_name").ilike("%A%1%")).select(F.lit("entity"), "p_partkey", "p_name").orderBy("p_partkey").limit(10)
-    return co.union(pa)
-
-
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q19: pending or disputed connections of 50 points or more, newest 50."""
     c = connections(spark, sf_dir).where(F.col("status").isin("PENDING", "DISPUTED") & (F.col("score") >= 50))
@@ -128,8 +92,8 @@ def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "latest_trade_date": latest_trade_date, "cluster_connections": cluster_connections, "home_clusters": home_clusters, "meme_rank": meme_rank, "weekly_meme": weekly_meme, "recent_connections": recent_connections, "connection_list": connection_list,
-    "stock_connections": stock_connections, "entity_hub": entity_hub, "search": search, "review_queue": review_queue, "bookmarks": bookmarks, "customer_sources": customer_sources,
+    "latest_trade_date": latest_trade_date, "cluster_connections": cluster_connections, "meme_rank": meme_rank, "weekly_meme": weekly_meme, 
+    "entity_hub": entity_hub, "review_queue": review_queue, "bookmarks": bookmarks, "customer_sources": customer_sources,
 }
 
 _BASE = with_views("connection", "company") + f", s AS (SELECT *, CAST({score_sql('mr')} AS BIGINT) AS score, kind = 'MEME' OR meme >= 70 AS is_meme FROM connection), v AS (SELECT * FROM s WHERE status IN ('ACTIVE', 'DISPUTED', 'CORRECTED'))"
@@ -139,14 +103,9 @@ _MEMES = ", o AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY
 ORACLE_SQL = {
     "latest_trade_date": "SELECT max(CAST(o_orderdate AS DATE)) AS trade_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "cluster_connections": _BASE + f", r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {_BY}) AS rank FROM v) SELECT cluster_id, id, company_id, entity_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4",
-    "home_clusters": _BASE + " SELECT cluster_id, count(*) AS n, max(score) AS best FROM v WHERE trade_date = (SELECT max(trade_date) FROM v) GROUP BY 1 ORDER BY n DESC, best DESC, cluster_id LIMIT 5",
     "meme_rank": _BASE + ", d AS (SELECT * FROM v WHERE trade_date = (SELECT max(trade_date) FROM v))" + _MEMES,
     "weekly_meme": _BASE + ", d AS (SELECT * FROM v WHERE trade_date >= (SELECT max(trade_date) - 6 FROM v))" + _MEMES,
-    "recent_connections": _BASE + " SELECT id, company_id, entity_id, trade_date FROM v ORDER BY trade_date DESC, id, company_id, entity_id LIMIT 20",
-    "connection_list": _BASE + f", r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(mr, -1) DESC, {_BY}) AS rank FROM v WHERE kind NOT IN ('NAME_MATCH', 'KEYWORD', 'MEME') AND NOT is_meme) SELECT cluster_id, id, company_id, entity_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3",
-    "stock_connections": _BASE + " SELECT v.company_id, ticker, market, count(*) AS n, max(score) AS best FROM v JOIN company c ON v.company_id = c.company_id WHERE trade_date >= (SELECT max(trade_date) - 29 FROM v) GROUP BY 1, 2, 3",
     "entity_hub": _BASE + " SELECT entity_id, count(*) AS n, count(DISTINCT company_id) AS companies, max(score) AS best FROM v GROUP BY 1",
-    "search": with_views("company") + " SELECT * FROM (SELECT 'company' AS kind, company_id AS ref_id, company_name AS name FROM company WHERE company_name ILIKE '%00001%' ORDER BY company_id LIMIT 10) a UNION ALL SELECT * FROM (SELECT 'entity', p_partkey, p_name FROM part WHERE p_name ILIKE '%A%1%' ORDER BY p_partkey LIMIT 10) b",
     "review_queue": _BASE + " SELECT id, company_id, entity_id, score FROM s WHERE status IN ('PENDING', 'DISPUTED') AND score >= 50 ORDER BY trade_date DESC, id, company_id, entity_id LIMIT 50",
     "bookmarks": """WITH f AS (SELECT user_id, event_id % 500 AS connection_id, min((ts, event_id)) AS m FROM events WHERE event_type = 'click' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC) AS rank FROM f)
 SELECT user_id, connection_id, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""",

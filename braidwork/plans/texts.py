@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from braidwork.config import DANGER_WORDS, FORBIDDEN_WORDS, NEGATIVE_PERSON_WORDS, SAFE_PHRASES, TRACKING_PARAMETERS
 from braidwork.functions import text as X
 from braidwork.functions.hashing import simhash32
 from braidwork.operators.matching import cache_hits, jaccard_pairs, near_hashes
@@ -79,17 +80,21 @@ def alias_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F6, F7 on texts that get forbidden words by key."""
-    word = F.element_at(F.array(*map(F.lit, ("추천", "매수 매수", "화재", "투자 추천·자문이 아닙니다", "구속", ""))), (F.col("id") % 6 + 1).cast("int"))
-    t = F.concat(F.lit("x "), word, F.lit(" y"))
-    return view(spark, sf_dir, "article").select("id", F.size(X.forbidden_words(t)).alias("forbidden"), X.is_dangerous(t).alias("danger"), X.is_negative_person(t).alias("negative"))
+    """F6, F7 on whole texts: the article's, with a word of the lists put into it where its id says so; counts and first place."""
+    words = F.array(*map(F.lit, ("추천", "매수 매수", "화재", "투자 추천·자문이 아닙니다", "구속", "", "목표가 사라", "사망")))
+    a = view(spark, sf_dir, "article").withColumn("t", F.concat_ws(" ", "text", F.element_at(words, (F.col("id") % 8 + 1).cast("int")), "title"))
+    f = X.forbidden_words(F.col("t"))
+    return a.select("id", F.size(f).alias("forbidden"), F.array_min(F.transform(f, lambda x: x["index"])).alias("first_at"), X.is_dangerous(F.col("t")).alias("danger"), X.is_negative_person(F.col("t")).alias("negative"))
 
 
 def verbatim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: number of 21-character runs of each title that the text of the article before holds."""
+    """F8: different 21-character runs of each article's summary that the article's or the one before's whole text holds. Summaries
+    are the text's 40 characters in the middle, of every second article with letters changed, and the title."""
     a = view(spark, sf_dir, "article")
-    b = a.select((F.col("id") + 1).alias("id"), F.substring("text", 1, 2000).alias("before"))
-    return a.join(b, "id").select("id", F.size(X.long_quotes(F.substring("text", 1, 60), F.array("before"))).alias("quotes"))
+    mid = F.expr("substring(text, cast(length(text) div 2 as int) + 1, 40)")
+    s = a.withColumn("summary", F.concat_ws(" / ", F.when(F.col("id") % 2 == 0, mid).otherwise(F.translate(mid, "ae", "ea")), "title"))
+    b = a.select((F.col("id") + 1).alias("id"), F.col("text").alias("before"))
+    return s.join(b, "id", "left").select("id", F.size(X.long_quotes(F.col("summary"), F.array("text", F.coalesce("before", F.lit(""))))).alias("quotes"))
 
 
 def input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +121,18 @@ sim AS (SELECT id, title, CAST(coalesce(list_sum(list_transform(range(32), lambd
 
 _URL = r"regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query'])"
 
+
+
+def _sql_list(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _masked(column: str) -> str:
+    for p in SAFE_PHRASES:
+        column = f"replace({column}, '{p}', '{' ' * len(p)}')"
+    return column
+
+
 ORACLE_SQL = {
     "title_tokens": with_views("article") + _TOK + " SELECT id, array_to_string(tokens, '|') AS tokens FROM tok",
     "simhash32": with_views("article") + _SIM + " SELECT id, simhash FROM sim",
@@ -127,7 +144,7 @@ SELECT x AS a, y AS b, floor(c / (n - c) * 1e6 + 0.5) / 1e6 AS jaccard FROM j WH
 SELECT cluster_id, arg_min(id, (tier, minute, id)) AS article_id, count(*) AS articles,
   floor((log2(greatest(count(*), 1)) * 20 + CASE min(tier) WHEN 1 THEN 15 WHEN 2 THEN 8 ELSE 0 END + count(*) FILTER (fetched_minute > 900) * 5) * 100 + 0.5) / 100 AS heat FROM g GROUP BY cluster_id""",
     "canonical_pages": f"""WITH u AS (SELECT page_id, trim(url) AS url, {_URL} AS p FROM pages),
-q AS (SELECT page_id, url, p, list_filter(string_split(substr(p.query, 2), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'igshid', 'ref', 'ref_src', 'spm', 'cmpid', 'NB_SRC')) AS k FROM u),
+q AS (SELECT page_id, url, p, list_filter(string_split(substr(p.query, 2), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN {TRACKING_PARAMETERS}) AS k FROM u),
 s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(k, lambda x, i: {{'k': split_part(x, '=', 1), 'i': i, 'x': CASE WHEN contains(x, '=') THEN x ELSE x || '=' END}})), lambda x: x.x), '&') AS kept FROM q),
 c AS (SELECT page_id, CASE WHEN p.scheme = '' OR p.host = '' THEN url ELSE lower(p.scheme) || '://' || lower(p.host) || CASE WHEN p.path = '' THEN '/' WHEN length(p.path) > 1 THEN regexp_replace(p.path, '/$', '') ELSE p.path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM s)
 SELECT canonical, min(page_id) AS page_id, count(*) AS pages FROM c GROUP BY canonical""",
@@ -137,9 +154,13 @@ SELECT canonical, min(page_id) AS page_id, count(*) AS pages FROM c GROUP BY can
     "alias_expand": r"""WITH a AS (SELECT p_partkey AS company_id, p_name AS alias, 'OFFICIAL' AS alias_type FROM part UNION SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 'TICKER' FROM part UNION SELECT p_partkey, p_brand, 'BRAND' FROM part),
 b AS (SELECT company_id, trim(alias) AS alias, lower(regexp_replace(regexp_replace(alias, '\s+', '', 'g'), '[.,''"·\-_/]', '', 'g')) AS alias_norm, alias_type FROM a)
 SELECT company_id, alias, alias_norm, alias_type, length(alias_norm) <= 1 AS is_ambiguous FROM b WHERE alias_norm <> '' AND NOT regexp_matches(alias, '^[A-Za-z]{1,2}$')""",
-    "title_guards": with_views("article") + " SELECT id, CASE id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS forbidden, id % 6 = 2 AS danger, id % 6 = 4 AS negative FROM article",
-    "verbatim_quotes": with_views("article") + """, p AS (SELECT a.id, substr(a.text, 1, 60) AS s, substr(b.text, 1, 2000) AS t FROM article a JOIN article b ON a.id = b.id + 1)
-SELECT id, CAST(len(list_distinct(list_filter(list_transform(range(1, greatest(1, length(s) - 19)), lambda i: substr(s, i, 21)), lambda w: contains(t, w)))) AS INT) AS quotes FROM p""",
+    "title_guards": with_views("article") + f""", t AS (SELECT id, concat_ws(' ', text, list_extract(['추천', '매수 매수', '화재', '투자 추천·자문이 아닙니다', '구속', '', '목표가 사라', '사망'], id % 8 + 1), title) AS t FROM article),
+m AS (SELECT id, t, {_masked("t")} AS m FROM t), w AS (SELECT id, t, m, unnest({_sql_list(FORBIDDEN_WORDS)}) AS w FROM m)
+SELECT id, CAST(sum((length(m) - length(replace(m, w, ''))) // length(w)) AS INT) AS forbidden, CAST(min(nullif(instr(m, w), 0)) - 1 AS INT) AS first_at,
+  len(list_filter({_sql_list(DANGER_WORDS)}, lambda x: contains(first(t), x))) > 0 AS danger, len(list_filter({_sql_list(NEGATIVE_PERSON_WORDS)}, lambda x: contains(first(t), x))) > 0 AS negative FROM w GROUP BY id""",
+    "verbatim_quotes": with_views("article") + """, m AS (SELECT *, substr(text, CAST(length(text) // 2 AS BIGINT) + 1, 40) AS mid FROM article),
+s AS (SELECT a.id, concat_ws(' / ', CASE WHEN a.id % 2 = 0 THEN mid ELSE translate(mid, 'ae', 'ea') END, a.title) AS s, a.text, coalesce(b.text, '') AS before FROM m a LEFT JOIN article b ON a.id = b.id + 1)
+SELECT id, CAST(len(list_distinct(list_filter(list_transform(range(1, greatest(1, length(s) - 19)), lambda i: substr(s, i, 21)), lambda w: contains(text, w) OR contains(before, w)))) AS INT) AS quotes FROM s""",
     "input_hashes": "SELECT conv_id, turn, sha256(role || chr(0) || text || chr(0)) AS hash FROM conversations",
     "run_cache": with_views("run") + """, r AS (SELECT *, CAST(floor(cost_usd * 10) AS BIGINT) AS h FROM run), ok AS (SELECT stage, model, h, arg_max(run_id, (ts, run_id)) AS run_id FROM r WHERE status = 'OK' GROUP BY 1, 2, 3)
 SELECT r.run_id AS request_id, ok.run_id FROM r LEFT JOIN ok ON r.stage = ok.stage AND r.model = ok.model AND r.h = ok.h""",

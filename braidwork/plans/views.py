@@ -31,11 +31,13 @@ VIEWS = {
   UNION ALL SELECT 20000000 + n_nationkey, 1000 + n_regionkey, 2000 + n_nationkey, 'RELATED_CONCEPT', 0.4e0 + (n_nationkey % 5) / 1e1 FROM {nation}
   UNION ALL SELECT CAST(30000000 + s_suppkey AS BIGINT), 2000 + s_nationkey, CAST(100000 + s_suppkey AS BIGINT), CASE WHEN s_suppkey % 2 = 0 THEN 'SUPPLY_CHAIN' ELSE 'PERSON_OF' END, 0.3e0 + (s_suppkey % 7) / 1e1 FROM {supplier}
   UNION ALL SELECT CAST(40000000 + s_suppkey AS BIGINT), CAST(100000 + s_suppkey AS BIGINT), CAST(100000 + (3 * s_suppkey + 1) % 97 AS BIGINT), 'AFFILIATION', 0.5e0 + (s_suppkey % 5) / 1e1 FROM {supplier}) x""",
+    "cluster": "SELECT c.c_custkey AS cluster_id, c.c_mktsegment || ' ' || c.c_name AS headline, CAST(max(o.o_orderdate) AS DATE) AS trade_date, CAST(min(o.o_orderdate) AS DATE) AS first_seen, count(*) AS articles, CAST(1 + c.c_custkey % 3 AS BIGINT) AS tier, CAST(c.c_custkey % 4 AS BIGINT) AS recent FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey, c.c_mktsegment, c.c_name",
+    "mention": "SELECT o.o_custkey AS cluster_id, CAST(l.l_partkey AS BIGINT) AS entity_id, least(max(l.l_quantity) / 5e1, 1e0) AS importance FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, l.l_partkey",
     "run": "SELECT event_id AS run_id, event_type AS stage, CAST(user_id % 3 AS STRING) AS model, value / 1000 AS cost_usd, CAST(ts AS DATE) AS day, ts, CASE event_id % 5 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'ERROR' ELSE 'OK' END AS status FROM {events}",
     "feedback": "SELECT user_id AS connection_id, CASE event_type WHEN 'view' THEN 'UNDERSTOOD' WHEN 'click' THEN 'FARFETCHED' WHEN 'error' THEN 'WRONG' END AS kind FROM {events}",
 }
 
-_USES = {"daily": ("lineitem",), "company": ("supplier", "nation"), "article": ("documents",), "connection": ("lineitem", "orders"), "alias": ("part",), "edge": ("nation", "supplier"), "run": ("events",), "feedback": ("events",)}
+_USES = {"daily": ("lineitem",), "company": ("supplier", "nation"), "article": ("documents",), "connection": ("lineitem", "orders"), "alias": ("part",), "cluster": ("customer", "orders"), "mention": ("lineitem", "orders"), "edge": ("nation", "supplier"), "run": ("events",), "feedback": ("events",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

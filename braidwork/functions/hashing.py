@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a of 32 bits over code points, as a bigint from 0 to 2^32 - 1."""
-    step = lambda h, c: ((h.bitwiseXOR(F.ascii(c).cast("long"))) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    """FNV-1a of 32 bits over UTF-16 units, as a bigint from 0 to 2^32 - 1."""
+    unit = lambda h, u: (h.bitwiseXOR(u.cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+
+    def step(h: Column, c: Column) -> Column:
+        cp = F.ascii(c)
+        over = cp - 0x10000  # such a code point is two units
+        return F.when(cp <= 0xFFFF, unit(h, cp)).otherwise(unit(unit(h, F.shiftright(over, 10) + 0xD800), over.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
 
 
 def simhash32(tokens: Column) -> Column:
     """Bit k is set if more tokens' hashes have it than not; 0 without tokens. Each token is hashed once."""
-    hashes = F.transform(tokens, fnv1a)
-    votes = F.aggregate(
-        hashes,
-        F.array_repeat(F.lit(0), 32),
-        lambda a, h: F.transform(a, lambda v, k: v + F.when(h.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), k + 1)) != 0, 1).otherwise(-1)),
-    )
-    bits = F.transform(votes, lambda v, k: F.when(v > 0, F.element_at(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), k + 1)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def bits(hashes: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for bit in (F.lit(1 << k).cast("long") for k in range(32)):
+            having = F.filter(hashes, lambda h: h.bitwiseAND(bit) != 0)  # noqa: B023
+            out = out + F.when(2 * F.size(having) > F.size(hashes), bit).otherwise(F.lit(0).cast("long"))
+        return out
+
+    return F.element_at(F.transform(F.array(F.transform(tokens, fnv1a)), bits), 1)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -106,10 +106,19 @@ def input_hash(*parts: Column) -> Column:
 
 def forbidden_words(text: Column) -> Column:
     """array of (word, index) of all occurrences outside safe phrases, words in their order; null text gives none."""
+    return F.concat(*[_occurrences(_masked(text), w) for w in FORBIDDEN_WORDS])
+
+
+def has_forbidden_words(text: Column) -> Column:
+    """whether there is any, in one scan."""
+    return mentions_any(_masked(text), FORBIDDEN_WORDS)
+
+
+def _masked(text: Column) -> Column:
     masked = F.coalesce(text, F.lit(""))
     for p in SAFE_PHRASES:
         masked = F.replace(masked, F.lit(p), F.lit(" " * len(p)))
-    return F.concat(*[_occurrences(masked, w) for w in FORBIDDEN_WORDS])
+    return masked
 
 
 def _occurrences(text: Column, word: str) -> Column:

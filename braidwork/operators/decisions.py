@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidwork.config import FEEDBACK, RATE_LIMITS, REFERENCE_JUDGE, Feedback
-from braidwork.functions.text import forbidden_words, normalize_name
+from braidwork.functions.text import has_forbidden_words, normalize_name
 from braidwork.functions.timeutil import quiet_hours, trade_date
 
 REPLACED_EXPLANATION = "설명을 표시할 수 없습니다 — 근거 확인이 필요합니다."
@@ -24,7 +24,7 @@ def guarded(j: DataFrame) -> DataFrame:
     d = j.withColumn("_g1", hit("G1", ~F.array_contains("candidate_ids", F.col("company_id"))))
     d = d.withColumn("_g2", hit("G2", F.exists("outside_terms", lambda x: (x != "") & F.contains(F.col("explanation"), x))))
     d = d.withColumn("explanation", F.when(F.size("_g2") > 0, REPLACED_EXPLANATION).otherwise(F.col("explanation")))
-    d = d.withColumn("_g3", hit("G3", F.size(forbidden_words(F.col("explanation"))) > 0))
+    d = d.withColumn("_g3", hit("G3", has_forbidden_words(F.col("explanation"))))
     d = d.withColumn("_g4", hit("G4", t.isin("MEME", "NAME_MATCH") & (br > 30)))
     d = d.withColumn("business_relevance", F.when(F.size("_g4") > 0, F.lit(30)).otherwise(br).cast("long"))
     d = d.withColumn("_g5", hit("G5", F.size("used_path_steps") <= 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from braidwork.config import RECALL, Recall
 from braidwork.functions.hashing import hamming
 from braidwork.functions.scoring import alias_recall_score
 from braidwork.functions.similarity import cosine
+from braidwork.operators.tables import stored
 
 
 def alias_hits(entities: DataFrame, aliases: DataFrame, cfg: Recall = RECALL) -> DataFrame:
@@ -113,32 +116,62 @@ def latest(facts: DataFrame, keys: list[str], time: str, tie: str | None = None)
     return facts.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def near_hashes(hashes: DataFrame, budget: int = 3) -> DataFrame:
-    """(a, b) of different 32-bit values within `budget` bits, a below b. Values that agree in one of budget + 1 bands meet."""
-    h = hashes.select(F.col("simhash").alias("h")).distinct()
-    edges = [32 * i // (budget + 1) for i in range(budget + 2)]
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    e = h.select("h", F.explode(parts).alias("p")).select("h", "p.band", "p.part")
-    return e.select(F.col("h").alias("a"), "band", "part").join(e.select(F.col("h").alias("b"), "band", "part"), ["band", "part"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= budget)).select("a", "b").distinct()
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys to all shuffle partitions: small rows that meet many others in a join must not be put together in few tasks
+    by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def near_hashes(hashes: DataFrame, budget: int = 3, bits: int = 32) -> DataFrame:
+    """(a, b) of different `bits`-bit values within `budget` bits, a below b.
+
+    Of 2 * budget bands, at most `budget` differ, so two such values agree on `budget` bands at least: they meet under
+    each choice of so many bands (20 keys of about 16 bits for 3 of 32), and the first choice that both agree on
+    reports them.
+    """
+    h = stored(hashes.select(F.col("simhash").alias("h")).where("h is not null").distinct(), "hashes")
+    n = 2 * budget
+    edges = [bits * i // n for i in range(n + 1)]
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    choices = list(combinations(range(n), budget))
+    key = lambda c: F.struct(F.lit(sum(1 << i for i in c)).alias("choice"), F.col("h").bitwiseAND(F.lit(sum(masks[i] for i in c)).cast("long")).alias("part"))
+    e = h.select("h", F.explode(F.array(*[key(c) for c in choices])).alias("p")).select("h", "p.choice", "p.part")
+    e = dealt(e, "choice", "part")
+    met = e.select(F.col("h").alias("a"), "choice", "part").join(e.select(F.col("h").alias("b"), "choice", "part"), ["choice", "part"])
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    left, first = sum((F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0)), F.lit(0)
+    for _ in range(budget):  # the lowest bands that agree
+        low = left.bitwiseAND(-left)
+        first, left = first.bitwiseOR(low), left.bitwiseXOR(low)
+    return met.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= budget) & (first == F.col("choice"))).select("a", "b")
 
 
 def jaccard_pairs(sets: DataFrame, floor: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of different token sets with Jaccard of at least `floor`; sets: set_id, tokens (array).
 
-    Prefix filtering: tokens are ordered by rarity, and two sets so similar share one of the first
-    |x| - ceil(floor * |x|) + 1 tokens of each. Only those meet; sizes and the exact value decide.
+    Tokens are ordered by rarity. Of two sets so similar, the smaller one's first n - ceil(2 * floor / (1 + floor) * n) + 1 rarest
+    tokens and the larger one's first n - ceil(floor * n) + 1 share one, and after the first that they share enough
+    others must be left in both. Only those meet; the exact value decides.
     """
-    s = sets.select("set_id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0)
-    flat = s.select("set_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    s = stored(sets.select("set_id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0), "sets")
+    flat = s.select("set_id", F.explode("tokens").alias("t"))
     rarity = flat.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = flat.join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy("df", "t")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(floor * F.col("n")) + 1).select("set_id", "n", "t")
-    a, b = (prefix.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), "t") for k in "ab")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("na") >= floor * F.col("nb")) & (F.col("nb") >= floor * F.col("na"))).select("a", "b").distinct()
-    tx = lambda k: s.select(F.col("set_id").alias(k), F.col("tokens").alias(f"t{k}"))
-    both = pairs.join(tx("a"), "a").join(tx("b"), "b")
+    item = F.struct("df", "t")
+    lists = stored(flat.join(rarity, "t").groupBy("set_id").agg(F.array_sort(F.collect_list(item)).alias("items")).select("set_id", F.transform("items", lambda x: x["t"]).alias("tokens")), "sets")
+    ranked = lists.select("set_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("r", "t"))
+    small = ranked.where(F.col("r") <= F.col("n") - F.ceil(2 * floor / (1 + floor) * F.col("n") - 1e-9))
+    large = ranked.where(F.col("r") <= F.col("n") - F.ceil(floor * F.col("n") - 1e-9))
+    a, b = (dealt(side, "t").select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("r").alias(f"r{k}"), "t") for side, k in ((small, "a"), (large, "b")))
+    need = floor / (1 + floor) * (F.col("na") + F.col("nb")) - 1e-9
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = a.join(b, "t").where(ordered & (F.col("na") >= floor * F.col("nb")) & (F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need))
+    pairs = met.select("a", "b").distinct()
+    side = lambda k: lists.select(F.col("set_id").alias(k), F.col("tokens").alias(f"t{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common)).where(F.col("jaccard") >= floor).select("a", "b", "jaccard")
+    similar = both.withColumn("jaccard", common / (F.size("ta") + F.size("tb") - common)).where(F.col("jaccard") >= floor)
+    return similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
 
 
 def best_vector(queries: DataFrame, vectors: DataFrame, floor: float = 0.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,58 +21,91 @@ def _grouped(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
 
 def survivors(articles: DataFrame, budget: int = 3) -> DataFrame:
     """(id, kept, duplicate_of) of articles (id, simhash, published_at): earliest first, an article within `budget` bits of
-    a kept one is its duplicate; a null simhash is always kept. Duplicates don't chain. Only connected articles are compared."""
-    known = articles.where("simhash is not null").select("id", "simhash", "published_at")
+    a kept one is its duplicate; a null simhash is always kept. Duplicates don't chain.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["published_at", "id"])
-        kept: dict[int, int] = {}
-        out = []
-        for i, h in zip(rows["id"], rows["simhash"], strict=True):
-            of = next((k for x, k in kept.items() if (x ^ int(h)).bit_count() <= budget), None)
-            if of is None:
-                kept[int(h)] = int(i)
-            out.append((int(i), of is None, of))
-        return pd.DataFrame({"id": [x[0] for x in out], "kept": [x[1] for x in out], "duplicate_of": pd.array([x[2] for x in out], "Int64")})
-
-    done = _grouped(known, "simhash", near_hashes(stored(known.select("simhash").distinct(), "hashes"), budget)).groupBy("component").applyInPandas(fold, "id long, kept boolean, duplicate_of long")
+    Only the first article of a hash can be kept, and it is unless an earlier hash within the budget is. Rounds over
+    the table of links decide: a hash without earlier neighbours that are open is kept, and its later neighbours go.
+    Equi-joins on hashes only; each round ends in a written table.
+    """
+    known = articles.where("simhash is not null").select(F.col("id").cast("long").alias("id"), F.col("simhash").cast("long").alias("simhash"), "published_at")
+    hashes = stored(known.groupBy("simhash").agg(F.min(F.struct("published_at", "id")).alias("first")), "hashes")
+    near = near_hashes(hashes, budget)
+    both = stored(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    of = lambda k, x: hashes.select(F.col("simhash").alias(k), F.col("first").alias(x))
+    links = stored(both.join(of("a", "ta"), "a").join(of("b", "tb"), "b").where("tb < ta").select("a", "b"), "links")  # b is earlier
+    left, kept = hashes.select(F.col("simhash").alias("a")), None
+    while not left.isEmpty():
+        now = stored(left.join(links.select("a").distinct(), "a", "left_anti"), "kept")
+        gone = stored(links.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a").distinct(), "gone")
+        kept = now if kept is None else kept.union(now)
+        left = stored(left.join(now.union(gone), "a", "left_anti"), "left")
+        links = stored(links.join(left, "a", "left_semi").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "links")
+    if kept is None:
+        return articles.select(F.col("id").cast("long"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("duplicate_of"))
+    kept = stored(kept.join(of("a", "first"), "a").select(F.col("a").alias("b"), "first"), "kept")
+    meets = both.union(kept.select(F.col("b").alias("a"), "b")).join(kept, "b").select(F.col("a").alias("simhash"), "first")
+    mine = F.struct("published_at", "id")
+    hit = known.join(meets, "simhash").where(F.col("first") < mine).groupBy("id", "published_at", "simhash").agg(F.min("first").alias("of"))
+    done = known.join(hit.select("id", F.col("of.id").alias("duplicate_of")).distinct(), "id", "left").select("id", F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")
     return done.union(articles.where("simhash is null").select(F.col("id").cast("long"), F.lit(True), F.lit(None).cast("long")))
 
 
-def clustered(articles: DataFrame, floor: float = 0.5, hours: float = 24) -> DataFrame:
-    """(id, cluster_id) of articles (id, tokens, published_at), oldest first: an article joins the cluster whose latest title is
-    most similar, at least `floor`, and not older than `hours`; else it opens one, named by its id. A joined cluster takes
-    the article's title and time at once.
-
-    A cluster's title is always that of a member, so all that can meet is connected in the graph of similar titles: the
-    fold runs per component, and gives exactly what it gives over everything. Titles without tokens are a component.
+def cosine_of(a: list[float] | None, b: list[float] | None) -> float | None:
+    """Cosine of two vectors; None without one of them, 0 for zero norms or unequal lengths."""
+    if a is None or b is None:
+        return None
+    if len(a) != len(b):
+        return 0.0
+    scale = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b, strict=True)) / scale if scale else 0.0
+
+
+def step(clusters: list[dict], article: dict, floor: float, hours: float, least_cosine: float) -> dict:
+    """D2, D3 for one article: the cluster it joins or opens, after the change. clusters are in the order in which they opened."""
+    mine, at = frozenset(article["tokens"]), article["at"]
+    best, score = None, -1.0
+    for c in clusters:
+        if abs(at - c["seen"]) > hours * 3600:
+            continue
+        union = len(mine | c["tokens"])
+        s = len(mine & c["tokens"]) / union if union else 1.0
+        near = cosine_of(article.get("vector"), c.get("vector"))
+        if s >= floor and s > score and (near is None or near >= least_cosine):
+            best, score = c, s
+    if best is None:
+        best = {"id": article["id"], "tokens": mine, "seen": at, "tier": None, "rep": None, "rep_at": None, "vector": article.get("vector"), "n": 0}
+        clusters.append(best)
+    if best["tier"] is None or (article["tier"], at) < (best["tier"], best["rep_at"]):  # the least tier of all, and the representative's time
+        best |= {"rep": article["id"], "rep_at": at, "tokens": mine}
+    best |= {"tier": article["tier"] if best["tier"] is None else min(best["tier"], article["tier"]), "seen": max(best["seen"], at), "n": best["n"] + 1}
+    return best
+
+
+def clustered(articles: DataFrame, floor: float = 0.5, hours: float = 24, least_cosine: float = 0.88) -> DataFrame:
+    """(id, cluster_id, representative) of articles (id, tokens, published_at, tier, and vector if there is one), oldest first.
+
+    An article joins the cluster whose headline is most similar, at least `floor`, last seen no more than `hours` away,
+    and with a cosine of `least_cosine` if both have vectors; else it opens one, named by its id. The headline is the
+    representative's; a member of a lower tier than all before, or of the least tier and earlier than the
+    representative, takes its place at once. `representative` is the cluster's in the end.
+
+    A headline is always a member's title, so whatever can meet is connected in the graph of similar titles: the fold
+    runs for each component, and gives exactly what it gives over everything. Titles without tokens are a component.
     """
     sets = articles.select(F.xxhash64(F.array_sort(F.array_distinct("tokens"))).alias("set_id"), "tokens").dropDuplicates(["set_id"])
     sets = stored(sets, "titles")
     links = jaccard_pairs(sets, floor).select("a", "b")
     keyed = articles.withColumn("set_id", F.xxhash64(F.array_sort(F.array_distinct("tokens"))))
+    columns = ["id", "tokens", "published_at", "tier", *(["vector"] if "vector" in articles.columns else [])]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["published_at", "id"])
-        clusters: list[list] = []
+        clusters: list[dict] = []
         out = []
-        for i, tokens, t in zip(rows["id"], rows["tokens"], rows["published_at"], strict=True):
-            mine = frozenset(tokens)
-            best, score = None, -1.0
-            for c in clusters:
-                if abs((t - c[2]).total_seconds()) > hours * 3600:
-                    continue
-                union = len(mine | c[1])
-                s = len(mine & c[1]) / union if union else 1.0
-                if s >= floor and s > score:
-                    best, score = c, s
-            if best is None:
-                clusters.append(best := [int(i), mine, t])
-            best[1], best[2] = mine, max(best[2], t)
-            out.append((int(i), best[0]))
-        return pd.DataFrame(out, columns=["id", "cluster_id"])
-
-    return _grouped(keyed, "set_id", links).select("component", "id", "tokens", "published_at").groupBy("component").applyInPandas(fold, "id long, cluster_id long")
+        for r in rows.sort_values(["published_at", "id"]).to_dict("records"):
+            out.append((int(r["id"]), step(clusters, r | {"at": r["published_at"].timestamp()}, floor, hours, least_cosine)))
+        return pd.DataFrame([(i, int(c["id"]), int(c["rep"])) for i, c in out], columns=["id", "cluster_id", "representative"])
+
+    return _grouped(keyed, "set_id", links).select("component", *columns).groupBy("component").applyInPandas(fold, "id long, cluster_id long, representative long")
 
 
 def representatives(members: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(articles(spark, sf_dir).select("id", "tokens", "published_at"))
+    """Each article's cluster, and the cluster's representative in the end."""
+    return clustered(articles(spark, sf_dir).select("id", "tokens", "published_at", "tier"))
 
 
 def story_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +138,20 @@ ORACLE_SQL = {
     "title_tokens": with_views("article") + _TOK + " SELECT id, array_to_string(tokens, '|') AS tokens FROM tok",
     "simhash32": with_views("article") + _SIM + " SELECT id, simhash FROM sim",
     "near_dup_pairs": with_views("article") + _SIM + ", d AS (SELECT DISTINCT simhash AS x FROM sim) SELECT p.x AS a, q.x AS b FROM d p JOIN d q ON p.x < q.x AND bit_count(xor(p.x, q.x)) <= 3",
+    "dedup_survivors": with_views("article", recursive=True) + _SIM + """, o AS (SELECT row_number() OVER (ORDER BY s.id) AS k, s.id, simhash AS h FROM sim s),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS duplicate_of, CAST([] AS STRUCT(h BIGINT, id BIGINT)[]) AS kept
+  UNION ALL SELECT o.k, o.id, n.of, CASE WHEN n.of IS NULL THEN list_append(r.kept, {'h': o.h, 'id': o.id}) ELSE r.kept END FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT list_filter(r.kept, lambda x: bit_count(xor(x.h, o.h)) <= 3)[1].id AS of) n)
+SELECT id, duplicate_of IS NULL AS kept, duplicate_of FROM r WHERE k > 0""",
+    "cluster_assign": with_views("article", recursive=True) + _TOK + """, o AS (SELECT row_number() OVER (ORDER BY id) AS k, id, list_distinct(tokens) AS t, minute * 60 AS at, tier FROM tok),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS cluster_id, CAST([] AS STRUCT(id BIGINT, t VARCHAR[], seen BIGINT, tier INT, rep BIGINT, rep_at BIGINT)[]) AS open
+  UNION ALL SELECT o.k, o.id, CASE WHEN n.p IS NULL THEN o.id ELSE r.open[n.p].id END,
+    CASE WHEN n.p IS NULL THEN list_append(r.open, {'id': o.id, 't': o.t, 'seen': o.at, 'tier': o.tier, 'rep': o.id, 'rep_at': o.at})
+    ELSE r.open[:n.p - 1] || [CASE WHEN o.tier < r.open[n.p].tier OR (o.tier = r.open[n.p].tier AND o.at < r.open[n.p].rep_at) THEN {'id': r.open[n.p].id, 't': o.t, 'seen': greatest(o.at, r.open[n.p].seen), 'tier': o.tier, 'rep': o.id, 'rep_at': o.at}
+      ELSE {'id': r.open[n.p].id, 't': r.open[n.p].t, 'seen': greatest(o.at, r.open[n.p].seen), 'tier': r.open[n.p].tier, 'rep': r.open[n.p].rep, 'rep_at': r.open[n.p].rep_at} END] || r.open[n.p + 1:] END
+  FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT list_transform(r.open, lambda c: CASE WHEN abs(o.at - c.seen) > 86400 THEN -1e0 WHEN len(c.t) + len(o.t) = 0 THEN 1e0 ELSE len(list_intersect(c.t, o.t)) / (len(c.t) + len(o.t) - len(list_intersect(c.t, o.t))) END) AS js) j,
+  LATERAL (SELECT CASE WHEN list_max(j.js) >= 0.5 THEN list_position(j.js, list_max(j.js)) END AS p) n),
+last AS (SELECT unnest(open) AS c FROM r WHERE k = (SELECT max(k) FROM r))
+SELECT r.id, cluster_id, c.rep AS representative FROM r JOIN last ON c.id = cluster_id WHERE k > 0""",
     "title_jaccard": with_views("article") + _TOK + """, one AS (SELECT min(id) AS id, list_distinct(first(tokens)) AS t FROM tok GROUP BY title HAVING len(first(tokens)) > 0),
 j AS (SELECT p.id AS x, q.id AS y, len(list_intersect(p.t, q.t)) AS c, len(p.t) + len(q.t) AS n FROM one p JOIN one q ON p.id < q.id)
 SELECT x AS a, y AS b, floor(c / (n - c) * 1e6 + 0.5) / 1e6 AS jaccard FROM j WHERE c >= 0.5 * (n - c)""",

@@ -29,6 +29,19 @@ def feed_items(files: DataFrame) -> DataFrame:
     return rows.select("source_id", "outlet", plain(tag("title")).alias("title"), plain(F.coalesce(tag("link"), F.when(href != "", href))).alias("link"), tag("pubDate", "updated", "published").alias("pub_date"), plain(tag("description", "summary")).alias("description"))
 
 
+def trend_topics(files: DataFrame) -> DataFrame:
+    """S3: topics of trend feeds (geo, xml): title, traffic, pub_date and news_items, an array of (title, url, source). A feed
+    without items is an error; a topic without news has an empty array."""
+    items = F.regexp_extract_all("xml", F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
+    rows = files.select("geo", F.explode(F.when(F.size(items) > 0, items).otherwise(F.raise_error(F.lit("trend feed without items")))).alias("x"))
+    tag = lambda of, name: F.trim(F.regexp_extract(of, rf"(?s)<{name}(?: [^>]*)?>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</{name}>", 1))
+    known = lambda c: F.when(c != "", c)
+    head = F.regexp_replace("x", r"(?s)<ht:news_item>.*</ht:news_item>", "")
+    news = F.regexp_extract_all("x", F.lit(r"(?s)<ht:news_item>.*?</ht:news_item>"), F.lit(0))
+    each = F.transform(news, lambda n: F.struct(*(tag(n, f"ht:news_item_{k}").alias(k) for k in ("title", "url", "source"))))
+    return rows.select("geo", tag(head, "title").alias("title"), known(tag(head, "ht:approx_traffic")).alias("traffic"), known(tag(head, "pubDate")).alias("pub_date"), each.alias("news_items"))
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """(site, agent, prefix) rows of robots files (site, text): Disallow prefixes by user agent. Agents in a row share what follows."""
     lines = files.select("site", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("site", "i", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).where("line <> ''")
@@ -83,3 +96,23 @@ def landed(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | N
     """A landed table in any of Spark's formats."""
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema else reader).load(path)
+
+
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """Landed price responses (company_id, output), as mappers.quote_rows takes them; a response without output is dropped."""
+    row = "struct<stck_prpr:string,prdy_ctrt:string,prdy_vrss_sign:string,acml_vol:string>"
+    d = spark.read.schema(f"company_id long, output {row}").json(path)
+    return d.where("output is not null").select("company_id", "output.*")
+
+
+def seeds(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Seed dictionaries from one JSON file: companies, concepts, concept, supply and theme edges, and stop entities. Missing
+    parts are empty."""
+    edge = "array<struct<src:string,dst:string,weight:double,confidence:double>>"
+    kinds = {
+        "companies": "array<struct<ticker:string,name:string,market:string,sector:string,aliases:array<string>>>", "concepts": "array<struct<name:string,kind:string>>",
+        "concept_edges": edge, "supply_edges": edge, "theme_edges": edge, "stop_entities": "array<string>",
+    }
+    d = spark.read.schema(", ".join(f"{k} {t}" for k, t in kinds.items())).json(path, multiLine=True)
+    parts = {k: d.select(F.explode(k).alias("x")) for k in kinds}
+    return {k: p.select("x.*") if "struct" in kinds[k] else p.select(F.col("x").alias("name")) for k, p in parts.items()}

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.operators.stories import step
+
 
 def unique_articles(articles: DataFrame, late: str = "48 hours") -> DataFrame:
     """K1 on a stream: the first article of each url; state older than the watermark goes."""
@@ -30,34 +32,36 @@ def snapshots(quotes: DataFrame, late: str = "10 minutes") -> DataFrame:
     return quotes.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes").alias("w"), "company_id").agg(F.max_by("price", "ts").alias("price"), F.max_by("volume", "ts").alias("volume")).select("company_id", F.col("w.start").alias("start"), "price", "volume")
 
 
-def clustered(articles: DataFrame, block: Column, floor: float = 0.5, hours: float = 24, close_hours: float = 25) -> DataFrame:
-    """D2 on a stream: (id, cluster_id) of articles (id, tokens, published_at).
+def clustered(articles: DataFrame, block: Column, floor: float = 0.5, hours: float = 24, close_hours: float = 25, late: str = "48 hours") -> DataFrame:
+    """D2, D3 on a stream: (id, cluster_id, representative) of articles (id, tokens, published_at, tier); the representative is
+    that of the moment.
 
-    State is kept for each value of `block`: its open clusters with their latest tokens and time. Articles of two blocks
-    never join, so F.lit(0) is the exact rule, one state for all; a finer block trades joins for parallel state.
+    State is kept for each value of `block`: the clusters seen in the last close_hours. A block without articles for
+    so long after the watermark loses its state. Articles of two blocks never join, so F.lit(0) is the exact rule, one
+    state in one task; a finer block trades joins for parallel state.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_: list[tuple] = [tuple(x) for x in state.get[0]] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["published_at", "id"])
-        clusters = [[i, frozenset(t), at] for i, t, at in open_]
-        out = []
-        for i, tokens, at in zip(rows["id"], rows["tokens"], rows["published_at"], strict=True):
-            now, mine = at.timestamp(), frozenset(tokens)
-            clusters = [c for c in clusters if now - c[2] <= close_hours * 3600]
-            best, score = None, -1.0
-            for c in clusters:
-                union = len(mine | c[1])
-                s = len(mine & c[1]) / union if union else 1.0
-                if abs(now - c[2]) <= hours * 3600 and s >= floor and s > score:
-                    best, score = c, s
-            if best is None:
-                clusters.append(best := [int(i), mine, now])
-            best[1], best[2] = mine, max(best[2], now)
-            out.append((int(i), best[0]))
-        state.update(([(i, sorted(t), at) for i, t, at in clusters],))
-        yield pd.DataFrame(out, columns=["id", "cluster_id"])
-
-    keyed = articles.withColumn("_block", block).groupBy("_block")
-    return keyed.applyInPandasWithState(step, "id long, cluster_id long", "open array<struct<id:bigint,tokens:array<string>,at:double>>", "append", GroupStateTimeout.NoTimeout)
+    fields = ("id", "tokens", "seen", "tier", "rep", "rep_at", "n")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        clusters = [dict(zip(fields, x, strict=True)) for x in (state.get[0] if state.exists else [])]
+        for c in clusters:
+            c["tokens"] = frozenset(c["tokens"])
+        out, newest = [], 0.0
+        for r in pd.concat(list(batches)).sort_values(["published_at", "id"]).to_dict("records"):
+            at = r["published_at"].timestamp()
+            newest = max(newest, at)
+            clusters = [c for c in clusters if at - c["seen"] <= close_hours * 3600]
+            c = step(clusters, r | {"at": at}, floor, hours, 0.0)
+            out.append((int(r["id"]), int(c["id"]), int(c["rep"])))
+        state.update(([(int(c["id"]), sorted(c["tokens"]), c["seen"], int(c["tier"]), int(c["rep"]), c["rep_at"], c["n"]) for c in clusters],))
+        state.setTimeoutTimestamp(int(max(newest * 1000, state.getCurrentWatermarkMs()) + close_hours * 3_600_000) + 1)
+        yield pd.DataFrame(out, columns=["id", "cluster_id", "representative"])
+
+    keyed = articles.withWatermark("published_at", late).withColumn("_block", block).groupBy("_block")
+    kind = "open array<struct<id:bigint,tokens:array<string>,seen:double,tier:bigint,rep:bigint,rep_at:double,n:bigint>>"
+    return keyed.applyInPandasWithState(run, "id long, cluster_id long, representative long", kind, "append", GroupStateTimeout.EventTimeTimeout)

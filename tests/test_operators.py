@@ -1,12 +1,16 @@
 """Operators, sources, sinks and streams on small frames."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import title_tokens
 from braidwork.operators import decisions, graph, mappers, matching, stories
+from braidwork.operators.tables import counted
+from braidwork.plans import params
 from braidwork.sources import readers, sinks
 from braidwork.streaming import stories as streams
 
@@ -16,7 +20,7 @@ NEWS = ["paint maker opens plant", "paint maker opens a plant", "bank cuts rates
 def articles(spark):
     day = dt.datetime(2026, 1, 5)
     rows = [(i, t, day + dt.timedelta(hours=i)) for i, t in enumerate(NEWS)] + [(9, NEWS[0], day + dt.timedelta(hours=60))]
-    return spark.createDataFrame(rows, "id long, title string, published_at timestamp").withColumn("tokens", title_tokens(F.col("title")))
+    return spark.createDataFrame(rows, "id long, title string, published_at timestamp").withColumn("tokens", title_tokens(F.col("title"))).withColumn("tier", F.lit(1))
 
 
 def test_clusters(spark):
@@ -24,6 +28,35 @@ def test_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 9: 9}
 
 
+def test_clusters_are_the_sequential_ones(spark):
+    """Random titles, tiers and times, ties and empty titles, with vectors, against the rule over all articles in one loop."""
+    rng = random.Random(3)
+    rows, day = [], dt.datetime(2026, 1, 5)
+    for i in range(150):
+        tokens = [] if i % 40 == 0 else rng.sample("abcdefghij", rng.randint(2, 6))
+        vector = None if i % 3 == 0 else [rng.random(), rng.random()]
+        rows.append((i, tokens, day + dt.timedelta(minutes=rng.randint(0, 3000)), rng.randint(1, 3), vector))
+    open_, want = [], {}
+    for i, tokens, at, tier, vector in sorted(rows, key=lambda r: (r[2], r[0])):
+        best, score = None, -1
+        for c in open_:
+            jaccard = len(c["t"] & set(tokens)) / len(c["t"] | set(tokens)) if c["t"] | set(tokens) else 1.0
+            if abs((at - c["seen"]).total_seconds()) <= 86400 and jaccard >= 0.5 and jaccard > score:
+                v = c["v"]
+                if not (v and vector) or sum(x * y for x, y in zip(v, vector, strict=True)) / math.hypot(*v) / math.hypot(*vector) >= 0.88:
+                    best, score = c, jaccard
+        if best is None:
+            open_.append(best := {"id": i, "t": set(tokens), "seen": at, "tier": tier, "rep": i, "at": at, "v": vector})
+        elif (tier, at) < (best["tier"], best["at"]):
+            best |= {"t": set(tokens), "rep": i, "at": at}
+        best |= {"tier": min(best["tier"], tier), "seen": max(best["seen"], at)}
+        want[i] = best
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, published_at timestamp, tier int, vector array<double>")
+    got = {r["id"]: (r["cluster_id"], r["representative"]) for r in stories.clustered(df).collect()}
+    assert got == {i: (c["id"], c["rep"]) for i, c in want.items()}
+    assert 10 < len(open_) < 140 and any(c["rep"] != c["id"] for c in open_)
+
+
 def test_survivors_do_not_chain(spark):
     t = dt.datetime(2026, 1, 5)
     rows = [(1, 0b0, t), (2, 0b111, t + dt.timedelta(1)), (3, 0b111111, t + dt.timedelta(2)), (4, None, t)]
@@ -162,7 +195,7 @@ def test_streams(spark, small, tmp_path):
     articles(spark).withColumn("url", F.col("title")).coalesce(1).write.parquet(path)
     s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     assert len(run_stream(streams.unique_articles(s), "urls")) == len(NEWS)
-    got = {r["id"]: r["cluster_id"] for r in run_stream(streams.clustered(s.select("id", "tokens", "published_at"), F.lit(0)), "clusters")}
+    got = {r["id"]: r["cluster_id"] for r in run_stream(streams.clustered(s.select("id", "tokens", "published_at", "tier"), F.lit(0)), "clusters")}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 9: 9}
     e = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert streams.windowed_counts(e, "1 hour").agg(F.sum("n")).first()[0] == e.count()
@@ -183,3 +216,58 @@ def test_import_without_a_session():
 
     root = Path(__file__).resolve().parents[1]
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries()"], cwd=root, check=True, timeout=120)
+
+
+def test_trends_prices_and_seeds(spark, tmp_path):
+    xml = "<rss><channel><item><title> A </title><ht:approx_traffic>200+</ht:approx_traffic><ht:news_item><ht:news_item_title><![CDATA[t1]]></ht:news_item_title><ht:news_item_url>u1</ht:news_item_url><ht:news_item_source>s1</ht:news_item_source></ht:news_item><ht:news_item><ht:news_item_title>t2</ht:news_item_title></ht:news_item></item><item><title>B</title><pubDate>d</pubDate></item></channel></rss>"
+    a, b = readers.trend_topics(spark.createDataFrame([("KR", xml)], "geo string, xml string")).collect()
+    assert (a["title"], a["traffic"], a["pub_date"], [tuple(n) for n in a["news_items"]]) == ("A", "200+", None, [("t1", "u1", "s1"), ("t2", "", "")])
+    assert (b["title"], b["traffic"], b["pub_date"], b["news_items"]) == ("B", None, "d", [])
+    with pytest.raises(Exception, match="without items"):
+        readers.trend_topics(spark.createDataFrame([("KR", "<rss/>")], "geo string, xml string")).collect()
+    (tmp_path / "p.json").write_text('{"company_id": 1, "output": {"stck_prpr": "100", "prdy_ctrt": "2.5", "prdy_vrss_sign": "5", "acml_vol": "7"}}\n{"company_id": 2}\n')
+    q = mappers.quote_rows(readers.prices(spark, str(tmp_path / "p.json"))).collect()
+    assert [(r["company_id"], r["price"], r["change_pct"], r["volume"]) for r in q] == [(1, 100, -2.5, 7)]
+    (tmp_path / "s.json").write_text('{"concepts": [{"name": "steel", "kind": "THEME"}], "supply_edges": [{"src": "a", "dst": "b", "weight": 0.5}], "stop_entities": ["x", "y"]}')
+    s = readers.seeds(spark, str(tmp_path / "s.json"))
+    assert s["companies"].count() == 0 and s["concepts"].first()["name"] == "steel" and s["supply_edges"].first()["weight"] == 0.5 and s["stop_entities"].count() == 2
+
+
+def test_parameters():
+    assert [params.graph_nodes(x) for x in (None, "abc", 500, "7", 0)] == [60, 60, 200, 7, 1]
+    assert params.stock_days(99) == 30 and params.meme_limit() == 10 and params.keyword(" ab ") == "ab" and len(params.request_text("x" * 40)) == 40
+    for bad in ("", "  ", "x" * 31):
+        with pytest.raises(ValueError, match="characters"):
+            params.keyword(bad)
+
+
+def test_stage_counters(spark):
+    df, seen = counted(spark.range(10), "stage", even="id % 2 = 0", big="id > 7")
+    assert df.count() == 10 and seen.get == {"rows": 10, "even": 5, "big": 2}
+
+
+def test_joins_lose_no_pair(spark):
+    """Near hashes and similar sets against all pairs, with clustered values, equal sets and every rarity."""
+    rng = random.Random(1)
+    base = [rng.getrandbits(32) for _ in range(30)]
+    values = {b ^ sum(1 << k for k in rng.sample(range(32), rng.randint(0, 4))) for b in base for _ in range(8)}
+    got = {(r["a"], r["b"]) for r in matching.near_hashes(spark.createDataFrame([(v,) for v in values], "simhash long")).collect()}
+    assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3} and len(got) > 100
+    sets = {i: rng.sample("abcdefghijklmnopqrst", rng.choice((1, 2, 3, 5, 8, 13))) for i in range(150)}
+    for floor in (0.5, 0.8):
+        out = matching.jaccard_pairs(spark.createDataFrame(list(sets.items()), "set_id long, tokens array<string>"), floor).collect()
+        real = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a in sets for b in sets if a < b}
+        assert {(r["a"], r["b"]): pytest.approx(r["jaccard"]) for r in out} == {k: v for k, v in real.items() if v >= floor}
+
+
+def test_mappers_of_pages(spark):
+    row = spark.range(1).select(
+        mappers.business_summary(F.lit("A"), F.lit("KOSPI"), F.lit("steel"), F.lit("19700101"), F.lit(None).cast("string")).alias("s"), mappers.disclosure_titles(F.sequence(F.lit(1), F.lit(12))).alias("d"), mappers.edge_label(F.lit("PRODUCES")).alias("e"),
+        mappers.path_previews(F.array(F.array(F.struct(F.lit("x").alias("label")), F.struct(F.lit("y").alias("label")))), F.lit("A")).alias("p"), graph.concatenated(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))).alias("c"),
+    ).first()
+    assert row["s"].startswith("A은(는) steel 업종의 KOSPI 상장기업으로, 1970년") and len(row["d"]) == 10 and row["e"] == "생산" and row["p"] == ["x → y → A"] and row["c"] == [1, 2, 3]
+    items = spark.createDataFrame([(1, "Out", "Head - Out", "HTTP://A.b/x/?utm_source=1&z=2", "bad date", "<p>lead</p>"), (1, "Out", "", "http://a.b", None, None)], "source_id long, outlet string, title string, link string, pub_date string, description string")
+    a = mappers.article_rows(items, F.lit("2026-01-05 00:00:00").cast("timestamp")).collect()
+    assert [(r["title"], r["url"], r["lead"], r["published_at"]) for r in a] == [("Head", "http://a.b/x?z=2", "lead", dt.datetime(2026, 1, 5))]
+    e = mappers.analytics_events(spark.createDataFrame([("open", {"k": 1}, dt.datetime(2026, 1, 5)), ("other", {}, None)], "name string, payload map<string,int>, at timestamp"), ("open",)).collect()
+    assert [(r["name"], r["payload"], r["at"]) for r in e] == [("open", '{"k":1}', "2026-01-05T00:00:00.000Z")]

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from braidwork.functions.scoring import alias_edge, graph_recall_score
+from braidwork.operators import building as B
 from braidwork.operators import graph as G
 from braidwork.operators.decisions import reference_judgements
 from braidwork.operators.matching import alias_hits, best_per_company, best_vector, concept_hits, keyword_hits, similar_spellings, touching
+from braidwork.plans.market import score_sql
 from braidwork.plans.views import table, view, with_views
 
 ROUND = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
@@ -179,3 +182,73 @@ SELECT w.start, w.node_id, concat_ws(' → ', a.label, b.label, c.label, d.label
     "vec_top1": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT query_id, arg_max(vec_id, (c, -vec_id)) AS vec_id, floor(max(c) * 1e5 + 0.5) / 1e5 AS cosine FROM p GROUP BY query_id""",
 }
+
+
+def _stage(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Nations as entities (every third a person) and concepts, suppliers as companies with their nation's name as a brand."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    key = F.col("n_nationkey").cast("long")
+    named = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
+    entities = n.select(key.alias("entity_id"), F.col("n_name").alias("name"), named(F.col("n_name")).alias("norm"), F.when(key % 3 == 0, "PERSON").otherwise("ORG").alias("kind"), (key + 2000).alias("node_id")).withColumn("spelled", F.col("norm"))
+    sk = F.col("s_suppkey").cast("long")
+    brands = s.join(n, s.s_nationkey == n.n_nationkey).select((sk * 2).alias("alias_id"), sk.alias("company_id"), F.col("n_name").alias("alias"), F.lit("BRAND").alias("alias_type"))
+    aliases = brands.union(s.select(sk * 2 + 1, sk, F.col("s_name"), F.lit("OFFICIAL"))).withColumn("alias_norm", named(F.col("alias"))).withColumn("alias_spelled", F.col("alias_norm")).withColumn("is_ambiguous", F.col("company_id") % 9 == 0)
+    edges = view(spark, sf_dir, "edge").withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long")).withColumn("confidence", F.lit(0.2) + (F.col("edge_id") % 8) / 10)
+    return {"entities": entities, "aliases": aliases, "companies": s.select(sk.alias("company_id"), (sk + 100000).alias("node_id")), "concepts": n.select(named(F.col("n_name")).alias("concept_norm"), (key + 2000).alias("node_id")), "edges": edges}
+
+
+def recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's candidates by alias, expansion, dictionary and person."""
+    c = B.recalled(**_stage(spark, sf_dir))
+    return c.select("entity_id", "company_id", "recall_rule", ROUND(F.col("recall_score")).alias("recall_score"), "hop_count", "keyword_match", F.array_join("nodes", ">").alias("nodes"), "rank")
+
+
+def build_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates through the offline judge, guardrails, a check that refutes every seventh company, scores and review state."""
+    t = _stage(spark, sf_dir)
+    j = reference_judgements(B.recalled(**t)).withColumn("explanation", F.concat(F.lit("makes "), (F.col("company_id") % 4).cast("string")))
+    own = j.select("entity_id", F.collect_list("company_id").over(Window.partitionBy("entity_id")).alias("candidate_ids"), "company_id")  # 40 at most
+    j = j.join(own, ["entity_id", "company_id"]).withColumn("outside_terms", F.array(F.lit("makes 3"))).withColumn("business_summary", F.when(F.col("company_id") % 2 == 0, "parts")).withColumn("path_labels", F.array(F.lit("parts")))
+    j = j.withColumn("dangerous", F.col("entity_id") % 5 == 0).withColumn("negative_person", F.lit(False))
+    checks = j.where("company_id % 7 = 0").select(F.concat_ws(":", "entity_id", "company_id").alias("connection_id"))
+    c = B.built(j, checks.select("connection_id", F.lit(True).alias("refuted"), F.lit(25).cast("long").alias("adjusted"), F.lit("r").alias("reason")))
+    return c.select("entity_id", "company_id", "connection_type", "business_relevance", "meme", F.col("sure").alias("confidence"), "supply_chain", "score", "band", "status", "counter_reason")
+
+
+QUERIES |= {"recall_all": recall_all, "build_connections": build_connections}
+
+_RECALL = with_views("edge", recursive=True) + """, ed AS (SELECT *, 0.2e0 + (edge_id % 8) / 1e1 AS conf FROM edge),
+ent AS (SELECT n_nationkey AS entity_id, n_name AS name, lower(replace(n_name, ' ', '')) AS norm, n_nationkey % 3 = 0 AS person, 2000 + n_nationkey AS node FROM nation),
+ali AS (SELECT s_suppkey * 2 AS alias_id, s_suppkey AS company_id, n_name AS alias, 0.9e0 AS times FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_suppkey * 2 + 1, s_suppkey, s_name, 1e0 FROM supplier),
+prs AS (SELECT *, lower(replace(alias, ' ', '')) AS an, 1 - levenshtein(norm, lower(replace(alias, ' ', ''))) / greatest(length(norm), length(lower(replace(alias, ' ', '')))) AS sim FROM ent, ali),
+hit AS (SELECT *, CASE WHEN norm = an THEN 'ALIAS_EXACT' WHEN starts_with(an, norm) OR starts_with(norm, an) THEN 'ALIAS_PREFIX' WHEN sim >= 0.6 THEN 'ALIAS_JAMO_SIMILAR' WHEN left(name, 1) = left(alias, 1) THEN 'ALIAS_PREFIX' END AS rule FROM prs),
+sco AS (SELECT *, CASE rule WHEN 'ALIAS_EXACT' THEN 1e0 WHEN 'ALIAS_PREFIX' THEN 0.55e0 ELSE 0.35e0 + sim * 0.4e0 END AS s, company_id % 9 = 0 AS amb FROM hit WHERE rule IS NOT NULL),
+al AS (SELECT *, 100000 + company_id AS cnode, least(1e0, greatest(0e0, s - CASE WHEN amb THEN 0.3e0 ELSE 0e0 END)) AS ec,
+  CAST(floor(least(100, greatest(0, CASE WHEN norm = an THEN 100 * times ELSE floor(100 * sim + 0.5) * times + CASE WHEN left(norm, 1) = left(an, 1) THEN 12 ELSE 0 END END - CASE WHEN amb THEN 25 ELSE 0 END)) + 0.5) AS BIGINT) AS km
+  FROM sco QUALIFY row_number() OVER (PARTITION BY entity_id, company_id ORDER BY s DESC, alias_id) = 1),
+walk AS (SELECT src AS start, dst AS node_id, 1 AS hop, [src, dst] AS nodes, [edge_type] AS types, [weight] AS ws, [conf] AS cs, weight FROM ed
+  UNION ALL SELECT w.start, e.dst, w.hop + 1, list_append(w.nodes, e.dst), list_append(w.types, e.edge_type), list_append(ws, e.weight), list_append(cs, e.conf), w.weight * e.weight FROM walk w JOIN ed e ON e.src = w.node_id WHERE w.hop < 3 AND NOT list_contains(w.nodes, e.dst) AND w.weight * e.weight >= 0.15e0),
+wr AS (SELECT *, node_id - 100000 AS company_id, CASE WHEN list_contains(types, 'SUPPLY_CHAIN') THEN 'SUPPLY_DICT' WHEN list_contains(types, 'PERSON_OF') THEN 'PERSON_DICT' WHEN len(list_filter(types, lambda t: t <> 'AFFILIATION')) = 0 THEN 'GRAPH_EXPAND' ELSE 'THEME_DICT' END AS rule
+  FROM walk WHERE node_id - 100000 IN (SELECT s_suppkey FROM supplier)),
+wk AS (SELECT *, least(1e0, CASE rule WHEN 'SUPPLY_DICT' THEN 0.75e0 WHEN 'PERSON_DICT' THEN 0.85e0 WHEN 'GRAPH_EXPAND' THEN 0.8e0 ELSE 0.7e0 END * weight) AS s FROM wr),
+w1 AS (SELECT * FROM wk WHERE hop = 1 QUALIFY row_number() OVER (PARTITION BY start ORDER BY weight DESC, nodes) <= 40), w3 AS (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY start ORDER BY weight DESC, nodes) <= 40),
+cand AS (SELECT entity_id, company_id, rule, s, 1 AS hops, [node, cnode] AS nodes, [CASE rule WHEN 'ALIAS_EXACT' THEN 'NAME_MATCH' ELSE 'NAME_SIMILAR' END] AS types, [s] AS ws, [ec] AS cs, km, amb, '0:' || alias_id AS ordinal FROM al
+  UNION ALL SELECT al.entity_id, w.company_id, w.rule, w.s, 2, [al.node, al.cnode, w.node_id], list_concat([CASE al.rule WHEN 'ALIAS_EXACT' THEN 'NAME_MATCH' ELSE 'NAME_SIMILAR' END], w.types), list_concat([al.s], w.ws), list_concat([al.ec], w.cs), km, amb, '1:' || array_to_string(list_concat([al.node], w.nodes), '>')
+    FROM al JOIN w1 w ON w.start = al.cnode WHERE w.company_id <> al.company_id
+  UNION ALL SELECT e.entity_id, w.company_id, w.rule, w.s, w.hop + 1, list_concat([e.node], w.nodes), list_concat(['RELATED_CONCEPT'], w.types), list_concat([1e0], w.ws), list_concat([1e0], w.cs), 0, FALSE, '2:' || array_to_string(list_concat([e.node], w.nodes), '>')
+    FROM ent e JOIN ent k ON contains(e.norm, k.norm) OR contains(k.norm, e.norm) JOIN w3 w ON w.start = k.node
+  UNION ALL SELECT e.entity_id, w.company_id, w.rule, w.s, w.hop, w.nodes, w.types, w.ws, w.cs, 0, FALSE, '3:' || array_to_string(w.nodes, '>') FROM ent e JOIN w3 w ON w.start = e.node WHERE person),
+one AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY entity_id, company_id ORDER BY s DESC, ordinal) = 1),
+rec AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY s DESC, ordinal, company_id) AS rank FROM one QUALIFY rank <= 40)"""
+ORACLE_SQL["recall_all"] = _RECALL + f" SELECT entity_id, company_id, rule AS recall_rule, {_R.format('s')} AS recall_score, hops AS hop_count, km AS keyword_match, array_to_string(nodes, '>') AS nodes, CAST(rank AS INT) AS rank FROM rec"
+ORACLE_SQL["build_connections"] = _RECALL + f""", j AS (SELECT *, CASE rule WHEN 'ALIAS_EXACT' THEN 'NAME_MATCH' WHEN 'ALIAS_PREFIX' THEN 'MEME' WHEN 'ALIAS_JAMO_SIMILAR' THEN 'MEME' WHEN 'GRAPH_EXPAND' THEN 'AFFILIATION' WHEN 'SUPPLY_DICT' THEN 'SUPPLY_CHAIN' WHEN 'PERSON_DICT' THEN 'PERSON' ELSE 'THEME' END AS kind,
+  CASE rule WHEN 'ALIAS_EXACT' THEN 10 WHEN 'ALIAS_PREFIX' THEN 15 WHEN 'ALIAS_JAMO_SIMILAR' THEN 15 WHEN 'GRAPH_EXPAND' THEN 8 WHEN 'SUPPLY_DICT' THEN 75 WHEN 'PERSON_DICT' THEN 60 ELSE 40 END AS b0,
+  CASE rule WHEN 'ALIAS_EXACT' THEN 85 WHEN 'ALIAS_PREFIX' THEN 75 WHEN 'ALIAS_JAMO_SIMILAR' THEN 75 WHEN 'GRAPH_EXPAND' THEN 70 WHEN 'SUPPLY_DICT' THEN 0 WHEN 'PERSON_DICT' THEN 0 ELSE 10 END AS ml FROM rec),
+g AS (SELECT *, CASE WHEN b0 >= 60 AND company_id % 2 <> 0 THEN 59 ELSE b0 END AS b1 FROM j WHERE NOT (entity_id % 5 = 0 AND kind = 'MEME') AND hops <= 4 AND len(list_distinct(nodes)) = len(nodes)),
+c AS (SELECT *, b1 >= 60 AND company_id % 7 = 0 AS refuted, CAST(CASE WHEN b1 >= 60 AND company_id % 7 = 0 THEN 25 ELSE b1 END AS BIGINT) AS br FROM g),
+f AS (SELECT *, CAST(NULL AS BIGINT) AS mr, amb AS ambiguous, len(list_filter(cs, lambda x: x <= 0.3)) > 0 AS gap, CAST(floor(list_min(cs) * 90 / 100 * 100 + 0.5) AS BIGINT) AS cf,
+  CAST(coalesce(floor(100 * list_min(list_transform(list_filter(list_zip(types, ws), lambda x: x[1] = 'SUPPLY_CHAIN'), lambda x: x[2])) + 0.5), 0) AS BIGINT) AS sc,
+  least(100, greatest(0, (0.5e0 * ml + 0.3e0 * (100 - br)) / 0.8e0)) AS m0 FROM c),
+h AS (SELECT *, CAST(floor(CASE WHEN kind = 'MEME' THEN greatest(m0, 50) ELSE m0 END + 0.5) AS BIGINT) AS meme FROM f), s AS (SELECT *, CAST({score_sql("mr")} AS BIGINT) AS score FROM h)
+SELECT entity_id, company_id, kind AS connection_type, br AS business_relevance, meme, cf AS confidence, sc AS supply_chain, score, CASE WHEN br >= 70 THEN 'HIGH' WHEN br >= 40 THEN 'MEDIUM' WHEN br >= 15 THEN 'LOW' ELSE 'NONE' END AS band,
+  CASE WHEN br >= 80 OR score >= 90 OR meme >= 90 OR hops >= 4 OR amb THEN 'PENDING' ELSE 'ACTIVE' END AS status, CASE WHEN refuted THEN 'r' END AS counter_reason FROM s"""

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from braidwork.config import BUSINESS_KINDS
 from braidwork.functions.scoring import heat, is_meme
-from braidwork.functions.text import normalize_name
+from braidwork.functions.text import normalize_entity, normalize_name
 from braidwork.functions.timeutil import within_days
 from braidwork.operators.decisions import keyword_requests
 from braidwork.operators.graph import lanes
 from braidwork.operators.matching import alias_hits, unlisted
+from braidwork.operators.stages import extracted, summaries
 from braidwork.plans.market import RATIO, with_ratio
 from braidwork.plans.reads import _BASE, connections, meme_rank, top, visible
 from braidwork.plans.views import daily_market, table, view, with_views
@@ -214,7 +215,37 @@ def lane_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lanes(c, ["graph_id"], ["id", "tie"], 800, 480).select("graph_id", "id", "lane", "x", (F.floor(F.col("y") * 1e6 + 0.5) / 1e6).alias("y"))
 
 
+def summary_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as requests; a third of the summaries quote, a fifth are cached, a seventh fail, an eleventh can't be read."""
+    a, i = view(spark, sf_dir, "article"), F.col("id")
+    hash_ = F.concat_ws(":", "source", F.length("text"))
+    quote = F.when(i % 3 == 0, F.substring("text", 2, 30)).otherwise(F.concat(F.lit("About "), F.left("title", F.lit(12))))
+    requests = a.select(i.alias("cluster_id"), hash_.alias("input_hash"), F.floor(i / 100).alias("day"), i.alias("at"), F.array("text").alias("sources"))
+    cached = a.where("id % 5 = 0").groupBy(hash_.alias("input_hash")).agg(F.concat(F.lit("Cached "), F.min("id").cast("string")).alias("summary"))
+    outputs = a.select(i.alias("cluster_id"), F.when(i % 11 != 0, quote).alias("summary"), (1 + i % 4).cast("double").alias("cost"), F.when(i % 7 == 0, "timeout").alias("error"))
+    return summaries(requests, cached, outputs, 150.0)
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    m = view(spark, sf_dir, "mention").join(p, F.col("p_partkey") == F.col("entity_id")).select("cluster_id", F.col("p_type").alias("name"), F.col("p_brand").alias("kind"), "importance")
+    types = p.select(normalize_entity(F.col("p_type")).alias("name_norm")).distinct()
+    canonical = types.where(F.length("name_norm") % 3 == 0).select("name_norm", F.left("name_norm", F.lit(5)).alias("canonical_norm"))
+    return extracted(m, types.where(F.length("name_norm") % 7 == 1), canonical)
+
+
+def entity_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that part types of stories give."""
+    return _extracted(spark, sf_dir)["entities"]
+
+
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The MENTIONS edges of stories."""
+    return _extracted(spark, sf_dir)["edges"]
+
+
 QUERIES = {
+    "summary_stage": summary_stage, "entity_stage": entity_stage, "entity_mentions": entity_mentions,
     "cluster_entities": cluster_entities, "cluster_cards": cluster_cards, "cluster_detail": cluster_detail, "movers": movers, "recent_connections": recent_connections, "home_clusters": home_clusters, "home": home,
     "connection_list": connection_list, "connection_list_themes": connection_list_themes, "stock_detail": stock_detail, "stock_connections": stock_connections, "entity_connections": entity_connections, "connection_by_id": connection_by_id,
     "search": search, "search_suggestions": search_suggestions, "alert_keywords": alert_keywords, "entities_unlisted": entities_unlisted, "lane_layout": lane_layout,
@@ -281,3 +312,20 @@ me AS (SELECT row_number() OVER (ORDER BY meme DESC, score DESC, id, entity_id)
 SELECT 'cluster' AS part, CAST(row_number() OVER (ORDER BY heat DESC, first_seen DESC, cluster_id) AS INT) AS rank, cluster_id AS ref_id FROM hc UNION ALL SELECT 'meme', CAST(rank AS INT), company_id FROM me
 UNION ALL SELECT 'mover', rank, company_id FROM mv UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY created DESC, id, company_id, entity_id) AS INT), id FROM rc"""
 )
+ORACLE_SQL["summary_stage"] = (
+    with_views("article")
+    + """, a AS (SELECT *, source || ':' || length(text) AS h, CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 3 = 0 THEN substr(text, 2, 30) ELSE 'About ' || left(title, 12) END END AS new, CAST(1 + id % 4 AS DOUBLE) AS cost FROM article),
+k AS (SELECT h, 'Cached ' || min(id) AS known FROM a WHERE id % 5 = 0 GROUP BY h), r AS (SELECT a.*, known, coalesce(known, new) AS s FROM a LEFT JOIN k USING (h)),
+q AS (SELECT *, coalesce(sum(CASE WHEN known IS NULL THEN cost ELSE 0 END) OVER (PARTITION BY id // 100 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  coalesce(len(list_filter(list_transform(range(1, greatest(1, length(s) - 19)), lambda i: substr(s, i, 21)), lambda w: contains(text, w))), 0) > 0 AS blocked FROM r),
+t AS (SELECT *, CASE WHEN known IS NULL THEN CASE WHEN spent >= 150 THEN 'SKIPPED_COST_CAP' WHEN id % 7 = 0 THEN 'ERROR' WHEN new IS NULL THEN 'INVALID_JSON' WHEN blocked THEN 'GUARDRAIL_BLOCKED' ELSE 'OK' END END AS run_status FROM q),
+g AS (SELECT *, CASE WHEN known IS NULL THEN run_status = 'OK' ELSE NOT blocked END AS good FROM t)
+SELECT id AS cluster_id, CASE WHEN good THEN s END AS summary, run_status, CASE WHEN good THEN 'DONE' WHEN run_status = 'SKIPPED_COST_CAP' THEN 'PENDING' ELSE 'FAILED' END AS analysis FROM g"""
+)
+_MENTIONED = (
+    with_views("mention")
+    + r""", m AS (SELECT cluster_id, p_type AS name, p_brand AS kind, importance, regexp_replace(regexp_replace(p_type, '\s+', '', 'g'), '[.,''"·\-_/()\[\]{}]', '', 'g') AS n FROM mention JOIN part ON p_partkey = entity_id),
+k AS (SELECT cluster_id, name, kind, importance, CASE WHEN length(n) % 3 = 0 THEN left(n, 5) ELSE n END AS name_norm FROM m WHERE n <> '' AND length(n) % 7 <> 1)"""
+)
+ORACLE_SQL["entity_stage"] = _MENTIONED + " SELECT kind, name_norm, min(name) AS name, count(*) AS mention_total FROM k GROUP BY 1, 2"
+ORACLE_SQL["entity_mentions"] = _MENTIONED + " SELECT cluster_id, kind, name_norm, 'MENTIONS' AS edge_type, max(importance) AS weight, 0.8e0 AS confidence FROM k GROUP BY 1, 2, 3"

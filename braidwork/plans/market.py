@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from braidwork.config import HOLIDAYS
 from braidwork.functions.scoring import connection_score, half_up, market_reaction
-from braidwork.functions.timeutil import fixed_window, market_status, quiet_hours, trade_date
+from braidwork.functions.timeutil import ZONE, day_start, fixed_window, is_pre_market, market_status, quiet_hours, trade_date
 from braidwork.operators.matching import as_of, latest
 from braidwork.plans.views import daily_market, table, view, with_views
 
+
 def by_day() -> WindowSpec:
     return Window.partitionBy("company_id").orderBy("trade_date")
 
@@ -49,9 +51,11 @@ def last_value_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local day, status, quiet hours and 5-minute window of each event."""
-    ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select("event_id", trade_date(ts).alias("local_day"), market_status(ts).alias("status"), quiet_hours(ts).alias("quiet"), fixed_window(ts, 300).alias("bucket"))
+    """Local and UTC day and their starts, status, quiet hours, before the market, and 5-minute window of each event, moved by
+    731 days into a year whose holidays are known."""
+    ts = F.col("ts").cast("timestamp") + F.expr("INTERVAL 731 DAYS")
+    starts = [F.unix_seconds(day_start(ts, zone)).alias(name) for zone, name in ((ZONE, "local_start"), (None, "utc_start"))]
+    return table(spark, sf_dir, "events").select(trade_date(ts, None).alias("utc_day"), *starts, is_pre_market(ts).alias("pre_market"), "event_id", trade_date(ts).alias("local_day"), market_status(ts).alias("status"), quiet_hours(ts).alias("quiet"), fixed_window(ts, 300).alias("bucket"))
 
 
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +109,9 @@ ORACLE_SQL = {
     "sparkline5": with_views("daily") + """, c AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS n FROM daily)
 SELECT company_id, string_agg(CAST(CAST(floor(price) AS BIGINT) AS VARCHAR), ',' ORDER BY trade_date) AS prices FROM c WHERE n <= 5 GROUP BY company_id""",
     "last_value_per_day": "SELECT user_id, CAST(ts AS DATE) AS day, arg_max(value, (ts, event_id)) AS last_value FROM events WHERE value > 100 GROUP BY 1, 2",
-    "market_hours": """WITH l AS (SELECT event_id, ts, ts + INTERVAL 9 HOUR AS t FROM events), m AS (SELECT *, hour(t) * 60 + minute(t) AS m FROM l)
-SELECT event_id, CAST(t AS DATE) AS local_day, CASE WHEN dayofweek(t) IN (0, 6) OR strftime(t, '%m-%d') IN ('x') THEN 'CLOSED' WHEN m >= 480 AND m < 540 THEN 'PRE_MARKET' WHEN m >= 540 AND m < 930 THEN 'OPEN'
+    "market_hours": f"""WITH u AS (SELECT event_id, ts + INTERVAL 731 DAY AS ts FROM events), l AS (SELECT event_id, ts, ts + INTERVAL 9 HOUR AS t FROM u), m AS (SELECT *, hour(t) * 60 + minute(t) AS m FROM l)
+SELECT event_id, CAST(t AS DATE) AS local_day, CAST(ts AS DATE) AS utc_day, CAST(epoch(date_trunc('day', t) - INTERVAL 9 HOUR) AS BIGINT) AS local_start, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS utc_start, hour(t) < 8 AS pre_market,
+  CASE WHEN dayofweek(t) IN (0, 6) OR strftime(t, '%Y-%m-%d') IN {HOLIDAYS} THEN 'CLOSED' WHEN m >= 480 AND m < 540 THEN 'PRE_MARKET' WHEN m >= 540 AND m < 930 THEN 'OPEN'
   WHEN m >= 930 AND m < 960 THEN 'AFTER_MARKET' ELSE 'CLOSED' END AS status, hour(t) >= 22 OR hour(t) < 7 AS quiet, CAST(epoch_ms(ts) // 300000 AS BIGINT) AS bucket FROM m""",
     "snapshot_as_of": with_views("connection", "daily") + " SELECT c.id, d.trade_date AS day, d.price FROM connection c ASOF LEFT JOIN daily d ON c.company_id = d.company_id AND c.trade_date >= d.trade_date",
     "rescore_market": with_views("connection", "daily") + "," + RATIO.format(of="daily") + f""", s AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY trade_date DESC) AS n FROM ratio WHERE volume_ratio IS NOT NULL AND change_pct IS NOT NULL),

@@ -67,7 +67,7 @@ def canonical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags out, spaces squashed, 200 characters."""
-    return table(spark, sf_dir, "pages").select("page_id", X.lead_text(F.regexp_replace("html", r"[^\x20-\x7E]", " ")).alias("lead"))
+    return table(spark, sf_dir, "pages").select("page_id", X.lead_text(F.col("html")).alias("lead"))
 
 
 def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ q AS (SELECT page_id, url, p, list_filter(string_split(substr(p.query, 2), '&'),
 s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(k, lambda x, i: {{'k': split_part(x, '=', 1), 'i': i, 'x': CASE WHEN contains(x, '=') THEN x ELSE x || '=' END}})), lambda x: x.x), '&') AS kept FROM q),
 c AS (SELECT page_id, CASE WHEN p.scheme = '' OR p.host = '' THEN url ELSE lower(p.scheme) || '://' || lower(p.host) || CASE WHEN p.path = '' THEN '/' WHEN length(p.path) > 1 THEN regexp_replace(p.path, '/$', '') ELSE p.path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM s)
 SELECT canonical, min(page_id) AS page_id, count(*) AS pages FROM c GROUP BY canonical""",
-    "page_leads": r"SELECT page_id, nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '[^\x20-\x7E]', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 200), '') AS lead FROM pages",
+    "page_leads": r"SELECT page_id, nullif(substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 200), '') AS lead FROM pages",
     "norm_name": r"""SELECT p_partkey, lower(regexp_replace(regexp_replace(p_name, '\s+', '', 'g'), '[.,''"·\-_/]', '', 'g')) AS norm,
   regexp_replace(regexp_replace(p_type, '\s+', '', 'g'), '[.,''"·\-_/()\[\]{}]', '', 'g') AS entity, length(p_name) > 0 AND length(p_type) > 0 AND left(p_name, 1) = left(p_type, 1) AS same_first FROM part""",
     "alias_expand": r"""WITH a AS (SELECT p_partkey AS company_id, p_name AS alias, 'OFFICIAL' AS alias_type FROM part UNION SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 6, '0'), 'TICKER' FROM part UNION SELECT p_partkey, p_brand, 'BRAND' FROM part),

@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine if it is unset and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_braidwork_dir", None) or tempfile.mkdtemp(prefix="braidwork-")
         spark.sparkContext._braidwork_dir = found
     return found.rstrip("/")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -89,7 +91,10 @@ class Matcher:
                     excepted.append((begin, end))
             elif (y := stem if inside else x) is not None and y > found.get(begin, (0, 0.0))[1]:
                 found[begin] = (end, y)
-        return [(a, b, x) for a, (b, x) in found.items() if not any(c <= a and b <= d for c, d in excepted)]
+        excepted.sort()
+        begins, furthest = [c for c, _ in excepted], list(accumulate((d for _, d in excepted), max))
+        inside_one = lambda a, b: (k := bisect_right(begins, a)) > 0 and furthest[k - 1] >= b
+        return [(a, b, x) for a, (b, x) in found.items() if not inside_one(a, b)]
 
     def features(self, text: str | None) -> np.ndarray:
         """Summed weight by the root of the number of words, its logarithm, and whether there is a hit."""

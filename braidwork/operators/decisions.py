@@ -87,11 +87,16 @@ def dispatched(matches: DataFrame, past: DataFrame, daily_cap: int = 3) -> DataF
     return one.withColumn("_k", F.row_number().over(turn)).join(sent, ["alert_id", "day"], "left").where(F.col("_k") + F.coalesce("sent", F.lit(0)) <= daily_cap).select("alert_id", "cluster_id", "connection_id")
 
 
-def source_health(fetches: DataFrame, limit: int = 10) -> DataFrame:
-    """(source_id, errors, active): errors since the last success of fetches (source_id, at, fetch_id, failed); `limit` of them switch a source off."""
+def source_health(fetches: DataFrame, limit: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """(source_id, errors, active): errors since the last success of fetches (source_id, at, fetch_id, failed); `limit` of them
+    switch a source off, and so does a robots file that doesn't allow it (allowed: source_id, allowed)."""
     last = fetches.groupBy("source_id").agg(F.max(F.when(~F.col("failed"), F.struct("at", "fetch_id"))).alias("ok"))
     errors = F.count(F.when(F.col("failed") & (F.col("ok").isNull() | (F.struct("at", "fetch_id") > F.col("ok"))), 1))
-    return fetches.join(last, "source_id").groupBy("source_id").agg(errors.alias("errors")).withColumn("active", F.col("errors") < limit)
+    out = fetches.join(last, "source_id").groupBy("source_id").agg(errors.alias("errors")).withColumn("active", F.col("errors") < limit)
+    if allowed is None:
+        return out
+    banned = allowed.where(~F.col("allowed")).select("source_id", F.lit(True).alias("banned")).distinct()
+    return out.join(banned, "source_id", "left").select("source_id", "errors", (F.col("active") & F.col("banned").isNull()).alias("active"))
 
 
 def rate_limited(requests: DataFrame) -> DataFrame:

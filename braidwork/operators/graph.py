@@ -15,8 +15,10 @@ def walks(starts: DataFrame, edges: DataFrame, max_hops: int = RECALL.max_hops,
     """G1: all cycle-free walks from starts (start) of up to max_hops edges: start, node_id, hop, nodes, edge_ids, types, weight.
 
     One join with the edges a hop, for all starts at once. A step is taken only if the walk's weight stays at the floor
-    or above; the first one always.
+    or above; the first one always. Edges that a column `active` says are not are left out.
     """
+    if "active" in edges.columns:
+        edges = edges.where("active")
     e = edges.select("edge_id", "src", "dst", "edge_type", F.col("weight").alias("w"))
     step = starts.select("start").distinct().join(e, F.col("start") == F.col("src")).select(
         "start", F.col("dst").alias("node_id"), F.lit(1).alias("hop"), F.array("src", "dst").alias("nodes"), F.array("edge_id").alias("edge_ids"), F.array("edge_type").alias("types"), F.col("w").alias("weight")

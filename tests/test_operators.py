@@ -271,3 +271,11 @@ def test_mappers_of_pages(spark):
     assert [(r["title"], r["url"], r["lead"], r["published_at"]) for r in a] == [("Head", "http://a.b/x?z=2", "lead", dt.datetime(2026, 1, 5))]
     e = mappers.analytics_events(spark.createDataFrame([("open", {"k": 1}, dt.datetime(2026, 1, 5)), ("other", {}, None)], "name string, payload map<string,int>, at timestamp"), ("open",)).collect()
     assert [(r["name"], r["payload"], r["at"]) for r in e] == [("open", '{"k":1}', "2026-01-05T00:00:00.000Z")]
+
+
+def test_switched_off_edges_and_sources(spark):
+    e = spark.createDataFrame([(1, 1, 2, "A", 0.9, True), (2, 2, 3, "A", 0.9, False), (3, 2, 4, "A", 0.9, True)], "edge_id long, src long, dst long, edge_type string, weight double, active boolean")
+    assert sorted(r["nodes"] for r in graph.walks(spark.createDataFrame([(1,)], "start long"), e).collect()) == [[1, 2], [1, 2, 4]]
+    f = spark.createDataFrame([(s, k, k, s == 2) for s in (1, 2, 3) for k in range(3)], "source_id long, at long, fetch_id long, failed boolean")
+    robots = spark.createDataFrame([(1, True), (3, False)], "source_id long, allowed boolean")
+    assert {r["source_id"]: (r["errors"], r["active"]) for r in decisions.source_health(f, 3, robots).collect()} == {1: (0, True), 2: (3, False), 3: (0, False)}

@@ -50,6 +50,36 @@ def test_language(docs, none, rows):
     assert {r["lang_pred"] for r in language.identified(docs, language.trained(none)).collect()} == {"und"}
 
 
+def test_language_is_kernel_ridge():
+    """Presence rows against n-grams in plain loops; with all rows as landmarks, scores are those of exact kernel ridge."""
+    rng = random.Random(6)
+    syllables = {"a": "the ing tion er an".split(), "b": "eau oui que ment la".split(), "c": "sch ung der ich zu".split()}
+    lang = [rng.choice("abc") for _ in range(60)]
+    texts_ = [" ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 20))) + rng.choice(("", "!", " É 7")) for k in lang]
+    x = language.presence(texts_)
+    for t, row in zip(texts_, x, strict=True):
+        c = [ord(ch) if ord(ch) >= 128 or "a" <= ch <= "z" else 32 for ch in f" {t.lower()} "]
+        slots = set()
+        for i in range(len(c)):
+            h = 0
+            for k in range(1, min(3, len(c) - i) + 1):
+                h = (h * 0x9E3779B1 + c[i + k - 1] + k) % 2**32
+                slots.add((((h ^ (h >> 15)) * 0x85EBCA77) % 2**32) >> 19)
+        assert set(np.nonzero(row)[0].tolist()) == slots
+    model = language.Model.fit(x, lang)
+    assert len(model.landmarks) == 60 <= language.LANDMARKS
+    u = x / np.sqrt(x.sum(axis=1, keepdims=True))
+    target = np.array([[1.0 if k == m else -1.0 for m in "abc"] for k in lang])
+    share = np.array([1 / lang.count(k) for k in lang])
+    share *= len(lang) / share.sum()
+    base = (share[:, None] * target).sum(0) / share.sum()
+    kernel = u @ u.T
+    exact = kernel @ np.linalg.solve(kernel + np.diag(language.RIDGE * len(lang) / 100 / share), target - base) + base
+    got = model.unit(x) @ model.landmarks.T @ model.weights + model.base
+    assert np.abs(got - exact).max() < 5e-3
+    assert model.predict(texts_)[0] == ["abc"[k] for k in exact.argmax(axis=1)]
+
+
 def test_language_presence_is_whole():
     long = "a" * (language.CHARS - 1) + "bc" + "d" * 10
     ab, whole = language.presence(["a" * 9 + "bc" + "d" * 9]), language.presence([long])

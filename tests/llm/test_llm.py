@@ -37,6 +37,44 @@ def test_quality_labellers_weigh():
     assert quality.weigh({}) == {} and quality.weigh({quality.SILENT: 3}) == {quality.SILENT: 0.5}
 
 
+def test_quality_em_and_scorer_by_hand():
+    """EM over rows one by one, and the scorer's gradient steps in plain loops, against those over patterns and arrays."""
+    rng = random.Random(7)
+    rows_ = []
+    for _ in range(300):
+        good = rng.random() < 0.7
+        rows_.append(tuple(rng.choices((0, 1, 2), (0.05, 0.45, 0.5) if good else (0.5, 0.4, 0.1))[0] for _ in range(quality.LABELLERS)))
+    rows_ += [(1,) * quality.LABELLERS] * 5
+    code = lambda v: sum(x * 3**i for i, x in enumerate(v))
+    got = quality.weigh(Counter(map(code, rows_)))
+    heard = [v for v in rows_ if any(x != 1 for x in v)]
+    p = [1 / (1 + math.exp(-(v.count(2) - 3 * v.count(0)) - 0.5)) for v in heard]
+    for _ in range(200):
+        prior = [(sum(1 - x for x in p) + 1) / (len(p) + 2), (sum(p) + 1) / (len(p) + 2)]
+        share = [[[(sum((x if k else 1 - x) for x, v in zip(p, heard, strict=True) if v[j] == a) + 0.1) / (sum((x if k else 1 - x) for x in p) + 0.3) for a in range(3)] for j in range(quality.LABELLERS)] for k in range(2)]
+        now = [1 / (1 + math.exp(sum(math.log(share[0][j][a]) - math.log(share[1][j][a]) for j, a in enumerate(v)) + math.log(prior[0]) - math.log(prior[1]))) for v in heard]
+        done, p = max(abs(a - b) for a, b in zip(p, now, strict=True)) < 1e-9, now
+        if done:
+            break
+    assert all(got[code(v)] == pytest.approx(x, abs=1e-5) for v, x in zip(heard, p, strict=True))
+    assert got[quality.SILENT] == pytest.approx(sum(p) / len(p), abs=1e-5)
+    sample = [(np.array(sorted(rng.sample(range(40), 4))), np.array([rng.random() for _ in range(4)]), rng.random()) for _ in range(30)]
+    w = quality.fit(sample, rounds=12)
+    hand, square, bias = [0.0] * 40, [1e-8] * 41, 0.0
+    n = [sum(y < 0.5 for *_, y in sample), sum(y >= 0.5 for *_, y in sample)]
+    for _ in range(12):
+        g = [1e-4 * x for x in hand] + [0.0]
+        for slots, x, y in sample:
+            off = (1 / (1 + math.exp(-sum(hand[s] * v for s, v in zip(slots, x, strict=True)) - bias)) - y) / max(1, n[y >= 0.5])
+            for s, v in zip(slots, x, strict=True):
+                g[s] += v * off
+            g[40] += off
+        square = [a + b * b for a, b in zip(square, g, strict=True)]
+        hand = [h - 0.5 * g[i] / math.sqrt(square[i]) for i, h in enumerate(hand)]
+        bias -= 0.5 * g[40] / math.sqrt(square[40])
+    assert w[:40] == pytest.approx(hand, abs=1e-9) and w[-1] == pytest.approx(bias, abs=1e-9)
+
+
 def test_language(docs, none, rows):
     model = language.trained(docs.where("lang is not null"))
     out = language.identified(docs, model).collect()

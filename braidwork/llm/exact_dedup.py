@@ -134,8 +134,9 @@ def exact_groups(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of snapshot and batch, two tables (doc_id, text).
 
     Incoming digests that pass the snapshot's filters join the snapshot's exact buckets by the whole digest; texts that
-    meet there are compared byte by byte with their bucket's first text. The others are grouped among themselves, with
-    the same comparison. Different texts with one digest are told apart by their bytes. Of equal texts the row with the largest doc_id stays.
+    meet there are compared byte by byte with their bucket's. The others are grouped among themselves, with the same
+    comparison. Different texts with one digest are told apart by their bytes. Of equal texts the row with the largest
+    doc_id stays. Copies are joined by a task's first one only, so a group may hold any share of the rows.
 
     A null text counts as empty. A null doc_id keeps its row, ranks below all ids, and is kept only if its group has
     no id (then keep_id is null and all rows of the group say kept). Rows with one doc_id and text twice count twice
@@ -152,11 +153,10 @@ def exact_groups(snapshot: DataFrame, batch: DataFrame, digest: Callable[[Column
     groups = stored(sums.union(joined), "groups")
     every = old.select("doc_id", "sha").union(new.select("doc_id", "sha"))
     texts = snapshot.select(F.col("doc_id").cast("long"), "text").union(batch.select(F.col("doc_id").cast("long"), "text"))
-    shared = groups.where("n > 1").select("sha", "id")
     full = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest(F.col("text")).alias("sha"))
-    members = full.join(shared, "sha")
-    first = members.where(F.col("doc_id").eqNullSafe(F.col("id"))).select("sha", F.col("text").alias("first")).dropDuplicates(["sha"])
-    unequal = stored(members.join(first, "sha").where("text <> first").select("sha").distinct(), "unequal")
+    # Each task hands on one copy of a text, so a group's bytes meet without its members, however many there are.
+    different = full.select("sha", "text").distinct().groupBy("sha").agg(F.count("*").alias("texts"))
+    unequal = stored(different.where("texts > 1").select("sha"), "unequal")
     out = every.join(groups, "sha").select(
         "doc_id", F.col("id").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256")
     )

@@ -331,8 +331,8 @@ def text_nodes(docs: DataFrame, key: str, sha: str, hashed_by: Callable[[Column]
     """docs with a bigint for each different text in column `key`: a hash, or another one where texts with different
     SHA-256 digests share it. Column `sha` is a helper."""
     named = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn(key, hashed_by(F.col(sha)))
-    clash = named.groupBy(F.col(key).alias("k")).agg(F.min(sha).alias("a"), F.max(sha).alias("b")).where("a <> b").select("k")
-    clash = stored(named.select(F.col(key).alias("k"), F.col(sha).alias("d")).join(clash, "k", "left_semi").distinct(), "clash")
+    texts = stored(named.select(F.col(key).alias("k"), F.col(sha).alias("d")).distinct(), "texts")  # copies are one row from here
+    clash = stored(texts.join(texts.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k", "left_semi"), "clash")
     if clash.isEmpty():
         return named
     turn, (other,) = F.row_number().over(Window.partitionBy("k").orderBy("d")), free_names(named, "other")

@@ -121,7 +121,8 @@ def _placed(docs: DataFrame, shards: int, rounds: int) -> DataFrame | None:
     numbered = ranked(flat.withColumn("cell", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(cells)).cast("int")).withColumn("all", F.lit(0)), ["all"], ["doc_id", "grp"], "row").drop("all", "copy")
     numbered = stored(numbered, "rows")
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    multi = numbered.groupBy("grp").agg(F.count("*").alias("members"), F.min("row").alias("seed")).where("members > 1").select("grp", "seed")
+    # a table, so that the join below is one of two shuffles, whose hot groups adaptive execution splits
+    multi = stored(numbered.groupBy("grp").agg(F.count("*").alias("members"), F.min("row").alias("seed")).where("members > 1").select("grp", "seed"), "groups")
     start = F.when(F.col("row") == F.col("seed"), F.pmod("row", F.lit(shards))).otherwise(-1).cast("int")
     linked = stored(numbered.join(multi, "grp").select("row", "cell", "grp", start.alias("shard")), "labels")
     linked = stored(propagate(linked, quota, rounds).where("shard >= 0"), "labels")

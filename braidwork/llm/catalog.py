@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import decontamination, exact_dedup, language, language_model, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from braidwork.llm import bpe, decontamination, exact_dedup, fill_in_middle, filter_audit, language, language_model, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -19,8 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The words of the contracts are runs of anything else than these; bytes.split() separates at the same six.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -146,3 +147,18 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     for k, n in zip(keys, names, strict=True):
         on = F.col(k).eqNullSafe(F.col(n)) & on
     return left.join(other, on, how).drop(*names)
+
+
+def mapped(df: DataFrame, given: list[Column], keep: tuple[str, ...], made: list[T.StructField], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The columns `keep` of df and the columns `made`, from an Arrow map over batches of `given`, then `keep`; it yields keep, then made.
+
+    Columns have plain names on the way, so those of df may hold dots or differ in case alone. A kept column named as a made
+    one is an error.
+    """
+    clash = [c for c in keep if c.lower() in {f.name for f in made}]
+    if clash:
+        raise ValueError(f"kept columns are named as made ones: {clash}")
+    kept = [F.col(f"`{c.replace('`', '``')}`") for c in keep]
+    rows = df.select(*(c.alias(f"given{i}") for i, c in enumerate(given)), *(c.alias(f"keep{i}") for i, c in enumerate(kept)))
+    fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[len(given) :]] + made
+    return rows.mapInArrow(run, T.StructType(fields)).toDF(*keep, *(f.name for f in made))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,24 +117,6 @@ def flatten_merges(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
     return entities.select("id", "kind").join(roots, F.col("id") == F.col("node_id"), "left").select("id", "kind", F.when(F.col("root") != F.col("id"), F.col("root")).alias("canonical_id"))
 
 
-def budgeted_subgraph(connections: DataFrame, max_nodes: int = 60) -> DataFrame:
-    """(cluster_id, connection_id, kept, truncated): a cluster's connections (score, id, node_ids) best first, each
-    kept if its new nodes fit into max_nodes, the news node included. Sequential within a cluster only."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "connection_id"], ascending=[False, True])
-        have, kept = set(), []
-        for ids in rows["node_ids"]:
-            new = set(map(int, ids)) - have
-            ok = 1 + len(have) + len(new) <= max_nodes
-            kept.append(ok)
-            if ok:
-                have |= new
-        return pd.DataFrame({"cluster_id": rows["cluster_id"], "connection_id": rows["connection_id"], "kept": kept, "truncated": not all(kept)})
-
-    return connections.groupBy("cluster_id").applyInPandas(fold, "cluster_id long, connection_id long, kept boolean, truncated boolean")
-
-
 def lanes(nodes: DataFrame, key: list[str], order: list[str], width: float, height: float, count: int = 4, padding: float = 36) -> DataFrame:
     """Nodes (key, lane, order) with x and y of the still layout: a lane's nodes stand evenly between the paddings, a single one in the middle."""
     w = Window.partitionBy(*key, "lane")

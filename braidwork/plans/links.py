@@ -11,6 +11,7 @@ from braidwork.operators import building as B
 from braidwork.operators import graph as G
 from braidwork.operators.decisions import reference_judgements
 from braidwork.operators.matching import alias_hits, best_per_company, best_vector, concept_hits, keyword_hits, similar_spellings, touching
+from braidwork.operators.subgraph import kept_connections
 from braidwork.plans.market import score_sql
 from braidwork.plans.views import table, view, with_views
 
@@ -126,7 +127,7 @@ def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections of each cluster that fit into 12 nodes."""
     c = view(spark, sf_dir, "connection").where("status <> 'PENDING' and br >= 50")
-    return G.budgeted_subgraph(c.select(F.col("cluster_id").cast("long"), F.col("id").alias("connection_id"), F.col("br").alias("score"), F.array("company_id", (F.col("entity_id") + 1000000)).alias("node_ids")), 12)
+    return kept_connections(c.select(F.col("cluster_id").cast("long"), F.col("id").alias("connection_id"), F.col("br").alias("score"), F.array("company_id", (F.col("entity_id") + 1000000)).alias("node_ids")), 12)
 
 
 def vec_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +180,10 @@ SELECT start, node_id, 'ancestor' AS side FROM up WHERE node_id <> start UNION A
     "edges_touching": with_views("edge") + ", n AS (SELECT 2000 + n_nationkey AS k FROM nation) SELECT edge_id, src, dst FROM edge WHERE src IN (SELECT k FROM n) OR dst IN (SELECT k FROM n)",
     "path_labels": _WITH_WALK + """, lab AS (SELECT 2000 + n_nationkey AS k, n_name AS label FROM nation UNION ALL SELECT 100000 + s_suppkey, s_name FROM supplier)
 SELECT w.start, w.node_id, concat_ws(' → ', a.label, b.label, c.label, d.label) AS path FROM walk w JOIN lab a ON a.k = w.nodes[1] JOIN lab b ON b.k = w.nodes[2] LEFT JOIN lab c ON c.k = w.nodes[3] LEFT JOIN lab d ON d.k = w.nodes[4] WHERE (hop < 2 OR c.k IS NOT NULL) AND (hop < 3 OR d.k IS NOT NULL)""",
+    "cluster_graph": with_views("connection", recursive=True) + """, o AS (SELECT cluster_id, id, CAST([company_id, entity_id + 1000000] AS BIGINT[]) AS ids, row_number() OVER (PARTITION BY cluster_id ORDER BY br DESC, id, company_id, entity_id) AS k FROM connection WHERE status <> 'PENDING' AND br >= 50),
+fold AS (SELECT DISTINCT cluster_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS id, CAST([] AS BIGINT[]) AS nodes, false AS kept FROM o
+  UNION ALL SELECT o.cluster_id, o.k, o.id, CASE WHEN len(list_distinct(nodes || ids)) <= 11 THEN list_distinct(nodes || ids) ELSE nodes END, len(list_distinct(nodes || ids)) <= 11 FROM fold f JOIN o ON o.cluster_id = f.cluster_id AND o.k = f.k + 1 AND o.k <= 200)
+SELECT cluster_id, id AS connection_id, kept, bool_or(NOT kept) OVER (PARTITION BY cluster_id) AS truncated FROM fold WHERE k > 0""",
     "vec_top1": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
 SELECT query_id, arg_max(vec_id, (c, -vec_id)) AS vec_id, floor(max(c) * 1e5 + 0.5) / 1e5 AS cosine FROM p GROUP BY query_id""",
 }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import title_tokens
-from braidwork.operators import decisions, graph, mappers, matching, stories
+from braidwork.operators import decisions, graph, mappers, matching, stories, subgraph
 from braidwork.operators.tables import counted
 from braidwork.plans import params
 from braidwork.sources import readers, sinks
@@ -90,7 +90,7 @@ def test_merge_caps_at_40(spark):
 
 def test_budget_skips_whole_connections(spark):
     c = spark.createDataFrame([(1, 1, 9, [1, 2, 3]), (1, 2, 8, [4, 5]), (1, 3, 7, [1])], "cluster_id long, connection_id long, score long, node_ids array<long>")
-    assert {r["connection_id"]: r["kept"] for r in graph.budgeted_subgraph(c, 5).collect()} == {1: True, 2: False, 3: True}
+    assert {r["connection_id"]: r["kept"] for r in subgraph.kept_connections(c, 5).collect()} == {1: True, 2: False, 3: True}
 
 
 def test_all_empty_keywords_meet_all(spark):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fnv1a(text: Column) -> Column:
@@ -18,17 +22,30 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
 
 
-def simhash32(tokens: Column) -> Column:
-    """Bit k is set if more tokens' hashes have it than not; 0 without tokens. Each token is hashed once."""
+def _fnv(token: str) -> int:
+    h = 2166136261
+    for u in memoryview(token.encode("utf-16-le")).cast("H"):
+        h = (h ^ u) * 16777619 & 0xFFFFFFFF
+    return h
+
 
-    def bits(hashes: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for bit in (F.lit(1 << k).cast("long") for k in range(32)):
-            having = F.filter(hashes, lambda h: h.bitwiseAND(bit) != 0)  # noqa: B023
-            out = out + F.when(2 * F.size(having) > F.size(hashes), bit).otherwise(F.lit(0).cast("long"))
-        return out
+@F.arrow_udf(T.LongType())
+def _majority(tokens: pa.Array) -> pa.Array:
+    """A batch at a time: each different token is hashed once, bits are added up as prefix sums over all tokens of the batch."""
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))))
+    coded = pc.list_flatten(tokens).dictionary_encode()
+    hashes = np.array([_fnv(t) for t in coded.dictionary.to_pylist()], np.int64)
+    h = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    n, out = np.diff(ends), np.zeros(len(tokens), np.int64)
+    for k in range(32):
+        ones = np.concatenate(([0], np.cumsum(h >> k & 1)))
+        out |= (2 * np.diff(ones[ends]) > n).astype(np.int64) << k
+    return pa.array(out, mask=tokens.is_null().to_numpy(zero_copy_only=False))
 
-    return F.element_at(F.transform(F.array(F.transform(tokens, fnv1a)), bits), 1)
+
+def simhash32(tokens: Column) -> Column:
+    """Bit k is set if more tokens' hashes have it than not; 0 without tokens, null for null. Null tokens don't count."""
+    return _majority(F.filter(tokens, lambda t: t.isNotNull()))
 
 
 def hamming(a: Column, b: Column) -> Column:

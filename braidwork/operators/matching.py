@@ -152,21 +152,26 @@ def jaccard_pairs(sets: DataFrame, floor: float = 0.5) -> DataFrame:
 
     Tokens are ordered by rarity. Of two sets so similar, the smaller one's first n - ceil(2 * floor / (1 + floor) * n) + 1 rarest
     tokens and the larger one's first n - ceil(floor * n) + 1 share one, and after the first that they share enough
-    others must be left in both. Only those meet; the exact value decides.
+    others must be left in both. Only those meet. A meeting set has 256 bits with it, one set for each token: a bit that
+    the other lacks is a token that it lacks, which rules out nearly all pairs before the exact value decides.
     """
     s = stored(sets.select("set_id", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0), "sets")
     flat = s.select("set_id", F.explode("tokens").alias("t"))
     rarity = flat.groupBy("t").agg(F.count("*").alias("df"))
-    item = F.struct("df", "t")
-    lists = stored(flat.join(rarity, "t").groupBy("set_id").agg(F.array_sort(F.collect_list(item)).alias("items")).select("set_id", F.transform("items", lambda x: x["t"]).alias("tokens")), "sets")
-    ranked = lists.select("set_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("r", "t"))
+    place = F.pmod(F.xxhash64("t"), F.lit(256))
+    bit = lambda k: F.bit_or(F.when(F.floor(place / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = [f"s{k}" for k in range(4)]
+    rows = flat.join(rarity, "t").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("items"), *(bit(k).alias(c) for k, c in enumerate(bits)))
+    lists = stored(rows.select("set_id", F.transform("items", lambda x: x["t"]).alias("tokens"), *bits), "sets")
+    ranked = lists.select("set_id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("r", "t"), *bits)
     small = ranked.where(F.col("r") <= F.col("n") - F.ceil(2 * floor / (1 + floor) * F.col("n") - 1e-9))
     large = ranked.where(F.col("r") <= F.col("n") - F.ceil(floor * F.col("n") - 1e-9))
-    a, b = (dealt(side, "t").select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("r").alias(f"r{k}"), "t") for side, k in ((small, "a"), (large, "b")))
+    a, b = (dealt(side, "t").select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("r").alias(f"r{k}"), "t", *(F.col(c).alias(f"{c}{k}") for c in bits)) for side, k in ((small, "a"), (large, "b")))
     need = floor / (1 + floor) * (F.col("na") + F.col("nb")) - 1e-9
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"{c}{x}").bitwiseAND(F.bitwise_not(f"{c}{y}"))) for c in bits), F.lit(0))
     met = a.join(b, "t").where(ordered & (F.col("na") >= floor * F.col("nb")) & (F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= need))
-    pairs = met.select("a", "b").distinct()
+    pairs = met.where((F.col("na") - lacks("a", "b") >= need) & (F.col("nb") - lacks("b", "a") >= need)).select("a", "b").distinct()
     side = lambda k: lists.select(F.col("set_id").alias(k), F.col("tokens").alias(f"t{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))

@@ -1,24 +1,18 @@
-"""News deduplication and clustering (D1-D3): sequential rules run inside connected components only."""
+"""News deduplication and clustering (D1-D3): sequential rules, decided in rounds of joins."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from braidwork.operators.graph import components
+from braidwork.functions.similarity import cosine
 from braidwork.operators.matching import jaccard_pairs, near_hashes
 from braidwork.operators.tables import stored
 
 
-def _grouped(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
-    """rows with `component`: the least key reachable over links; rows with one key are together."""
-    roots = components(links)
-    return rows.join(roots, rows[key] == roots.node_id, "left").withColumn("component", F.coalesce("root", key)).drop("node_id", "root")
-
-
 def survivors(articles: DataFrame, budget: int = 3) -> DataFrame:
     """(id, kept, duplicate_of) of articles (id, simhash, published_at): earliest first, an article within `budget` bits of
     a kept one is its duplicate; a null simhash is always kept. Duplicates don't chain.
@@ -27,7 +21,8 @@ def survivors(articles: DataFrame, budget: int = 3) -> DataFrame:
     the table of links decide: a hash without earlier neighbours that are open is kept, and its later neighbours go.
     Equi-joins on hashes only; each round ends in a written table.
     """
-    known = articles.where("simhash is not null").select(F.col("id").cast("long").alias("id"), F.col("simhash").cast("long").alias("simhash"), "published_at")
+    every = stored(articles.select(F.col("id").cast("long").alias("id"), F.col("simhash").cast("long").alias("simhash"), "published_at"), "articles")
+    known = every.where("simhash is not null")
     hashes = stored(known.groupBy("simhash").agg(F.min(F.struct("published_at", "id")).alias("first")), "hashes")
     near = near_hashes(hashes, budget)
     both = stored(near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
@@ -41,13 +36,13 @@ def survivors(articles: DataFrame, budget: int = 3) -> DataFrame:
         left = stored(left.join(now.union(gone), "a", "left_anti"), "left")
         links = stored(links.join(left, "a", "left_semi").join(gone.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), "links")
     if kept is None:
-        return articles.select(F.col("id").cast("long"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("duplicate_of"))
+        return every.select("id", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("duplicate_of"))
     kept = stored(kept.join(of("a", "first"), "a").select(F.col("a").alias("b"), "first"), "kept")
     meets = both.union(kept.select(F.col("b").alias("a"), "b")).join(kept, "b").select(F.col("a").alias("simhash"), "first")
     mine = F.struct("published_at", "id")
     hit = known.join(meets, "simhash").where(F.col("first") < mine).groupBy("id", "published_at", "simhash").agg(F.min("first").alias("of"))
     done = known.join(hit.select("id", F.col("of.id").alias("duplicate_of")).distinct(), "id", "left").select("id", F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")
-    return done.union(articles.where("simhash is null").select(F.col("id").cast("long"), F.lit(True), F.lit(None).cast("long")))
+    return done.union(every.where("simhash is null").select("id", F.lit(True), F.lit(None).cast("long")))
 
 
 def cosine_of(a: list[float] | None, b: list[float] | None) -> float | None:
@@ -81,31 +76,90 @@ def step(clusters: list[dict], article: dict, floor: float, hours: float, least_
     return best
 
 
+def _sessions(items: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, block, opener): items (key, at, id, block) of one key that follow each other within `width` are a session; opener is
+    the id of its first one. Two items of a block are never farther apart, so a block is in one session, and only blocks
+    are put in order."""
+    per = items.groupBy(key, "block").agg(F.min(F.struct("at", "id")).alias("lo"), F.max("at").alias("hi"))
+    line = Window.partitionBy(key).orderBy("block")
+    starts = F.coalesce(F.col("lo.at") - F.lag("hi").over(line) > width, F.lit(True))
+    opener = F.last(F.when(F.col("starts"), F.col("lo.id")), ignorenulls=True).over(line)
+    return per.withColumn("starts", starts).select(key, "block", opener.alias("opener"))
+
+
+def _reach(members: DataFrame, width: int) -> DataFrame:
+    """Where and when a cluster can be joined: (headline, block, cluster_id, opened, since, until, lo, past) of members (id, at, title, tier, block, cluster_id).
+
+    A headline begins with the first member of a tier lower than all before, and lasts up to the next such one, it included. In
+    a block the cluster is in reach after its first member there (lo), or until `width` after its last one in the block
+    before (past). Grouped by cluster and tier, and by cluster and block: no cluster is ever put in order as a whole.
+    """
+    order = F.struct("at", "id")
+    first = members.groupBy("cluster_id", "tier").agg(F.min(F.struct("at", "id", "title")).alias("f"))
+    lower = Window.partitionBy("cluster_id").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("cluster_id")
+    heads = first.withColumn("until", F.min(F.struct("f.at", "f.id")).over(lower)).withColumn("opened", F.min(F.struct("f.at", "f.id")).over(whole))
+    heads = heads.select("cluster_id", "opened", F.struct("f.at", "f.id").alias("since"), "until", F.col("f.title").alias("headline")).where("opened.id = cluster_id and (until is null or since < until)")
+    per = members.groupBy("cluster_id", "block").agg(F.min(order).alias("lo"), F.max("at").alias("hi"))
+    none = F.lit(None)
+    spans = per.select("cluster_id", "block", "lo", none.cast("long").alias("past")).union(per.select("cluster_id", F.col("block") + 1, none.cast("struct<at:bigint,id:bigint>"), "hi"))
+    spans = spans.groupBy("cluster_id", "block").agg(F.min("lo").alias("lo"), F.max("past").alias("past"))
+    met = spans.join(heads, "cluster_id").where((F.col("since.at") < (F.col("block") + 1) * width) & F.coalesce(F.col("until.at") >= F.col("block") * width, F.lit(True)))
+    return met.select("headline", "block", "cluster_id", "opened", "since", "until", "lo", "past")
+
+
 def clustered(articles: DataFrame, floor: float = 0.5, hours: float = 24, least_cosine: float = 0.88) -> DataFrame:
     """(id, cluster_id, representative) of articles (id, tokens, published_at, tier, and vector if there is one), oldest first.
 
     An article joins the cluster whose headline is most similar, at least `floor`, last seen no more than `hours` away,
     and with a cosine of `least_cosine` if both have vectors; else it opens one, named by its id. The headline is the
-    representative's; a member of a lower tier than all before, or of the least tier and earlier than the
-    representative, takes its place at once. `representative` is the cluster's in the end.
-
-    A headline is always a member's title, so whatever can meet is connected in the graph of similar titles: the fold
-    runs for each component, and gives exactly what it gives over everything. Titles without tokens are a component.
+    representative's; a member of a lower tier than all before takes its place at once. `representative` is the cluster's in
+    the end. Null times are the epoch, null tiers 99, null tokens none; ids are unique.
+
+    The result of the sequence is the only assignment in which each article's cluster follows, by the rule, from the
+    assignment of earlier ones. It is found by rounds: all articles decide at once from the last round's clusters, as they
+    stood just before each of them, until nothing changes. After n rounds the first n are right for good, mostly after a few
+    rounds all are. Titles without similar ones need no rounds: their clusters are their own sessions, which are also the
+    first guess for the others. Every join is by (headline, day) or by id, so a title that is everywhere is one day's
+    articles a key; a round ends in a written table.
     """
-    sets = articles.select(F.xxhash64(F.array_sort(F.array_distinct("tokens"))).alias("set_id"), "tokens").dropDuplicates(["set_id"])
-    sets = stored(sets, "titles")
-    links = jaccard_pairs(sets, floor).select("a", "b")
-    keyed = articles.withColumn("set_id", F.xxhash64(F.array_sort(F.array_distinct("tokens"))))
-    columns = ["id", "tokens", "published_at", "tier", *(["vector"] if "vector" in articles.columns else [])]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        out = []
-        for r in rows.sort_values(["published_at", "id"]).to_dict("records"):
-            out.append((int(r["id"]), step(clusters, r | {"at": r["published_at"].timestamp()}, floor, hours, least_cosine)))
-        return pd.DataFrame([(i, int(c["id"]), int(c["rep"])) for i, c in out], columns=["id", "cluster_id", "representative"])
-
-    return _grouped(keyed, "set_id", links).select("component", *columns).groupBy("component").applyInPandas(fold, "id long, cluster_id long, representative long")
+    width = int(hours * 3_600_000_000)
+    has_vector = "vector" in articles.columns
+    at = F.coalesce(F.unix_micros(F.col("published_at").cast("timestamp")), F.lit(0).cast("long"))
+    tokens = F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))))
+    read = stored(articles.select(F.col("id").cast("long").alias("id"), at.alias("at"), F.coalesce("tier", F.lit(99)).alias("tier"), tokens.alias("tokens"), *(["vector"] if has_vector else [])), "articles")
+    titles = stored(read.groupBy("tokens").agg(F.min("id").alias("title")), "titles")
+    links = stored(jaccard_pairs(titles.select(F.col("title").alias("set_id"), "tokens"), floor), "links")
+    near = links.select("a", "b", "jaccard").union(links.select("b", "a", "jaccard"))
+    linked = near.select(F.col("a").alias("title")).distinct().withColumn("linked", F.lit(True))
+    block = F.floor(F.col("at") / width).cast("long")
+    items = stored(read.join(titles, "tokens").join(linked, "title", "left").select("id", "at", "tier", "title", block.alias("block"), F.coalesce("linked", F.lit(False)).alias("linked")), "items")
+    guess = items.join(_sessions(items, "title", width), ["title", "block"]).withColumnRenamed("opener", "cluster_id")
+    guess = stored(guess.select("id", "at", "tier", "title", "block", "linked", "cluster_id"), "guess")
+    if has_vector:  # without a similar title there is still one's own: vectors decide there as well
+        open_items, alone = guess.drop("linked"), guess.limit(0)
+    else:
+        open_items, alone = guess.where("linked").drop("linked"), guess.where("not linked")
+    same = open_items.select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    probes = stored(open_items.select("id", "at", "title", "block").join(near.union(same).withColumnsRenamed({"a": "title", "b": "headline"}), "title").select("id", "at", "block", "headline", "jaccard"), "probes")
+    state = open_items
+    mine = F.struct("at", "id")
+    while True:
+        met = probes.join(_reach(state, width), ["headline", "block"]).where((F.col("since") < mine) & (F.col("until").isNull() | (mine <= F.col("until"))) & ((F.col("lo") < mine) | (F.col("at") - F.col("past") <= width)))
+        if has_vector:
+            vectors = read.select("id", "vector")
+            met = met.join(vectors, "id").join(vectors.select(F.col("id").alias("cluster_id"), F.col("vector").alias("_v")), "cluster_id")
+            met = met.where(F.col("vector").isNull() | F.col("_v").isNull() | (cosine(F.col("vector"), F.col("_v")) >= least_cosine))
+        rank = F.struct("jaccard", (-F.col("opened.at")).alias("_a"), (-F.col("opened.id")).alias("_i"))
+        best = met.groupBy("id").agg(F.max_by("cluster_id", rank).alias("best"))
+        now = state.join(best, "id", "left").withColumn("best", F.coalesce("best", "id"))
+        now = stored(now.select("id", "at", "tier", "title", "block", F.col("best").alias("cluster_id"), (F.col("best") != F.col("cluster_id")).alias("moved")), "state")
+        state = now.drop("moved")
+        if now.where("moved").isEmpty():
+            break
+    done = state.select("id", "at", "tier", "cluster_id").union(alone.select("id", "at", "tier", "cluster_id"))
+    shown = done.groupBy("cluster_id").agg(F.min(F.struct("tier", "at", "id")).alias("m")).select("cluster_id", F.col("m.id").alias("representative"))
+    return done.select("id", "cluster_id").join(shown, "cluster_id").select("id", "cluster_id", "representative")
 
 
 def representatives(members: DataFrame) -> DataFrame:

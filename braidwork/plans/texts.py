@@ -12,6 +12,7 @@ from braidwork.functions.hashing import simhash32
 from braidwork.operators.matching import cache_hits, jaccard_pairs, near_hashes
 from braidwork.operators.mappers import expanded_aliases
 from braidwork.operators.stories import clustered, representatives, survivors
+from braidwork.operators.tables import stored
 from braidwork.functions.scoring import heat
 from braidwork.plans.views import table, view, with_views
 
@@ -51,6 +52,15 @@ def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(articles(spark, sf_dir).select("id", "tokens", "published_at", "tier"))
 
 
+def news_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 before D2, D3: duplicates go first, what is left is clustered; a duplicate is in the cluster of the article that it repeats."""
+    a = stored(articles(spark, sf_dir).select("id", "tokens", "simhash", "published_at", "tier"), "articles")
+    done = stored(survivors(a.select("id", "simhash", "published_at")), "survivors")
+    c = clustered(a.join(done.where("kept").select("id"), "id", "left_semi").select("id", "tokens", "published_at", "tier"))
+    of = done.withColumn("of", F.coalesce("duplicate_of", "id"))
+    return of.join(c.withColumnRenamed("id", "of"), "of").select("id", "kept", "cluster_id", "representative")
+
+
 def story_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with one title are a story; its representative, size and heat."""
     a = view(spark, sf_dir, "article").withColumn("cluster_id", F.min("id").over(Window.partitionBy("title")))
@@ -111,7 +121,7 @@ def run_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "title_tokens": title_tokens, "simhash32": simhash, "near_dup_pairs": near_dup_pairs, "dedup_survivors": dedup_survivors, "title_jaccard": title_jaccard, "cluster_assign": cluster_assign, "story_heat": story_heat,
+    "title_tokens": title_tokens, "simhash32": simhash, "near_dup_pairs": near_dup_pairs, "dedup_survivors": dedup_survivors, "title_jaccard": title_jaccard, "cluster_assign": cluster_assign, "news_clusters": news_clusters, "story_heat": story_heat,
     "canonical_pages": canonical_pages, "page_leads": page_leads, "norm_name": norm_name, "alias_expand": alias_expand, "title_guards": title_guards, "verbatim_quotes": verbatim_quotes, "input_hashes": input_hashes, "run_cache": run_cache,
 }
 
@@ -123,7 +133,6 @@ sim AS (SELECT id, title, CAST(coalesce(list_sum(list_transform(range(32), lambd
 _URL = r"regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['scheme', 'host', 'path', 'query'])"
 
 
-
 def _sql_list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -134,15 +143,11 @@ def _masked(column: str) -> str:
     return column
 
 
-ORACLE_SQL = {
-    "title_tokens": with_views("article") + _TOK + " SELECT id, array_to_string(tokens, '|') AS tokens FROM tok",
-    "simhash32": with_views("article") + _SIM + " SELECT id, simhash FROM sim",
-    "near_dup_pairs": with_views("article") + _SIM + ", d AS (SELECT DISTINCT simhash AS x FROM sim) SELECT p.x AS a, q.x AS b FROM d p JOIN d q ON p.x < q.x AND bit_count(xor(p.x, q.x)) <= 3",
-    "dedup_survivors": with_views("article", recursive=True) + _SIM + """, o AS (SELECT row_number() OVER (ORDER BY s.id) AS k, s.id, simhash AS h FROM sim s),
+#: D1 and D2 as loops over the articles in order, over the table `sim`, and over those of `tok` that a table `todo` names.
+_D1 = """, o AS (SELECT row_number() OVER (ORDER BY s.id) AS k, s.id, simhash AS h FROM sim s),
 r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS duplicate_of, CAST([] AS STRUCT(h BIGINT, id BIGINT)[]) AS kept
-  UNION ALL SELECT o.k, o.id, n.of, CASE WHEN n.of IS NULL THEN list_append(r.kept, {'h': o.h, 'id': o.id}) ELSE r.kept END FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT list_filter(r.kept, lambda x: bit_count(xor(x.h, o.h)) <= 3)[1].id AS of) n)
-SELECT id, duplicate_of IS NULL AS kept, duplicate_of FROM r WHERE k > 0""",
-    "cluster_assign": with_views("article", recursive=True) + _TOK + """, o AS (SELECT row_number() OVER (ORDER BY id) AS k, id, list_distinct(tokens) AS t, minute * 60 AS at, tier FROM tok),
+  UNION ALL SELECT o.k, o.id, n.of, CASE WHEN n.of IS NULL THEN list_append(r.kept, {'h': o.h, 'id': o.id}) ELSE r.kept END FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT list_filter(r.kept, lambda x: bit_count(xor(x.h, o.h)) <= 3)[1].id AS of) n)"""
+_D2 = """, o AS (SELECT row_number() OVER (ORDER BY id) AS k, id, list_distinct(tokens) AS t, minute * 60 AS at, tier FROM tok WHERE id IN (SELECT id FROM todo)),
 r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS cluster_id, CAST([] AS STRUCT(id BIGINT, t VARCHAR[], seen BIGINT, tier INT, rep BIGINT, rep_at BIGINT)[]) AS open
   UNION ALL SELECT o.k, o.id, CASE WHEN n.p IS NULL THEN o.id ELSE r.open[n.p].id END,
     CASE WHEN n.p IS NULL THEN list_append(r.open, {'id': o.id, 't': o.t, 'seen': o.at, 'tier': o.tier, 'rep': o.id, 'rep_at': o.at})
@@ -150,8 +155,16 @@ r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BI
       ELSE {'id': r.open[n.p].id, 't': r.open[n.p].t, 'seen': greatest(o.at, r.open[n.p].seen), 'tier': r.open[n.p].tier, 'rep': r.open[n.p].rep, 'rep_at': r.open[n.p].rep_at} END] || r.open[n.p + 1:] END
   FROM r JOIN o ON o.k = r.k + 1, LATERAL (SELECT list_transform(r.open, lambda c: CASE WHEN abs(o.at - c.seen) > 86400 THEN -1e0 WHEN len(c.t) + len(o.t) = 0 THEN 1e0 ELSE len(list_intersect(c.t, o.t)) / (len(c.t) + len(o.t) - len(list_intersect(c.t, o.t))) END) AS js) j,
   LATERAL (SELECT CASE WHEN list_max(j.js) >= 0.5 THEN list_position(j.js, list_max(j.js)) END AS p) n),
-last AS (SELECT unnest(open) AS c FROM r WHERE k = (SELECT max(k) FROM r))
-SELECT r.id, cluster_id, c.rep AS representative FROM r JOIN last ON c.id = cluster_id WHERE k > 0""",
+last AS (SELECT unnest(open) AS c FROM r WHERE k = (SELECT max(k) FROM r))"""
+
+ORACLE_SQL = {
+    "title_tokens": with_views("article") + _TOK + " SELECT id, array_to_string(tokens, '|') AS tokens FROM tok",
+    "simhash32": with_views("article") + _SIM + " SELECT id, simhash FROM sim",
+    "near_dup_pairs": with_views("article") + _SIM + ", d AS (SELECT DISTINCT simhash AS x FROM sim) SELECT p.x AS a, q.x AS b FROM d p JOIN d q ON p.x < q.x AND bit_count(xor(p.x, q.x)) <= 3",
+    "dedup_survivors": with_views("article", recursive=True) + _SIM + _D1 + " SELECT id, duplicate_of IS NULL AS kept, duplicate_of FROM r WHERE k > 0",
+    "cluster_assign": with_views("article", recursive=True) + _TOK + ", todo AS (SELECT id FROM tok)" + _D2 + " SELECT r.id, cluster_id, c.rep AS representative FROM r JOIN last ON c.id = cluster_id WHERE k > 0",
+    "news_clusters": with_views("article", recursive=True) + _SIM + _D1.replace("r AS (", "d AS (", 1).replace("FROM r JOIN", "FROM d r JOIN").replace(", o AS (", ", od AS (", 1).replace("JOIN o ON", "JOIN od o ON") + ", gone AS (SELECT id, duplicate_of FROM d WHERE k > 0), todo AS (SELECT id FROM gone WHERE duplicate_of IS NULL)" + _D2
+    + " SELECT g.id, g.duplicate_of IS NULL AS kept, r.cluster_id, c.rep AS representative FROM gone g JOIN r ON r.id = coalesce(g.duplicate_of, g.id) AND r.k > 0 JOIN last ON c.id = r.cluster_id",
     "title_jaccard": with_views("article") + _TOK + """, one AS (SELECT min(id) AS id, list_distinct(first(tokens)) AS t FROM tok GROUP BY title HAVING len(first(tokens)) > 0),
 j AS (SELECT p.id AS x, q.id AS y, len(list_intersect(p.t, q.t)) AS c, len(p.t) + len(q.t) AS n FROM one p JOIN one q ON p.id < q.id)
 SELECT x AS a, y AS b, floor(c / (n - c) * 1e6 + 0.5) / 1e6 AS jaccard FROM j WHERE c >= 0.5 * (n - c)""",

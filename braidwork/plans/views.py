@@ -2,6 +2,10 @@
 
 A view is one SQL text for both engines: Spark gets the tables as frames, the oracle as names. Only what is tested on
 top of the views differs between the two.
+
+An `article` is a document, all of them: its headline is what fits of its first line into the 60 characters of a headline, so
+queries on titles, and on what follows from titles, read that line only, those on texts the whole text. A null text is empty; the
+tier follows from the number at the end of the source's name, and is 3 without one.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ _KIND = "CASE l.l_partkey % 11 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in e
 VIEWS = {
     "daily": "SELECT l_suppkey AS company_id, CAST(l_shipdate AS DATE) AS trade_date, sum(l_quantity) AS volume, max(l_extendedprice) AS price FROM {lineitem} GROUP BY l_suppkey, CAST(l_shipdate AS DATE)",
     "company": "SELECT s_suppkey AS company_id, lpad(CAST(s_suppkey AS STRING), 6, '0') AS ticker, s_name AS company_name, n_name AS sector, CASE WHEN n_regionkey = 0 THEN 'KONEX' WHEN n_regionkey % 2 = 1 THEN 'KOSPI' ELSE 'KOSDAQ' END AS market FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey",
-    "article": "SELECT doc_id AS id, trim(substr(split_part(text, chr(10), 1), 1, 60)) AS title, text, source, CAST(doc_id AS BIGINT) AS minute, CAST(doc_id + doc_id % 90 AS BIGINT) AS fetched_minute, CAST(1 + CAST(substr(source, 4) AS INT) % 3 AS INT) AS tier FROM {documents} WHERE text IS NOT NULL AND source IS NOT NULL",
+    "article": "SELECT doc_id AS id, trim(substr(split_part(coalesce(text, ''), chr(10), 1), 1, 60)) AS title, coalesce(text, '') AS text, source, CAST(doc_id AS BIGINT) AS minute, CAST(doc_id + doc_id % 90 AS BIGINT) AS fetched_minute, CAST(coalesce(1 + TRY_CAST(substr(source, 4) AS INT) % 3, 3) AS INT) AS tier FROM {documents}",
     "connection": f"""SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS id, o.o_custkey AS cluster_id, l.l_suppkey AS company_id, CAST(l.l_partkey AS BIGINT) AS entity_id,
   CAST(o.o_orderdate AS DATE) AS trade_date, {_KIND} AS kind,
   CAST((l.l_partkey * 7 + l.l_suppkey * 3) % 101 AS BIGINT) AS br, CAST((l.l_orderkey * 5 + l.l_linenumber) % 101 AS BIGINT) AS km, CAST((l.l_suppkey * 11) % 101 AS BIGINT) AS sc,

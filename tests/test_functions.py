@@ -62,6 +62,12 @@ def test_hashes(spark):
     assert one(spark, hashing.simhash32(F.array(L("ab")))) == h
     assert one(spark, hashing.simhash32(F.array().cast("array<string>"))) == 0
     assert one(spark, hashing.hamming(L(5), L(6))) == 2
+    lists = [["ab", "bc", "c😀"], [], None, ["", None, "é"], ["ab"] * 3 + ["x"]]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, t array<string>").coalesce(1)
+    hashes = {t: one(spark, hashing.fnv1a(L(t))) for ts in lists if ts for t in ts if t is not None}
+    for r in df.select("k", hashing.simhash32("t").alias("h")).collect():
+        hs = [hashes[t] for t in lists[r["k"]] or [] if t is not None]
+        assert r["h"] == (None if lists[r["k"]] is None else sum(1 << b for b in range(32) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
 
 
 def test_sets_and_vectors(spark):

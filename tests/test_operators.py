@@ -28,14 +28,15 @@ def test_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 9: 9}
 
 
-def test_clusters_are_the_sequential_ones(spark):
-    """Random titles, tiers and times, ties and empty titles, with vectors, against the rule over all articles in one loop."""
-    rng = random.Random(3)
+@pytest.mark.parametrize(("seed", "span", "vectors"), [(3, 3000, True), (4, 3000, False), (5, 20000, False), (6, 90, False)])
+def test_clusters_are_the_sequential_ones(spark, seed, span, vectors):
+    """Random titles, tiers and times, ties and empty titles, with and without vectors, against the rule over all articles in one loop."""
+    rng = random.Random(seed)
     rows, day = [], dt.datetime(2026, 1, 5)
     for i in range(150):
         tokens = [] if i % 40 == 0 else rng.sample("abcdefghij", rng.randint(2, 6))
-        vector = None if i % 3 == 0 else [rng.random(), rng.random()]
-        rows.append((i, tokens, day + dt.timedelta(minutes=rng.randint(0, 3000)), rng.randint(1, 3), vector))
+        vector = None if i % 3 == 0 or not vectors else [rng.random(), rng.random()]
+        rows.append((i, tokens, day + dt.timedelta(minutes=rng.randint(0, span)), rng.randint(1, 3), vector))
     open_, want = [], {}
     for i, tokens, at, tier, vector in sorted(rows, key=lambda r: (r[2], r[0])):
         best, score = None, -1
@@ -52,11 +53,34 @@ def test_clusters_are_the_sequential_ones(spark):
         best |= {"tier": min(best["tier"], tier), "seen": max(best["seen"], at)}
         want[i] = best
     df = spark.createDataFrame(rows, "id long, tokens array<string>, published_at timestamp, tier int, vector array<double>")
-    got = {r["id"]: (r["cluster_id"], r["representative"]) for r in stories.clustered(df).collect()}
+    got = {r["id"]: (r["cluster_id"], r["representative"]) for r in stories.clustered(df if vectors else df.drop("vector")).collect()}
     assert got == {i: (c["id"], c["rep"]) for i, c in want.items()}
     assert 10 < len(open_) < 140 and any(c["rep"] != c["id"] for c in open_)
 
 
+def test_hot_titles_are_grouped_by_day(spark):
+    """Two similar titles by turns for 30 days, every third row of the table: clusters are the loop's, and no group of the plan holds more than a day of them."""
+    day = dt.datetime(2026, 1, 5)
+    titles = [list("abcdef"), list("abcdeg")]
+    rows = [(i, titles[i % 2] if i % 3 else [f"t{i}", f"u{i}", "a"], day + dt.timedelta(minutes=15 * i), 3 - (i == 700) - (i == 900)) for i in range(2880)] + [(5000, titles[0], day + dt.timedelta(days=33), 1)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, published_at timestamp, tier int")
+    got = {r["id"]: (r["cluster_id"], r["representative"]) for r in stories.clustered(df).collect()}
+    open_, want = [], {}
+    for i, tokens, at, tier in rows:
+        want[i] = stories.step(open_, {"id": i, "tokens": tokens, "at": at.timestamp(), "tier": tier}, 0.5, 24, 0.88)
+    assert got == {i: (c["id"], c["rep"]) for i, c in want.items()} and got[5000] == (5000, 5000)
+    seen = df.selectExpr("id", "unix_micros(published_at) as at", "hash(tokens) as title", "tier", "floor(unix_micros(published_at) / 86400000000) as block", "0L as cluster_id")
+    reach = stories._reach(seen, 86_400_000_000)
+    assert reach.groupBy("headline", "block").count().agg(F.max("count")).first()[0] <= 2 and reach.count() <= 3 * 40
+
+
+def test_clusters_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, tokens array<string>, published_at timestamp, tier int")
+    assert stories.clustered(df).count() == 0
+    odd = spark.createDataFrame([(1, None, None, None), (2, [], None, 1)], "id long, tokens array<string>, published_at timestamp, tier int")
+    assert {tuple(r) for r in stories.clustered(odd).collect()} == {(1, 1, 2), (2, 1, 2)}
+
+
 def test_survivors_do_not_chain(spark):
     t = dt.datetime(2026, 1, 5)
     rows = [(1, 0b0, t), (2, 0b111, t + dt.timedelta(1)), (3, 0b111111, t + dt.timedelta(2)), (4, None, t)]

@@ -6,7 +6,7 @@ import functools
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -19,10 +19,12 @@ from tokenizers import Tokenizer
 
 from braidwork.llm.common import bytes_of, mapped, table
 
-#: A text is cut at white space into pieces of about so many bytes, so that its words are never all in memory.
-PIECE = 1 << 20
-#: A task remembers the ids of so many different words, of at most so many bytes; then it starts anew. What isn't remembered is worked out again.
-WORDS, WORD_BYTES = 1 << 18, 64
+#: A text is cut at white space into pieces of about so many bytes, so that its words are never all in memory; short texts are taken together up to that.
+PIECE = 1 << 19
+#: A worker remembers the ids of so many different words, or of one piece's; then it starts anew. What isn't remembered is worked out again.
+WORDS = 1 << 18
+#: Up to so many symbols, pieces are merged many at a time.
+TOGETHER = 64
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _NONE = 1 << 62
 
@@ -81,19 +83,48 @@ def merged(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) ->
     return out
 
 
-class Words(dict):
-    """Packed ids of each word (bytes without white space) of a text; worked out when first asked for."""
+def merged_together(symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of the rows of a matrix (width a power of two, `lengths` of each row in use), a segment tree a row, all rows in step.
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.model.ids(word.decode()), "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    keys are left * base + right of the pairs, sorted, with their ranks; made is the new symbol of each rank. Returns all
+    rows' symbols one after another, and how many each has.
+    """
+    rows, width = symbols.shape
+    bits = width.bit_length() - 1
+    sym, after, before = symbols.astype(np.int64), np.tile(np.arange(1, width + 1), (rows, 1)), np.tile(np.arange(-1, width - 1), (rows, 1))
+    alive = np.arange(width) < lengths[:, None]
+
+    def leaf(left: np.ndarray, right: np.ndarray, ok: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = left * base + right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(ok & (keys[at] == key), ranks[at] << bits | place, _NONE)
+
+    tree = np.full((rows, 2 * width), _NONE, np.int64)
+    place = np.arange(width - 1)
+    tree[:, width:-1] = leaf(sym[:, :-1], sym[:, 1:], place + 1 < lengths[:, None], place)
+    for k in range(bits - 1, -1, -1):
+        low = tree[:, 2 << k : 4 << k]
+        tree[:, 1 << k : 2 << k] = np.minimum(low[:, ::2], low[:, 1::2])
+    r = np.flatnonzero(tree[:, 1] < _NONE)
+    while len(r):
+        root = tree[r, 1]
+        i = root & (width - 1)
+        j = after[r, i]
+        k, p = after[r, j], before[r, i]
+        new = made[root >> bits]
+        sym[r, i], after[r, i], alive[r, j] = new, k, False
+        inside, left = k < lengths[r], p >= 0
+        before[r[inside], k[inside]] = i[inside]
+        tree[r, width + j] = _NONE
+        tree[r, width + i] = leaf(new, sym[r, np.where(inside, k, 0)], inside, i)
+        tree[r[left], width + p[left]] = leaf(sym[r[left], p[left]], new[left], True, p[left])
+        for q, at in ((r, j), (r, i), (r[left], p[left])):
+            at = at + width
+            for _ in range(bits):
+                at = at >> 1
+                tree[q, at] = np.minimum(tree[q, 2 * at], tree[q, 2 * at + 1])
+        r = r[tree[r, 1] < _NONE]
+    return sym[alive], alive.sum(1)
 
 
 class Model:
@@ -105,7 +136,8 @@ class Model:
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
         model, added = spec["model"], spec.get("added_tokens", [])
-        self.tokenizer = Tokenizer.from_str(text)
+        around = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}
+        self.tokenizer = Tokenizer.from_str(json.dumps(around))  # for normalising and cutting alone
         seen = self.tokenizer.pre_tokenizer.pre_tokenize_str("a b") if self.tokenizer.pre_tokenizer else []
         odd = [k for k in ("unk_token", "dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix") if model.get(k)] + [a["content"] for a in added if a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]]
         if model["type"] != "BPE" or [p for p, _ in seen] != ["a", "b"] or spec.get("decoder") or odd:
@@ -122,7 +154,11 @@ class Model:
             held[i] = name
         self.names = pa.array(held, pa.large_string())
         self.known = np.array([h is not None for h in held])
-        self.words = Words(self)
+        self.words: dict[bytes, bytes] = {}
+        coded = sorted((a * len(self.names) + b, rank) for (a, b), (rank, _) in self.pairs.items())
+        self.keys, self.ranks = (np.array(x, np.int64) for x in zip(*coded, strict=True)) if coded else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+        self.made = np.array([new for _, (_, new) in sorted(self.pairs.items(), key=lambda x: x[1][0])] or [0], np.int64)
+        self.first, self.last = (np.array([self.vocab.get(chr(c) + end, -1) for c in range(0x200)], np.int64) for end in ("", self.end))
 
     def ids(self, word: str) -> list[int]:
         """The ids of a text without white space, added tokens in it included."""
@@ -133,13 +169,92 @@ class Model:
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
                 for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                    symbols = (self.vocab.get(c) for c in (*piece[:-1], piece[-1] + self.end))
-                    out += merged([s for s in symbols if s is not None], self.pairs)
+                    out += self.piece(piece)
+        return out
+
+    def piece(self, piece: str) -> list[int]:
+        """The ids of one piece; symbols that the file doesn't have are left out."""
+        symbols = (self.vocab.get(c) for c in (*piece[:-1], piece[-1] + self.end))
+        return merged([s for s in symbols if s is not None], self.pairs)
+
+    def pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each piece; those of few symbols together, by widths."""
+        points = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.int64)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths)
+        known = np.minimum(points, 0x1FF)
+        symbols = self.first[known]
+        symbols[ends - 1] = self.last[known[ends - 1]]
+        odd = np.add.reduceat((symbols < 0) | (points > 0x1FF), ends - lengths) > 0 if len(pieces) else np.zeros(0, bool)
+        out: list[bytes] = [b""] * len(pieces)
+        width = 1
+        while width <= TOGETHER:
+            rows = np.flatnonzero((lengths <= width) & (lengths > width // 2) & ~odd)
+            if len(rows):
+                at = (ends - lengths)[rows, None] + np.minimum(np.arange(width), lengths[rows, None] - 1)
+                flat, count = merged_together(symbols[at], lengths[rows], self.keys, self.ranks, self.made, len(self.names)) if width > 1 else (symbols[at].ravel(), np.ones(len(rows), np.int64))
+                raw, stop = flat.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+                for i, a, b in zip(rows.tolist(), [0, *stop], stop, strict=False):
+                    out[i] = raw[a:b]
+            width *= 2
+        for i in np.flatnonzero(odd | (lengths > TOGETHER)).tolist():
+            out[i] = np.array(self.piece(pieces[i]), "<u4").tobytes()
         return out
 
-    def packed(self, text: bytes) -> bytes:
-        """The ids of a whole text, four bytes each, the least first."""
-        return b"".join(b"".join(map(self.words.__getitem__, piece.split())) for piece in pieces(text))
+    def learn(self, words: list[bytes]) -> None:
+        """The ids of new words (bytes without ASCII white space), for self.words. Words are normalised and cut together, a
+        space between them, but for those that hold other white space or an added token."""
+        texts = b" ".join(words).decode().split(" ")
+        joined = " ".join(texts)
+        if joined.split() != texts or (self.split and self.split.search(joined)):
+            plain = [t.split() == [t] and not (self.split and self.split.search(t)) for t in texts]
+            for w, t, ok in zip(words, texts, plain, strict=True):
+                if not ok:
+                    self.words[w] = np.array(self.ids(t), "<u4").tobytes()
+            words, texts = ([x for x, ok in zip(xs, plain, strict=True) if ok] for xs in (words, texts))
+            joined = " ".join(texts)
+        normal = self.tokenizer.normalizer.normalize_str(joined) if self.tokenizer.normalizer else joined
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
+        lengths = np.fromiter(map(len, normal.split(" ")), np.int64) + 1
+        of = np.searchsorted(np.cumsum(lengths), np.fromiter((x[0] for _, x in found), np.int64, len(found)), "right")
+        number: dict[str, int] = {}
+        where = [number.setdefault(piece, len(number)) for piece, _ in found]
+        ids = self.pieces_ids(list(number))
+        parts, at = [ids[k] for k in where], 0
+        for w, n in zip(words, np.bincount(of, minlength=len(words)).tolist(), strict=True):
+            self.words[w] = parts[at] if n == 1 else b"".join(parts[at : at + n])
+            at += n
+
+    def packed(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """The ids of each whole text, four bytes each, the least first."""
+        held: list[tuple[int, list[bytes]]] = []  # (number of a text in the run, words of a piece of it)
+        run: list[list[bytes]] = []
+
+        def flush() -> Iterator[bytes]:
+            every = {w for _, ws in held for w in ws}
+            new = every - self.words.keys()
+            if len(self.words) + len(new) > WORDS:
+                self.words.clear()
+                new = every
+            if new:
+                self.learn(list(new))
+            for k, ws in held:
+                run[k].append(b"".join(map(self.words.__getitem__, ws)))
+            held.clear()
+            yield from map(b"".join, run[:-1])  # the last text may go on
+            del run[:-1]
+
+        size = 0
+        for text in texts:
+            run.append([])
+            for piece in pieces(text):
+                held.append((len(run) - 1, piece.split()))
+                size += len(piece)
+                if size >= PIECE:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+        yield from map(b"".join, run)
 
     def text(self, packed: pa.Array) -> pa.Array:
         """The texts of packed ids: names joined by a space, as the library does without a decoder; ids without a name are left out."""
@@ -180,14 +295,15 @@ def _shared(spark: SparkSession, path: str) -> Callable[[], Model]:
     return lambda: _model(sent.value)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
     """The columns `keep` of docs, n_tokens and ids: the text's token ids, packed as unsigned 32-bit integers, the least byte first.
+    With `decode`, decoded as well: what decoded() makes of the ids, in the same pass.
 
     As the library encodes with add_special_tokens=False: added tokens in a text get their ids. A map: no shuffle.
 
     * null text is empty and has no ids; rows that repeat are encoded alike; an empty table gives no rows;
     * only text and `keep` are read, so other columns may have any name; a kept column named as a made one is an error;
-    * a very long text is cut at white space into pieces of 1 MB, words never meet over white space, so the ids are those of
+    * a very long text is cut at white space into pieces of half a MB, words never meet over white space, so the ids are those of
       the whole; a long run without white space is one piece (n log n steps). Memory: the text, its ids and a piece's words.
     """
     model = _shared(docs.sparkSession, path)
@@ -195,11 +311,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model()
         for b in batches:
-            ids = [m.packed(t) for t in bytes_of(b.column(0))]
+            ids = list(m.packed(bytes_of(b.column(0))))
             n = pa.array([len(i) // 4 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], n, pa.array(ids, pa.binary())], names=[*b.schema.names[1:], "n_tokens", "ids"])
+            packed = pa.array(ids, pa.binary())
+            out = [n, packed, m.text(packed).cast(pa.string())] if decode else [n, packed]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *out], names=[*b.schema.names[1:], *(f.name for f in made)])
 
-    return mapped(docs, [F.col(f"`{text}`")], keep, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], run)
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])]
+    return mapped(docs, [F.col(f"`{text}`")], keep, made, run)
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -234,6 +353,5 @@ def unpacked(tokens: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again, with digests of ids and text. SQL has no merges; tested against the library."""
     path = os.environ.get("BRAIDWORK_BPE", public_tokenizers.path("word_bpe_49k.json"))
-    tokens = encoded(table(spark, sf_dir, "documents"), path)
-    kept = tokens.withColumn("ids_sha256", F.sha2("ids", 256))
-    return decoded(kept, path, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = encoded(table(spark, sf_dir, "documents"), path, decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

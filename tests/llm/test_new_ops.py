@@ -95,6 +95,11 @@ def test_bpe_tree():
         pairs = {p: (rank, rng.randint(0, 11)) for rank, p in enumerate(found)}
         symbols = [rng.randrange(kinds) for _ in range(rng.randint(0, 40))]
         assert bpe.merged(symbols, pairs) == plain_merges(symbols, pairs)
+        many = [[rng.randrange(kinds) for _ in range(rng.randint(1, 16))] for _ in range(20)]
+        coded = sorted((a * 12 + b, rank) for (a, b), (rank, _) in pairs.items())
+        keys, ranks = (np.array(x, np.int64) for x in zip(*coded, strict=True))
+        flat, count = bpe.merged_together(np.array([m + [0] * (16 - len(m)) for m in many]), np.array(list(map(len, many))), keys, ranks, np.array([new for _, new in sorted(pairs.values())]), 12)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == [plain_merges(m, pairs) for m in many]
     assert bpe.merged([], {}) == [] and bpe.merged([4], {}) == [4]
     assert bpe.merged([0] * 9, {(0, 0): (0, 1), (1, 1): (1, 2)}) == [2, 2, 0]
 
@@ -119,6 +124,8 @@ def test_bpe(spark, docs, rows, none, library):
     assert sorted((repr(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == want
     assert all(r["decoded"] == library.decode(np.frombuffer(r["ids"], "<u4").tolist(), skip_special_tokens=False) for r in out)
     assert bpe.decoded(bpe.encoded(none, PATH), PATH).count() == 0
+    both = bpe.encoded(docs, PATH, decode=True)
+    assert both.columns == ["doc_id", "n_tokens", "ids", "decoded"] and sorted(map(repr, both.collect())) == sorted(map(repr, out))
     assert bpe.encoded(docs, PATH, keep=("doc_id", "a.b", "_KEY")).columns == ["doc_id", "a.b", "_KEY", "n_tokens", "ids"]
     with pytest.raises(ValueError):
         bpe.encoded(docs, PATH, keep=("IDS",))
@@ -134,11 +141,15 @@ def test_bpe_odd_texts(spark, library, monkeypatch):
     same(library, bpe.decoded(bpe.encoded(df, PATH), PATH, keep=("doc_id", "n_tokens", "ids")).collect(), texts)
     with open(PATH, encoding="utf-8") as f:
         model = bpe.Model(f.read())
-    monkeypatch.setattr(bpe, "WORDS", 3)
-    for t in texts:
-        got = b"".join(b"".join(map(model.words.__getitem__, p.split())) for p in bpe.pieces((t or "").encode(), 7))
-        assert np.frombuffer(got, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
-    assert len(model.words) <= 3
+    monkeypatch.setattr(bpe, "WORDS", 40)
+    monkeypatch.setattr(bpe.pieces, "__defaults__", (7,))
+    for size in (1, 7, 300, 1 << 20):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        got = [np.frombuffer(p, "<u4").tolist() for p in model.packed((t or "").encode() for t in texts)]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    assert len(list(model.packed([b"a b c " * 30] * 50))) == 50 and len(model.words) <= 40
+    assert list(model.packed([])) == []
 
 
 def test_bpe_documents(spark, small, library):

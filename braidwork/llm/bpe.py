@@ -232,12 +232,12 @@ class Model:
 
         def flush() -> Iterator[bytes]:
             every = {w for _, ws in held for w in ws}
-            new = every - self.words.keys()
+            new = [w for w in every if w not in self.words]
             if len(self.words) + len(new) > WORDS:
                 self.words.clear()
-                new = every
+                new = list(every)
             if new:
-                self.learn(list(new))
+                self.learn(new)
             for k, ws in held:
                 run[k].append(b"".join(map(self.words.__getitem__, ws)))
             held.clear()

@@ -140,11 +140,9 @@ def near_hashes(hashes: DataFrame, budget: int = 3, bits: int = 32) -> DataFrame
     e = dealt(e, "choice", "part")
     met = e.select(F.col("h").alias("a"), "choice", "part").join(e.select(F.col("h").alias("b"), "choice", "part"), ["choice", "part"])
     x = F.col("a").bitwiseXOR(F.col("b"))
-    left, first = sum((F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0)), F.lit(0)
-    for _ in range(budget):  # the lowest bands that agree
-        low = left.bitwiseAND(-left)
-        first, left = first.bitwiseOR(low), left.bitwiseXOR(low)
-    return met.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= budget) & (first == F.col("choice"))).select("a", "b")
+    agreed = sum((F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, 1 << i).otherwise(0) for i, m in enumerate(masks)), F.lit(0))
+    first = [sum([1 << i for i in range(n) if s >> i & 1][:budget]) for s in range(1 << n)]  # of each set of bands that agree, the lowest ones
+    return met.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= budget) & (F.element_at(F.array(*map(F.lit, first)), agreed + 1) == F.col("choice"))).select("a", "b")
 
 
 def jaccard_pairs(sets: DataFrame, floor: float = 0.5) -> DataFrame:

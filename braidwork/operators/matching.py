@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +17,6 @@ from pyspark.sql.window import Window
 from braidwork.config import RECALL, Recall
 from braidwork.functions.hashing import hamming
 from braidwork.functions.scoring import alias_recall_score
-from braidwork.functions.similarity import cosine
 from braidwork.operators.tables import stored
 
 
@@ -177,16 +182,76 @@ def jaccard_pairs(sets: DataFrame, floor: float = 0.5) -> DataFrame:
     return similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
 
 
-def best_vector(queries: DataFrame, vectors: DataFrame, floor: float = 0.0) -> DataFrame:
-    """M9: for each query vector the nearest other vector by cosine; ties to the smaller id. queries is a stated, small set
-    and is met with all vectors; the running best is kept per query and task before anything is shuffled."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("qe"), F.col("embedding")).alias("cosine")).where(F.col("cosine") >= floor)
-    best = scored.groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("vec_id")).alias("n"))).alias("m"))
+#: Query vectors that meet the vectors in one pass, on average, and vectors that a task multiplies with them at a time (32 MB of products).
+QUERY_BLOCK, ROWS = 4096, 1024
+
+
+def best_vector(queries: DataFrame, vectors: DataFrame, floor: float = 0.0, block: int = QUERY_BLOCK) -> DataFrame:
+    """M9: (query_id, vec_id, cosine): for each query vector the nearest other vector by cosine, `floor` at least; ties (to 12 digits) to the smaller id.
+
+    Queries are made unit vectors once and sent to all tasks a block at a time, about `block` of them, whatever the
+    table's size; each block is one pass, in which a task multiplies its Arrow batches by the block and keeps the best of
+    each query. So a pass is matrix products, and its shuffle a row a task and query. Zero vectors, null ones and those of
+    another length than the query's have cosine 0 with everything.
+    """
+    spark = vectors.sparkSession
+    q = stored(queries.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct(), "queries")
+    passes, parts = -(-q.count() // block), []
+    for k in range(passes):
+        rows = [(r[0], r[1]) for r in q.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == k).collect()]
+        if rows:
+            part = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInArrow(_nearest(spark.sparkContext.broadcast(rows)), "query_id long, vec_id long, cosine double")
+            parts.append(stored(part, "nearest") if passes > 1 else part)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, vec_id long, cosine double")
+    best = functools.reduce(DataFrame.union, parts).where(F.col("cosine") >= floor).groupBy("query_id").agg(F.max(F.struct("cosine", (-F.col("vec_id")).alias("n"))).alias("m"))
     return best.select("query_id", (-F.col("m.n")).alias("vec_id"), F.col("m.cosine").alias("cosine"))
 
 
+def _units(lists: list[list[float] | None], width: int) -> np.ndarray:
+    out = np.zeros((len(lists), width))
+    for i, x in enumerate(lists):
+        if x is not None and len(x) == width:
+            out[i] = x
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_width: dict[int, list[int]] = {}
+        for i, (_, v) in enumerate(sent.value):
+            by_width.setdefault(len(v or []), []).append(i)
+        ids = np.array([k for k, _ in sent.value], np.int64)
+        units = {w: _units([sent.value[i][1] for i in at], w) for w, at in by_width.items()}
+        best, who = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            keys, lists = b.column(0).to_numpy(), b.column(1)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            for w, at in by_width.items():
+                at = np.array(at)
+                c = np.round(units[w] @ _batch(lists, w)[order].T, 12)
+                c[keys[None, :] == ids[at][:, None]] = -np.inf
+                top = c.argmax(1)  # the first, so the smallest id
+                value, key = c[np.arange(len(at)), top], keys[top]
+                better = (value > best[at]) | ((value == best[at]) & (key < who[at]))
+                best[at[better]], who[at[better]] = value[better], key[better]
+        hit = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(who[hit]), pa.array(best[hit])], names=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
+def _batch(lists: pa.Array, width: int) -> np.ndarray:
+    """The unit vectors of a batch, zero where the length is another; without a loop if all have the width."""
+    if width and lists.null_count == 0 and len(lists) and (pc.list_value_length(lists).to_numpy() == width).all():
+        flat = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), width)
+        norm = np.sqrt((flat * flat).sum(1, keepdims=True))
+        return np.divide(flat, norm, out=np.zeros_like(flat), where=norm > 0)
+    return _units(lists.to_pylist(), width)
+
+
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with either end among nodes (node_id); a union of two semi-joins, never an OR join."""
     src = edges.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi")

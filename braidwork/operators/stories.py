@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from braidwork.functions.similarity import cosine
 from braidwork.operators.matching import jaccard_pairs, near_hashes
-from braidwork.operators.tables import stored
+from braidwork.operators.tables import counted, stored
 
 
 def survivors(articles: DataFrame, budget: int = 3) -> DataFrame:
@@ -207,9 +207,9 @@ def _decided(articles: DataFrame, open_clusters: DataFrame | None, floor: float,
         rank = F.struct("jaccard", (-F.col("opened.at")).alias("_a"), (-F.col("opened.id")).alias("_i"))
         best = met.groupBy("id").agg(F.max_by("cluster_id", rank).alias("best"))
         now = state.join(best, "id", "left").withColumn("best", F.coalesce("best", "id"))
-        now = stored(now.select("id", "at", "tier", "title", "block", F.col("best").alias("cluster_id"), (F.col("best") != F.col("cluster_id")).alias("moved")), "state")
-        state = now.drop("moved")
-        if now.where("moved").isEmpty():
+        now, seen = counted(now, "round", moved="best <> cluster_id")
+        state = stored(now.select("id", "at", "tier", "title", "block", F.col("best").alias("cluster_id")), "state")
+        if not seen.get.get("moved"):
             return state.select("id", "at", "tier", "cluster_id").union(alone.select("id", "at", "tier", "cluster_id"))
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.plans import links, market, pages, reads, scores, subgraphs, texts
+from braidwork.plans import links, market, pages, reads, scores, subgraphs, texts, upkeep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (market, texts, links, scores, reads, pages, subgraphs):
+for module in (market, texts, links, scores, reads, pages, subgraphs, upkeep):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

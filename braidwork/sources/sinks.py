@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from braidwork.operators.tables import stored
+
 
 def insert_ignore(table: DataFrame, rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """K1: rows whose key isn't there yet; of rows with one key the first by `order`. Running it twice changes nothing."""
@@ -28,10 +30,30 @@ def add(old: Column, new: Column) -> Column:
     return F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))
 
 
-def ensure_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """K3: nodes (node_id, kind, ref_id, label) with those of wanted (kind, ref_id, label) that are missing; ids follow from the key; labels of known nodes stay."""
-    new = wanted.groupBy("kind", "ref_id").agg(F.min("label").alias("label")).join(nodes.select("kind", "ref_id"), ["kind", "ref_id"], "left_anti")
-    return nodes.unionByName(new.withColumn("node_id", F.xxhash64("kind", "ref_id")).select(*nodes.columns))
+def numbered(rows: DataFrame, key: list[str], after: int, bucket: Column | None = None) -> DataFrame:
+    """rows with `number`: after + 1, after + 2, ... without gaps, by bucket and then key; keys are distinct and not null.
+
+    Rows are put in order within buckets alone, as many as there are shuffle partitions; a bucket's first number comes from
+    the counts of those before it. Which bucket a key is in changes its number, never whether it has one of its own.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(rows.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(n)) if bucket is None else bucket), "numbered")
+    counts = cut.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row a bucket
+    starts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key))
+    return cut.withColumn("_place", place).join(F.broadcast(starts), "_bucket").withColumn("number", F.lit(after) + F.col("_before") + F.col("_place")).drop("_bucket", "_before", "_place")
+
+
+def ensure_nodes(nodes: DataFrame, wanted: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """K3: nodes (node_id, kind, ref_id, label) with those of wanted (kind, ref_id, label) that are missing; labels of known nodes stay.
+
+    nodes is the key table: its ids stay, new ones go on from the largest without gaps, so two keys never share one and a
+    rerun adds nothing. A null kind or ref_id is no key and gets no node.
+    """
+    new = wanted.where("kind is not null and ref_id is not null").groupBy("kind", "ref_id").agg(F.min("label").alias("label")).join(nodes.select("kind", "ref_id"), ["kind", "ref_id"], "left_anti")
+    last = nodes.agg(F.coalesce(F.max("node_id"), F.lit(0))).first()[0]
+    return nodes.unionByName(numbered(new, ["kind", "ref_id"], last, bucket).withColumnRenamed("number", "node_id").select(*nodes.columns))
 
 
 def changed(table: DataFrame, rows: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -205,7 +205,7 @@ def test_sinks(spark, tmp_path):
     sinks.commit(up, str(tmp_path), 2)
     assert sinks.current(spark, str(tmp_path)).count() == 2
     n = sinks.ensure_nodes(spark.createDataFrame([(7, "A", 1, "old")], "node_id long, kind string, ref_id long, label string"), spark.createDataFrame([("A", 1, "new"), ("B", 1, "b")], "kind string, ref_id long, label string"))
-    assert sorted((r["kind"], r["label"]) for r in n.collect()) == [("A", "old"), ("B", "b")]
+    assert sorted((r["node_id"], r["kind"], r["label"]) for r in n.collect()) == [(7, "A", "old"), (8, "B", "b")]
 
 
 def run_stream(df, name):

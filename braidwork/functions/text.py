@@ -85,18 +85,33 @@ def lead_text(description: Column, most: int = 200) -> Column:
     return F.when(t != "", t)
 
 
+def _escaped_path(path: Column) -> Column:
+    """Characters that a path can't hold as they are become escapes of their UTF-8 bytes; what is escaped already stays."""
+    odd = r'[\x00-\x20"#<>?`{}\x7F-\x{10FFFF}]'
+    escape = lambda c: F.when(c.rlike(odd), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1")).otherwise(c)
+    return F.when(path.rlike(odd), F.array_join(F.transform(F.split(path, ""), escape), "")).otherwise(path)
+
+
+def _form_decoded(part: Column) -> Column:
+    """A name or value of a query: + is a space, escapes are bytes of UTF-8, a % that begins none is itself."""
+    return F.try_url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Tracking parameters out, others sorted by key (equal keys keep their order), lower-case host, no fragment, no
-    trailing slash. Anything that isn't an absolute URL is only trimmed. Percent escapes stay as they are."""
+    """Tracking parameters out, others sorted by name (equal names keep their order), lower-case host without the scheme's
+    usual port, no fragment, no trailing slash. Names and values are decoded, and written again with the escapes of a form;
+    a path's characters are escaped where they have to be. Anything that isn't an absolute URL is only trimmed. Host names
+    stay in their own script, and dots in paths are not resolved."""
     u = F.trim(url)
     scheme, host = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1)), F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    usual = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", F.lit("/")).when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING_PARAMETERS))
-    keyed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p"))))
-    kept = F.array_join(F.transform(keyed, lambda x: x["p"]), "&")
-    return F.when((scheme == "") | (host == ""), u).otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
+    named = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(_form_decoded(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.when(p.contains("="), _form_decoded(F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p)))).otherwise(F.lit("")).alias("v")))
+    sorted_ = F.array_sort(F.filter(named, lambda x: ~x["k"].isin(*TRACKING_PARAMETERS)))
+    kept = F.array_join(F.transform(sorted_, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
+    return F.when((scheme == "") | (host == ""), u).otherwise(F.concat(scheme, F.lit("://"), usual, _escaped_path(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
 def input_hash(*parts: Column) -> Column:

@@ -105,15 +105,16 @@ def rendered(template: str, values: dict[str, Column], loops: dict[str, tuple[Co
         return F.concat(*[F.lit(p) if i % 2 == 0 else get(p) for i, p in enumerate(pieces)])
 
     top = lambda k: F.coalesce(values[k].cast("string"), F.lit("")) if k in values else F.lit("")
-    out, last = [], 0
-    for m in re.finditer(r"\{\{#each (\w+)\}\}(.*?)\{\{/each\}\}", template, re.S):
-        out.append(fill(template[last : m.start()], top))
-        if loops and m[1] in loops:
-            rows, fields = loops[m[1]]
-            inner = m[2].strip()
-            out.append(F.array_join(_each(rows, inner, fields, fill), "\n"))
-        last = m.end()
-    out.append(fill(template[last:], top))
+    out, rest, more = [], template, True
+    while more:
+        before, more, rest = rest.partition("{{#each ")
+        out.append(fill(before, top))
+        if more:
+            name, _, rest = rest.partition("}}")
+            inner, _, rest = rest.partition("{{/each}}")
+            if loops and name.strip() in loops:
+                rows, fields = loops[name.strip()]
+                out.append(F.array_join(_each(rows, inner.strip(), fields, fill), "\n"))
     return F.concat(*out)
 
 
@@ -130,5 +131,5 @@ def judgement_rows(raw: DataFrame) -> DataFrame:
 
 
 def analytics_events(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Known events only, with their payload as JSON."""
-    return events.where(F.col("name").isin(*kinds)).select("name", F.to_json("payload").alias("payload"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+    """Known events only, with their payload as JSON and their time in UTC, whatever the session's zone."""
+    return events.where(F.col("name").isin(*kinds)).select("name", F.to_json("payload").alias("payload"), F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))

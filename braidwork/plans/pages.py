@@ -15,7 +15,7 @@ from braidwork.operators.graph import lanes
 from braidwork.operators.matching import alias_hits, unlisted
 from braidwork.operators.stages import extracted, summaries
 from braidwork.plans.market import RATIO, with_ratio
-from braidwork.plans.reads import _BASE, connections, meme_rank, top, visible
+from braidwork.plans.reads import _BASE, connections, meme_top, top, visible
 from braidwork.plans.views import daily_market, table, view, with_views
 
 
@@ -91,11 +91,16 @@ def home_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def home(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q10: the home page's parts as (part, rank, ref_id): clusters, memes, movers and recent connections. Each part is 20 rows at most."""
+    """Q10: the home page's parts as (part, rank, ref_id): the newest day with connections of any state (as days since 1970), that day's
+    clusters, memes and movers, and the recent connections. Each part is 20 rows at most."""
+    every = connections(spark, sf_dir)
+    day = every.agg(F.max("trade_date").alias("trade_date"))
+    memes = meme_top(visible(every).join(F.broadcast(day), "trade_date", "left_semi").where(is_meme(F.col("kind"), F.col("meme"))))  # day is one row
     rank = lambda *by: F.row_number().over(Window.orderBy(*by)).alias("rank")
     parts = [
         home_clusters(spark, sf_dir).select(F.lit("cluster").alias("part"), rank(F.desc("heat"), F.desc("first_seen"), "cluster_id"), F.col("cluster_id").alias("ref_id")),
-        meme_rank(spark, sf_dir).select(F.lit("meme"), "rank", F.col("company_id")),
+        day.select(F.lit("trade_date"), F.lit(1), F.unix_date("trade_date")),
+        memes.select(F.lit("meme"), "rank", F.col("company_id")),
         movers(spark, sf_dir).select(F.lit("mover"), "rank", F.col("company_id")),
         recent_connections(spark, sf_dir).select(F.lit("recent"), rank(F.desc("created"), "id", "company_id", "entity_id"), "id"),
     ]
@@ -307,9 +312,9 @@ SELECT cluster_id AS graph_id, id, lane, lane * 200e0 + 100 AS x, floor((CASE WH
 }
 ORACLE_SQL["home"] = (
     _ALL
-    + """, mo AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY meme DESC, score DESC, id, entity_id) AS n FROM v WHERE is_meme AND trade_date = (SELECT max(trade_date) FROM v)),
+    + """, mo AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY meme DESC, score DESC, id, entity_id) AS n FROM v WHERE is_meme AND trade_date = (SELECT d FROM newest)),
 me AS (SELECT row_number() OVER (ORDER BY meme DESC, score DESC, id, entity_id) AS rank, company_id FROM mo WHERE n = 1 QUALIFY rank <= 10)
-SELECT 'cluster' AS part, CAST(row_number() OVER (ORDER BY heat DESC, first_seen DESC, cluster_id) AS INT) AS rank, cluster_id AS ref_id FROM hc UNION ALL SELECT 'meme', CAST(rank AS INT), company_id FROM me
+SELECT 'cluster' AS part, CAST(row_number() OVER (ORDER BY heat DESC, first_seen DESC, cluster_id) AS INT) AS rank, cluster_id AS ref_id FROM hc UNION ALL SELECT 'meme', CAST(rank AS INT), company_id FROM me UNION ALL SELECT 'trade_date', 1, date_diff('day', DATE '1970-01-01', d) FROM newest
 UNION ALL SELECT 'mover', rank, company_id FROM mv UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY created DESC, id, company_id, entity_id) AS INT), id FROM rc"""
 )
 ORACLE_SQL["summary_stage"] = (

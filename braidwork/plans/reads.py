@@ -50,17 +50,17 @@ def cluster_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meme_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best meme connections of the newest day, one a company."""
     c = on_latest_day(visible(connections(spark, sf_dir))).where(is_meme(F.col("kind"), F.col("meme")))
-    return _meme_top(c)
+    return meme_top(c)
 
 
 def weekly_meme(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the 7 days up to the newest."""
     c = visible(connections(spark, sf_dir))
     end = c.agg(F.max("trade_date").alias("end"))
-    return _meme_top(c.join(F.broadcast(end), within_days(F.col("trade_date"), F.col("end"), 7)).where(is_meme(F.col("kind"), F.col("meme"))))
+    return meme_top(c.join(F.broadcast(end), within_days(F.col("trade_date"), F.col("end"), 7)).where(is_meme(F.col("kind"), F.col("meme"))))
 
 
-def _meme_top(c: DataFrame) -> DataFrame:
+def meme_top(c: DataFrame) -> DataFrame:
     order = [F.desc("meme"), F.desc("score"), F.col("id"), F.col("entity_id")]
     ten = top(c, ["company_id"], order, 1).orderBy(*order).limit(10)
     return ten.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "company_id", "id", "meme")  # 10 rows

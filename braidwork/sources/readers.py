@@ -81,15 +81,30 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prompt(markdown: str) -> dict[str, str]:
-    """Version, stage, system and user template of a prompt file."""
-    import re
-
-    head = re.search(r"<!--\s*version:\s*([^\s|]+)\s*\|\s*stage:\s*([^\s|]+)", markdown)
-    system = re.search(r"## SYSTEM(.*?)(?=## TOOL SCHEMA|\Z)", markdown, re.S)
-    user = re.search(r"## USER.*?```(?:\w+)?\n(.*?)```", markdown, re.S)
-    if not (head and system and user):
+    """Version, stage, system and user template of a prompt file: a comment with `name: value` fields between bars, a section
+    SYSTEM, which ends where TOOL SCHEMA begins, and the first fenced block after the heading USER."""
+    fields, section, fence, parts = {}, "", None, {"SYSTEM": [], "USER": []}
+    for line in markdown.splitlines():
+        bare = line.strip()
+        if not fields and bare.startswith("<!--") and "version:" in bare:
+            inside = bare.removeprefix("<!--").split("-->")[0]
+            fields = {k.strip(): v.strip().split(" ")[0] for k, _, v in (f.partition(":") for f in inside.split("|"))}
+        elif bare.startswith("## ") and fence is None:
+            name = bare[3:]
+            if name.startswith(("SYSTEM", "TOOL SCHEMA", "USER")):
+                section = name.split(" ")[0]
+            elif section == "SYSTEM":
+                parts["SYSTEM"].append(line)
+        elif section == "USER" and bare.startswith("```"):
+            if fence is None:
+                fence = "open"
+            elif fence == "open":
+                fence = "closed"
+        elif section == "SYSTEM" or (section == "USER" and fence == "open"):
+            parts[section].append(line)
+    if not fields.get("version") or not fields.get("stage") or not parts["SYSTEM"] or fence != "closed":
         raise ValueError("a prompt needs a header, a SYSTEM section and a fenced USER block")
-    return {"version": head[1], "stage": head[2], "system": system[1].strip(), "user": user[1].strip()}
+    return {"version": fields["version"], "stage": fields["stage"], "system": "\n".join(parts["SYSTEM"]).strip(), "user": "\n".join(parts["USER"]).strip()}
 
 
 def landed(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:

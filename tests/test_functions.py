@@ -41,6 +41,13 @@ def test_titles(spark):
 def test_urls(spark):
     assert one(spark, text.canonical_url(L(" HTTPS://Ex.com/a/?b=2&utm_source=x&a=1&ref=q#f "))) == "https://ex.com/a?a=1&b=2"
     assert one(spark, text.canonical_url(L("no url "))) == "no url"
+    escaped = {
+        "http://a.com:80/뉴스/한글?q=한글&b=": "http://a.com/%EB%89%B4%EC%8A%A4/%ED%95%9C%EA%B8%80?b=&q=%ED%95%9C%EA%B8%80", "http://a.com/%eb%89%b4?x=a%2fb+c~": "http://a.com/%eb%89%b4?x=a%2Fb+c%7E",
+        "http://a.com/a b?k": "http://a.com/a%20b?k=", "http://a.com/?x=100%&%75tm_source=1": "http://a.com/?x=100%25", "http://a.com:8080/😀?a=2&a=1": "http://a.com:8080/%F0%9F%98%80?a=2&a=1",
+        "http://a.com/?a=b=c&&=v": "http://a.com/?=v&a=b%3Dc", "http://x.com/p/%zz": "http://x.com/p/%zz", "https://x.com:443/{a}?": "https://x.com/%7Ba%7D",
+    }
+    df = spark.createDataFrame([(k,) for k in escaped], "u string")
+    assert {r["u"]: r["c"] for r in df.select("u", text.canonical_url(F.col("u")).alias("c")).collect()} == escaped
     assert one(spark, text.canonical_url(L("http://x.y"))) == "http://x.y/"
 
 

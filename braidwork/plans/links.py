@@ -127,7 +127,7 @@ def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections of each cluster that fit into 12 nodes."""
     c = view(spark, sf_dir, "connection").where("status <> 'PENDING' and br >= 50")
-    return kept_connections(c.select(F.col("cluster_id").cast("long"), F.col("id").alias("connection_id"), F.col("br").alias("score"), F.array("company_id", (F.col("entity_id") + 1000000)).alias("node_ids")), 12)
+    return kept_connections(c.select(F.col("cluster_id").cast("long"), F.col("id").alias("connection_id"), F.col("br").alias("score"), F.array(F.col("company_id") + 100000, F.col("entity_id") + 1000000).alias("node_ids")), 12)
 
 
 def vec_top1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from braidwork.plans.catalog import ORACLE_SQL, QUERIES
 
-SLOW = {"alias_recall", "alias_edges", "near_dup_pairs", "title_jaccard", "guardrail_summary", "verbatim_quotes", "graph_walk_top", "recall_merge", "judged_walks", "dedup_survivors", "cluster_assign", "recall_all", "build_connections"}
+SLOW = {"alias_recall", "alias_edges", "near_dup_pairs", "title_jaccard", "guardrail_summary", "verbatim_quotes", "graph_walk_top", "recall_merge", "judged_walks", "dedup_survivors", "cluster_assign", "news_clusters", "recall_all", "build_connections"}
 
 
 def plain(v):

@@ -107,11 +107,15 @@ class Model:
 
 
 def trained(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fits on `per_language` rows of each lang (the least by a hash of the id); the driver gets 1 KB of n-gram bits a row."""
-    least = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
-    rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "lang", "text")
-    keys = stored(rows.select("doc_id", "lang").withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).drop("r").distinct(), "sample")
-    sample = rows.join(keys, ["doc_id", "lang"], "left_semi")
+    """Fits on `per_language` rows of each lang (the least by a hash of the id); the driver gets 1 KB of n-gram bits a row.
+
+    Rows alike in id, lang and text count as one there, so an id that many rows share fills the sample with its different
+    texts, and never brings more rows than that to the driver."""
+    row = ["doc_id", "lang", "_hash"]
+    least = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id", "_hash")
+    rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "lang", "text", F.xxhash64("text").alias("_hash"))
+    keys = stored(rows.select(*row).distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).drop("r"), "sample")
+    sample = rows.join(keys, row, "left_semi").dropDuplicates(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -88,6 +88,18 @@ def test_language(docs, none, rows):
     assert {r["lang_pred"] for r in language.identified(docs, language.trained(none)).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Thousands of rows with one id, alike or not, bring no more than the sample to the driver."""
+    same = spark.range(5000).selectExpr("7L as doc_id", "'the same text' as text", "'en' as lang")
+    other = spark.range(5000).selectExpr("7L as doc_id", "concat('text ', id) as text", "'fr' as lang")
+    rest = spark.range(50).selectExpr("100 + id as doc_id", "concat('text number ', id) as text", "'en' as lang")
+    seen = []
+    fit = language.Model.fit
+    monkeypatch.setattr(language.Model, "fit", lambda x, langs: seen.extend(langs) or fit(x, langs))
+    language.trained(same.union(other).union(rest), per_language=30)
+    assert Counter(seen) == {"en": 30, "fr": 30}
+
+
 def test_language_is_kernel_ridge():
     """Presence rows against n-grams in plain loops; with all rows as landmarks, scores are those of exact kernel ridge."""
     rng = random.Random(6)

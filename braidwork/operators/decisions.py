@@ -71,6 +71,16 @@ def reviewed_status(action: Column) -> Column:
     return F.when(action == "APPROVE", "ACTIVE").when(action == "REJECT", "REJECTED").when(action == "CORRECT", "CORRECTED")
 
 
+def review_outcome(actions: DataFrame) -> DataFrame:
+    """What all reviews (id, action, order, business_relevance, explanation) make of each connection, one after another: the last
+    action's status, the last patches that corrections bring, and `rescored` if any of them approves or corrects. Patches of other
+    actions don't count. One aggregate, so reviews of one connection are never gathered."""
+    fixes = F.col("action") == "CORRECT"
+    patch = lambda c: F.max(F.when(fixes & F.col(c).isNotNull(), F.struct("order", c)))[c].alias(f"new_{c}")
+    out = actions.groupBy("id").agg(F.max_by("action", "order").alias("action"), patch("business_relevance"), patch("explanation"), F.bool_or(F.col("action") != "REJECT").alias("rescored"))
+    return out.select("id", reviewed_status(F.col("action")).alias("status"), "new_business_relevance", "new_explanation", "rescored")
+
+
 def dispatched(matches: DataFrame, past: DataFrame, daily_cap: int = 3) -> DataFrame:
     """(alert_id, cluster_id, connection_id): deliveries from matches (alert_id, cluster_id, matched_at, min_score, include_meme,
     connection_id, connection_type, score, meme) and past deliveries (alert_id, cluster_id, delivered_at).

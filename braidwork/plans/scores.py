@@ -82,12 +82,13 @@ def feedback_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest action on each connection; approved and corrected ones are scored anew as reviewed, 0 reactions count as unknown."""
-    c = view(spark, sf_dir, "connection").withColumn("mr", F.when(F.col("mr") != 0, F.col("mr")))
-    e = table(spark, sf_dir, "events").select((F.col("user_id") * 10 + 1).alias("id"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "APPROVE").when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "click", "CORRECT").alias("action")).where("action is not null")
-    last = e.groupBy("id").agg(F.max_by("action", F.struct("ts", "event_id")).alias("action"))
-    j = with_score(c.join(last, "id"), F.lit(True))
-    return j.select("id", D.reviewed_status(F.col("action")).alias("status"), F.when(F.col("action") != "REJECT", F.col("score")).alias("score"))
+    """Status, business relevance, band, score and explanation of each connection after all its reviews, with the patches of corrections. Once
+    approved or corrected it is scored anew as reviewed, and a reaction of 0 counts as unknown."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") * 10 + 1).alias("id"), F.struct("ts", "event_id").alias("order"), F.when(F.col("event_type") == "purchase", "APPROVE").when(F.col("event_type") == "error", "REJECT").when(F.col("event_type") == "click", "CORRECT").alias("action"), F.when(F.col("event_id") % 2 == 0, (F.col("event_id") * 13 % 101).cast("long")).alias("business_relevance"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("note "), "event_id")).alias("explanation"))
+    o = D.review_outcome(e.where("action is not null"))
+    j = view(spark, sf_dir, "connection").drop("status").join(o, "id")
+    again = j.withColumn("mr", F.when(~F.col("rescored") | (F.col("mr") != 0), F.col("mr"))).withColumn("br", F.coalesce("new_business_relevance", "br"))
+    return with_score(again, F.col("rescored")).select("id", "status", F.col("br").alias("business_relevance"), S.relevance_band(F.col("br")).alias("band"), "score", F.coalesce("new_explanation", F.lit("as built")).alias("explanation"))
 
 
 def alert_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +162,10 @@ SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE CAST(floor(least(100,
     "feedback_promotion": with_views("feedback") + """, n AS (SELECT connection_id, count(*) FILTER (kind = 'UNDERSTOOD') AS u, count(*) FILTER (kind = 'FARFETCHED') AS f, count(*) FILTER (kind = 'WRONG') AS w FROM feedback WHERE kind IS NOT NULL GROUP BY 1)
 SELECT connection_id, u AS understood, f AS farfetched, w AS wrong, CASE WHEN connection_id % 7 = 0 THEN NULL WHEN w >= 3 THEN CASE WHEN connection_id % 7 = 1 THEN NULL ELSE 'PENDING' END WHEN u + f + w >= 20 AND f / (u + f + w) > 0.4 THEN 'DISPUTED' END AS new_status FROM n""",
     "review_apply": with_views("connection") + f""", e AS (SELECT user_id * 10 + 1 AS id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'APPROVE' WHEN 'error' THEN 'REJECT' WHEN 'click' THEN 'CORRECT' END AS action FROM events),
-l AS (SELECT id, arg_max(action, (ts, event_id)) AS action FROM e WHERE action IS NOT NULL GROUP BY id), j AS (SELECT c.* REPLACE (nullif(mr, 0) AS mr), action FROM connection c JOIN l USING (id))
-SELECT id, CASE action WHEN 'APPROVE' THEN 'ACTIVE' WHEN 'REJECT' THEN 'REJECTED' ELSE 'CORRECTED' END AS status, CASE WHEN action <> 'REJECT' THEN {score_sql("mr", "TRUE")} END AS score FROM j""",
+l AS (SELECT id, arg_max(action, (ts, event_id)) AS action, bool_or(action <> 'REJECT') AS again, arg_max(event_id * 13 % 101, (ts, event_id)) FILTER (action = 'CORRECT' AND event_id % 2 = 0) AS nb, arg_max('note ' || event_id, (ts, event_id)) FILTER (action = 'CORRECT' AND event_id % 3 = 0) AS ne FROM e WHERE action IS NOT NULL GROUP BY id),
+j AS (SELECT c.* REPLACE (CASE WHEN again THEN nullif(mr, 0) ELSE mr END AS mr, CAST(coalesce(nb, br) AS BIGINT) AS br), action, again, ne FROM connection c JOIN l USING (id))
+SELECT id, CASE action WHEN 'APPROVE' THEN 'ACTIVE' WHEN 'REJECT' THEN 'REJECTED' ELSE 'CORRECTED' END AS status, br AS business_relevance, CASE WHEN br >= 70 THEN 'HIGH' WHEN br >= 40 THEN 'MEDIUM' WHEN br >= 15 THEN 'LOW' ELSE 'NONE' END AS band,
+  {score_sql("mr", "again")} AS score, coalesce(ne, 'as built') AS explanation FROM j""",
     "alert_dispatch": """WITH m AS (SELECT user_id % 50 AS alert_id, event_id % 97 AS cluster_id, ts + INTERVAL 9 HOUR AS t, ts, user_id % 2 = 0 AS include_meme, event_id AS connection_id, event_id % 3 = 0 OR event_id * 3 % 101 >= 70 AS is_meme, event_id * 7 % 101 AS score FROM events WHERE event_type IN ('view', 'click')),
 past AS (SELECT user_id % 50 AS alert_id, event_id % 97 AS cluster_id, CAST(min(ts) + INTERVAL 9 HOUR AS DATE) AS day FROM events WHERE event_type = 'signup' GROUP BY 1, 2),
 ok AS (SELECT *, row_number() OVER (PARTITION BY alert_id, cluster_id ORDER BY score DESC, connection_id) AS n FROM m WHERE score >= 60 AND (include_meme OR NOT is_meme) AND NOT (hour(t) >= 22 OR hour(t) < 7) AND (alert_id, cluster_id) NOT IN (SELECT (alert_id, cluster_id) FROM past)),

@@ -103,3 +103,22 @@ def test_nearest_vectors(spark, block):
             want[q] = (-k, round(c, 9))
     assert got == want
     assert best_vector(df.limit(0), df).count() == 0 and best_vector(df, df.limit(0)).count() == 0
+
+
+def test_reviews_one_after_another(spark):
+    """Random reviews in any order of rows, against applying them one by one."""
+    from braidwork.operators.decisions import review_outcome
+
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 8), rng.choice(["APPROVE", "REJECT", "CORRECT"]), k, rng.choice([None, rng.randint(0, 100)]), rng.choice([None, f"e{k}"])) for k in range(60)] + [(9, "REJECT", 1, 5, "x")]
+    want = {}
+    for i, action, _, br, text in sorted(rows, key=lambda r: r[2]):
+        s = want.setdefault(i, {"status": None, "new_business_relevance": None, "new_explanation": None, "rescored": False})
+        s["status"] = {"APPROVE": "ACTIVE", "REJECT": "REJECTED", "CORRECT": "CORRECTED"}[action]
+        s["rescored"] |= action != "REJECT"
+        if action == "CORRECT":
+            s["new_business_relevance"] = s["new_business_relevance"] if br is None else br
+            s["new_explanation"] = text or s["new_explanation"]
+    rng.shuffle(rows)
+    got = review_outcome(spark.createDataFrame(rows, "id long, action string, order int, business_relevance long, explanation string").repartition(3))
+    assert {r["id"]: {k: r[k] for k in want[r["id"]]} for r in got.collect()} == want

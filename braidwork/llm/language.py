@@ -19,6 +19,8 @@ SPECTRUM = (1, 2, 3)
 SLOTS = 1 << 13
 #: Training texts of each language, the bound of the sample; landmarks in all.
 PER_LANGUAGE, LANDMARKS = 300, 128
+#: Parts of a language that are ranked apart before the least of all are taken, so that a language of many rows isn't one task's.
+PARTS = 64
 RIDGE = 1e-2
 #: Characters and texts that are worked on at once.
 CHARS, TEXTS = 1 << 19, 256
@@ -112,9 +114,11 @@ def trained(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     Rows alike in id, lang and text count as one there, so an id that many rows share fills the sample with its different
     texts, and never brings more rows than that to the driver."""
     row = ["doc_id", "lang", "_hash"]
-    least = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id", "_hash")
+    order = [F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("doc_id"), F.col("_hash")]
+    part, least = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(PARTS))).orderBy(*order), Window.partitionBy("lang").orderBy(*order)
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "lang", "text", F.xxhash64("text").alias("_hash"))
-    keys = stored(rows.select(*row).distinct().withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).drop("r"), "sample")
+    few = rows.select(*row).distinct().withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_language)
+    keys = stored(few.withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).drop("r"), "sample")
     sample = rows.join(keys, row, "left_semi").dropDuplicates(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

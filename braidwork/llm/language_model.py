@@ -84,6 +84,19 @@ def _cut(part: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(buckets + 1))
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values in order, which of them each element is, and how often each occurs: np.unique in less than half its memory."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    at = np.empty(len(x), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order
+    first = np.flatnonzero(new)
+    return x[first], at, np.diff(first, append=len(x))
+
+
 def _numbers() -> Iterator[int]:
     first = TaskContext.get().partitionId() << 32
     yield from range(first, first + (1 << 31))
@@ -211,16 +224,22 @@ class Grams:
 
     def __init__(self, sizes: np.ndarray, w: np.ndarray, base: int) -> None:
         self.base, self.start = base, np.cumsum(sizes) - sizes
-        v = np.concatenate(([BEGIN], w[:-1]))
-        v[self.start] = BEGIN
-        code, self.pair_of, self.n = np.unique(v * base + w, return_inverse=True, return_counts=True)
-        self.v, self.w = code // base, code % base
-        later = np.ones(len(w), bool)
-        later[self.start] = False
-        self.later = np.nonzero(later)[0]  # tokens with two words before
-        u = v[self.later - 1]
-        code, self.triple_of, self.m = np.unique(self.pair_of[self.later] * base + u, return_inverse=True, return_counts=True)
-        self.owner, self.u = code // base, code % base
+        begins = np.zeros(len(w), bool)
+        begins[self.start] = True
+        code = np.empty(len(w), np.int64)  # arrays as long as the chunk are few at once, and places in it are 32-bit
+        code[1:] = w[:-1]
+        code[self.start] = BEGIN
+        code *= base
+        code += w
+        code, self.pair_of, self.n = _distinct(code)
+        self.v, self.w = np.divmod(code, base)
+        self.later = np.flatnonzero(~begins).astype(np.int32)  # tokens with two words before
+        code = self.pair_of[self.later].astype(np.int64)
+        code *= base
+        code += np.where(begins[self.later - 1], BEGIN, w[self.later - 2])
+        code, self.triple_of, self.m = _distinct(code)
+        self.owner, self.u = np.divmod(code, base)
+        self.owner = self.owner.astype(np.int32)
         self.asked = (self.v != UNKNOWN) & (self.w != UNKNOWN)
         self.asked3 = self.asked[self.owner] & (self.u != UNKNOWN)
 
@@ -244,7 +263,8 @@ class Grams:
 
 def _chunks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[dict, Grams]]:
     for b in batches:
-        for row in b.to_pylist():
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
             yield row, Grams(_unpack(row["sizes"]), _unpack(row["words"]), base)
 
 
@@ -262,12 +282,22 @@ def counted(chunks: DataFrame, base: int, buckets: int) -> DataFrame:
                     yield g.piece(b, row["chunk"], pairs, triples, words, True)
 
     def merge(t: pa.Table) -> pa.Table:
-        cols = {c: [_unpack(x) for x in t.column(c).to_pylist()] for c in "wntum"}
-        v = [_risen(x) for x in t.column("v").to_pylist()]
-        code, at = np.unique(np.concatenate(v) * base + np.concatenate(cols["w"]), return_inverse=True)
-        n = np.bincount(at, np.concatenate(cols["n"])).astype(np.int64)
-        code3, at3 = np.unique(np.repeat(at, np.concatenate(cols["t"])) * base + np.concatenate(cols["u"]), return_inverse=True)
-        m = np.bincount(at3, np.concatenate(cols["m"])).astype(np.int64)
+        flat = lambda c: np.concatenate([_unpack(x).astype(np.int32 if c == "t" else np.int64) for x in t.column(c).to_pylist()])
+
+        def keys(high: np.ndarray, c: str) -> np.ndarray:
+            """high * base + column c, added piece by piece."""
+            high *= base
+            k = 0
+            for x in map(_unpack, t.column(c).to_pylist()):
+                high[k : k + len(x)] += x
+                k += len(x)
+            return high
+
+        code, at, _ = _distinct(keys(np.concatenate([_risen(x) for x in t.column("v").to_pylist()]), "w"))
+        n = np.bincount(at, flat("n")).astype(np.int64)
+        code3, at, _ = _distinct(keys(np.repeat(at, flat("t")).astype(np.int64), "u"))
+        m = np.bincount(at, flat("m")).astype(np.int64)
+        del at
         rare = np.concatenate([np.bincount(x[x <= GOOD_TURING + 1], minlength=GOOD_TURING + 2) for x in (n, m)])
         return _table(_COUNTED, [{"bucket": t.column("bucket")[0].as_py(), "v": _rising(code // base), "w": _pack(code % base), "n": _pack(n), "t": _pack(np.bincount(code3 // base, minlength=len(code))), "u": _pack(code3 % base), "m": _pack(m), "rare": rare.tolist()}])
 
@@ -308,16 +338,18 @@ def weights(grams: DataFrame, counts: Counts, two: Stars, three: Stars, buckets:
     base = counts.base
 
     def sums(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, at = np.unique(key, return_inverse=True)
-        return one, np.bincount(at, x), np.bincount(at, y)
+        one, at, _ = _distinct(key)
+        return one, np.bincount(at, x, len(one)), np.bincount(at, y, len(one))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                v, (w, n, t, u, m) = _risen(row["v"]), (_unpack(row[c]) for c in "wntum")
-                star = two.of(n)
-                word, x1, y1 = sums(v, star, counts.chance(w))
-                pair, x2, y2 = sums(u * base + np.repeat(v, t), three.of(m), np.repeat(star, t))
+                v, star = _risen(row["v"]), two.of(_unpack(row["n"]))
+                word, x1, y1 = sums(v, star, counts.chance(_unpack(row["w"])))
+                t, x2 = _unpack(row["t"]).astype(np.int32), three.of(_unpack(row["m"]))
+                v, y2 = np.repeat(v, t), np.repeat(star, t)
+                pair, x2, y2 = sums(_unpack(row["u"]) * base + v, x2, y2)
+                del v, star, t
                 for pairs, key, x, y in ((False, word, x1, y1), (True, pair, x2, y2)):
                     order, cut = _cut(_dealt(key, buckets), buckets)
                     for k in np.nonzero(np.diff(cut))[0].tolist():
@@ -397,15 +429,18 @@ def scored(chunks: DataFrame, model: DataFrame, counts: Counts, two: Stars, thre
             n[pairs], m[triples] = _unpack(r["n"]), _unpack(r["m"])
             if not row["flag"]:
                 weight[pairs], alone[np.searchsorted(before, words)] = _unpack(r["x"], np.float32), _unpack(r["y"], np.float32)
-        low = np.log10(counts.chance(w))
+        low, real = np.log10(counts.chance(g.w)), counts.of(g.w) > 0
         with np.errstate(divide="ignore", invalid="ignore"):  # what was never seen is not taken
             seen = np.log10(two.of(n) / np.maximum(1, counts.of(g.v)))
-            pair = np.where(n > 0, seen, alone[np.searchsorted(before, g.v)])[g.pair_of] + np.where(n > 0, 0, 1)[g.pair_of] * low
+            token = np.where(n > 0, seen, alone[np.searchsorted(before, g.v)] + low)[g.pair_of]
+            del seen, before, alone
             last = g.pair_of[g.later - 1]  # the pair of the two words before
-            seen3 = np.log10(three.of(m)[g.triple_of] / np.maximum(1, n[last]))
-        token = pair.copy()
-        token[g.later] = np.where(m[g.triple_of] > 0, seen3, weight[last] + pair[g.later])
-        base_score, score, known = (np.add.reduceat(x, g.start) for x in (low, token, (counts.of(w) > 0).astype(np.int64)))
+            seen3 = three.of(m)[g.triple_of]
+            seen3 /= np.maximum(1, n)[last]
+            np.log10(seen3, out=seen3)
+        token[g.later] = np.where((m > 0)[g.triple_of], seen3, weight[last] + token[g.later])
+        del seen3, last
+        base_score, score, known = (np.add.reduceat(x, g.start) for x in (low[g.pair_of], token, real[g.pair_of].astype(np.int64)))
         return pa.table([pa.array(row["ids"], pa.int64()), pa.array([not row["flag"]] * len(sizes)), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), counts.total)), pa.array(base_score), pa.array(score)], names=[c.split()[0] for c in _SCORED.split(", ")])
 
     answers = chunks.mapInArrow(ask, _PIECE).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(answer, _ANSWER)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import columns, free_names, null_safe, partitions_for, stored, table, word_count
+from braidwork.llm.common import columns, free_names, null_safe, partitions_for, scratch, stored, table, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -188,12 +188,14 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     ids are handled as in mixed(); an empty table gives no rows; columns of any name pass through.
     """
     turn, source, id_, to, place = free_names(docs, "turn", "source", "id", "to", "place")
-    plan = mixed(docs, weights, most, shards, seed)
-    whole = F.transform(F.filter("parts", lambda x: 2 * x["words"] >= F.col("size")), lambda x: x["shard"])
-    whole = F.when(F.col("size") > 0, whole).otherwise(F.array(F.pmod("place", F.lit(shards)).cast("int")))
-    times = plan.groupBy("doc_id", "source", "turn").agg(F.count("*").alias("n"), F.flatten(F.collect_list(whole)).alias("all"), F.first("place").alias("place"))
-    each = F.slice("all", 1, F.round(F.size("all") / F.col("n")).cast("int"))
-    times = stored(times.select(F.col("source").alias(source), F.col("turn").alias(turn), F.col("doc_id").alias(id_), each.alias(to), F.col("place").alias(place)).where(F.size(to) > 0), "times")
+    with scratch() as written:
+        plan = mixed(docs, weights, most, shards, seed)
+        whole = F.transform(F.filter("parts", lambda x: 2 * x["words"] >= F.col("size")), lambda x: x["shard"])
+        whole = F.when(F.col("size") > 0, whole).otherwise(F.array(F.pmod("place", F.lit(shards)).cast("int")))
+        times = plan.groupBy("doc_id", "source", "turn").agg(F.count("*").alias("n"), F.flatten(F.collect_list(whole)).alias("all"), F.first("place").alias("place"))
+        each = F.slice("all", 1, F.round(F.size("all") / F.col("n")).cast("int"))
+        times = stored(times.select(F.col("source").alias(source), F.col("turn").alias(turn), F.col("doc_id").alias(id_), each.alias(to), F.col("place").alias(place)).where(F.size(to) > 0), "times")
+        written.remove(times)  # read by the rows that are returned
     keyed = docs.withColumn(turn, F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn(source, F.col("source").cast("string")).withColumn(id_, F.col("doc_id").cast("long"))
     copies = null_safe(keyed, times, [id_, turn, source]).withColumn(to, F.explode(to))
     n = partitions_for(docs.sparkSession)

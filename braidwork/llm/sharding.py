@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import columns, free_names, null_safe, stored, table
+from braidwork.llm.common import columns, free_names, null_safe, scratch, stored, table
 
 SHARDS = 24
 ROUNDS = 8
@@ -112,25 +112,28 @@ def _placed(docs: DataFrame, shards: int, rounds: int) -> DataFrame | None:
     flat = docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(1)).alias("g1"), F.xxhash64(text, F.lit(2)).alias("g2")
     )
-    flat = stored(flat.withColumn("grp", F.struct("g1", "g2", "size")).drop("g1", "g2").withColumn("copy", F.lit(0)), "rows")
-    n = flat.count()
-    if not n:
-        return None
-    cells = max(1, -(-n // CELL_ROWS))
-    # a row's number: gapless over the table, so rows that repeat each other are told apart
-    numbered = ranked(flat.withColumn("cell", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(cells)).cast("int")).withColumn("all", F.lit(0)), ["all"], ["doc_id", "grp"], "row").drop("all", "copy")
-    numbered = stored(numbered, "rows")
-    quota = [n // shards + (s < n % shards) for s in range(shards)]
-    # a table, so that the join below is one of two shuffles, whose hot groups adaptive execution splits
-    multi = stored(numbered.groupBy("grp").agg(F.count("*").alias("members"), F.min("row").alias("seed")).where("members > 1").select("grp", "seed"), "groups")
-    start = F.when(F.col("row") == F.col("seed"), F.pmod("row", F.lit(shards))).otherwise(-1).cast("int")
-    linked = stored(numbered.join(multi, "grp").select("row", "cell", "grp", start.alias("shard")), "labels")
-    linked = stored(propagate(linked, quota, rounds).where("shard >= 0"), "labels")
-    held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
-    ends = list(accumulate(quota[s] - held.get(s, 0) for s in range(shards)))
-    free = numbered.join(linked.select("row"), "row", "left_anti").select("row", "cell").withColumn("all", F.lit(0))
-    free = ranked(free, ["all"], ["row"], "k").select("row", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("k"))).alias("shard"))
-    labels = stored(linked.select("row", "shard").union(free), "labels")
+    with scratch() as written:
+        flat = stored(flat.withColumn("grp", F.struct("g1", "g2", "size")).drop("g1", "g2").withColumn("copy", F.lit(0)), "rows")
+        n = flat.count()
+        if not n:
+            return None
+        cells = max(1, -(-n // CELL_ROWS))
+        # a row's number: gapless over the table, so rows that repeat each other are told apart
+        numbered = ranked(flat.withColumn("cell", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(cells)).cast("int")).withColumn("all", F.lit(0)), ["all"], ["doc_id", "grp"], "row").drop("all", "copy")
+        numbered = stored(numbered, "rows")
+        quota = [n // shards + (s < n % shards) for s in range(shards)]
+        # a table, so that the join below is one of two shuffles, whose hot groups adaptive execution splits
+        multi = stored(numbered.groupBy("grp").agg(F.count("*").alias("members"), F.min("row").alias("seed")).where("members > 1").select("grp", "seed"), "groups")
+        start = F.when(F.col("row") == F.col("seed"), F.pmod("row", F.lit(shards))).otherwise(-1).cast("int")
+        linked = stored(numbered.join(multi, "grp").select("row", "cell", "grp", start.alias("shard")), "labels")
+        linked = stored(propagate(linked, quota, rounds).where("shard >= 0"), "labels")
+        held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+        ends = list(accumulate(quota[s] - held.get(s, 0) for s in range(shards)))
+        free = numbered.join(linked.select("row"), "row", "left_anti").select("row", "cell").withColumn("all", F.lit(0))
+        free = ranked(free, ["all"], ["row"], "k").select("row", F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("k"))).alias("shard"))
+        labels = stored(linked.select("row", "shard").union(free), "labels")
+        for df in (numbered, labels):  # read by the rows that are returned
+            written.remove(df)
     placed = numbered.join(labels, "row")
     return ranked(placed, ["shard"], ["row"], "slot").select("doc_id", "grp", "size", "text_crc32", "shard", "slot")
 

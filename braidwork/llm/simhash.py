@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import bytes_of, columns, components, discard, free_names, partitions_for, stored, table
+from braidwork.llm.common import bytes_of, columns, components, discard, free_names, partitions_for, scratch, stored, table
 
 SEED = 42
 #: A subtree with more fingerprints than this is split among tasks by its next SPLIT_BITS bits.
@@ -333,6 +333,7 @@ def text_nodes(docs: DataFrame, key: str, sha: str, hashed_by: Callable[[Column]
     named = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).withColumn(key, hashed_by(F.col(sha)))
     texts = stored(named.select(F.col(key).alias("k"), F.col(sha).alias("d")).distinct(), "texts")  # copies are one row from here
     clash = stored(texts.join(texts.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k", "left_semi"), "clash")
+    discard(texts)
     if clash.isEmpty():
         return named
     turn, (other,) = F.row_number().over(Window.partitionBy("k").orderBy("d")), free_names(named, "other")
@@ -353,18 +354,21 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, similarity: float = S
     key, sha, id_, again_ = free_names(docs, "key", "sha", "id", "again")
     keyed = text_nodes(docs, key, sha, hashed_by).withColumn(id_, F.col("doc_id").cast("long"))
     texts = keyed.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    roots = near_links(texts, words, similarity, budget)
-    ids = stored(keyed.select(F.col(key).alias("key"), F.col(id_).alias("id")), "ids")
-    sums = ids.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    if roots is not None:
-        sums = sums.join(roots, sums["key"] == roots.node, "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
-        # of a group, the node with the least id stays; nodes without id rank last
-        rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
-        sums = sums.join(sums.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("key")), "key")
-    stay = stored(sums.select(F.col("key").alias(key), F.col("id").alias(again_)), "stay")
-    many = ids.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1")
-    kept = keyed.join(stay, key).where(F.col(id_).eqNullSafe(F.col(again_))).drop(again_)
-    again = stored(many.join(stay, (F.col("key") == F.col(key)) & F.col("id").eqNullSafe(F.col(again_))).select(F.col(key), F.lit(True).alias(again_)), "again")
+    with scratch() as written:
+        roots = near_links(texts, words, similarity, budget)
+        ids = stored(keyed.select(F.col(key).alias("key"), F.col(id_).alias("id")), "ids")
+        sums = ids.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        if roots is not None:
+            sums = sums.join(roots, sums["key"] == roots.node, "left").select("key", "id", "n", F.coalesce("root", "key").alias("root"))
+            # of a group, the node with the least id stays; nodes without id rank last
+            rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+            sums = sums.join(sums.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.key").alias("key")), "key")
+        stay = stored(sums.select(F.col("key").alias(key), F.col("id").alias(again_)), "stay")
+        many = ids.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1")
+        kept = keyed.join(stay, key).where(F.col(id_).eqNullSafe(F.col(again_))).drop(again_)
+        again = stored(many.join(stay, (F.col("key") == F.col(key)) & F.col("id").eqNullSafe(F.col(again_))).select(F.col(key), F.lit(True).alias(again_)), "again")
+        for df in (stay, again):  # read by the rows that are returned
+            written.remove(df)
     if again.isEmpty():
         return kept.select(*columns(docs))
     kept = kept.join(again, key, "left")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -215,6 +216,25 @@ def _may_agree(variants: list[tuple[int, bytes, bytes]], begin: int, end: int) -
     return sorted({v for side in (lefts, rights) for vs in side.values() if len(vs) > 1 for v in vs})
 
 
+def _most_shared(sides: list[bytes]) -> list[int]:
+    """How many first bytes each of the sides shares with another one at most: in order, the nearest are beside each other."""
+    most = REACH - 1
+    number = [int.from_bytes(x.ljust(most, b"\0"), "big") for x in sides]
+    order = sorted(range(len(sides)), key=number.__getitem__)
+    out = [0] * len(sides)
+    for i, j in pairwise(order):
+        k = most - ((number[i] ^ number[j]).bit_length() + 7) // 8
+        out[i], out[j] = max(out[i], k), max(out[j], k)
+    return [min(k, len(x)) for k, x in zip(out, sides, strict=True)]
+
+
+def _may_share(variants: list[tuple[int, bytes, bytes]], some: list[int]) -> list[tuple[int, int, int]]:
+    """(variant, bytes left, bytes right) of those of an anchor's variants that can share a window with another, and the
+    bytes beside the anchor that such a window can cover."""
+    lefts, rights = _most_shared([variants[v][1][::-1] for v in some]), _most_shared([variants[v][2] for v in some])
+    return [(v, a, b) for v, a, b in zip(some, lefts, rights, strict=True) if a + b >= REACH - 1]
+
+
 def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -> list[np.ndarray]:
     """For each variant (anchor, bytes left, bytes right), and each of its windows, the least document that has the window.
 
@@ -225,19 +245,21 @@ def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -
     groups, begin = [], 0
     for i in range(1, len(variants) + 1):
         if i == len(variants) or variants[i][0] != variants[begin][0]:
-            if i - begin > 1 and len(some := _may_agree(variants, begin, i)) > 1:
+            if i - begin > 1 and len(some := _may_share(variants, _may_agree(variants, begin, i))) > 1:
                 groups.append(some)
             begin = i
-    block: list[list[int]] = []
+    block: list[list[tuple[int, int, int]]] = []
     size = 0
 
     def settle() -> None:
         s, where, owner, sign = [], [], [], 258
         for group in block:
-            for v in group:
+            for v, a, b in group:
                 _, left, right = variants[v]
-                where.append(np.arange(len(s), len(s) + len(out[v])))
-                owner.append(np.full(len(out[v]), v))
+                left, right = left[len(left) - a :], right[:b]
+                n = a + b - (REACH - 1) + 1
+                where.append(np.arange(len(s), len(s) + n))
+                owner.append(np.full(n, v))
                 s += [x + 2 for x in left]
                 s.append(sign)
                 s += [x + 2 for x in right]
@@ -261,12 +283,13 @@ def least_documents(variants: list[tuple[int, bytes, bytes]], docs: list[int]) -
         back[k] = least
         at = 0
         for group in block:
-            for v in group:
-                out[v] = back[at : at + len(out[v])]
-                at += len(out[v])
+            for v, a, b in group:
+                n, first = a + b - (REACH - 1) + 1, len(variants[v][1]) - a
+                out[v][first : first + n] = back[at : at + n]
+                at += n
 
     for g in groups:
-        n = sum(len(variants[v][1]) + len(variants[v][2]) + 2 for v in g)
+        n = sum(a + b + 2 for _, a, b in g)
         if block and size + n > SORTED:
             settle()
             block, size = [], 0

@@ -275,6 +275,26 @@ def test_suffix_groups():
         assert suffix_dedup.suffix_groups(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_variants_share_or_stay_out(monkeypatch):
+    """Variants that share half a window but no whole one aren't sorted; all windows still get their least document."""
+    rng = random.Random(3)
+    pool = [bytes(rng.choice((0, 97, 98)) for _ in range(8)) + end for end in (b"\0" * 10, b"ab" * 5, b"\0a" * 5)]
+    side = lambda: rng.choice(pool)[-rng.randint(9, 18) :]
+    variants = sorted({(k, side(), side()[::-1]) for k in range(30) for _ in range(20)}, key=lambda v: v[0])
+    docs = [rng.randrange(1000) for _ in variants]
+    least = defaultdict(lambda: 1000)
+    windows = [[(k, left[i:], right[: suffix_dedup.REACH - 1 - len(left[i:])]) for i in range(len(left) + len(right) - suffix_dedup.REACH + 2)] for k, left, right in variants]
+    for own, d in zip(windows, docs, strict=True):
+        for w in own:
+            least[w] = min(least[w], d)
+    got = suffix_dedup.least_documents(variants, docs)
+    assert [x.tolist() for x in got] == [[least[w] for w in own] for own in windows]
+    assert any(x.tolist() != [d] * len(x) for x, d in zip(got, docs, strict=True))
+    monkeypatch.setattr(suffix_dedup, "suffix_groups", None)
+    apart = [(1, b"abcdefgh" + b"x" * 10, b"q" * 7 + b"1" * 11), (1, b"ABCDEFGH" + b"x" * 10, b"q" * 7 + b"2" * 11)]
+    assert [set(x.tolist()) for x in suffix_dedup.least_documents(apart, [4, 5])] == [{4}, {5}]
+
+
 def test_suffix_dedup(docs, none, rows):
     first = {}
     data = [(i, t.encode()) for i, t in texts(rows)]

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from braidwork.config import FEEDBACK, RATE_LIMITS, REFERENCE_JUDGE, Feedback
 from braidwork.functions.text import has_forbidden_words, normalize_name
-from braidwork.functions.timeutil import quiet_hours, trade_date
+from braidwork.functions.timeutil import fixed_window, quiet_hours, trade_date
 
 REPLACED_EXPLANATION = "설명을 표시할 수 없습니다 — 근거 확인이 필요합니다."
 
@@ -114,7 +114,7 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     seconds, most = F.lit(None).cast("long"), F.lit(None).cast("long")
     for tier, (s, m) in RATE_LIMITS.items():
         seconds, most = F.when(F.col("tier") == tier, s).otherwise(seconds), F.when(F.col("tier") == tier, m).otherwise(most)
-    r = requests.withColumn("bucket", F.floor(F.unix_millis("at") / (seconds * 1000)).cast("long"))
+    r = requests.withColumn("bucket", fixed_window(F.col("at"), seconds))
     w = Window.partitionBy("tier", "ip", "bucket").orderBy("at", "request_id")
     return r.withColumn("nth", F.row_number().over(w).cast("long")).withColumn("allowed", F.when(most.isNull(), F.lit(True)).otherwise(F.col("nth") <= most))
 

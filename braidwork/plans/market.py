@@ -8,7 +8,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from braidwork.config import HOLIDAYS
 from braidwork.functions.scoring import connection_score, half_up, market_reaction
-from braidwork.functions.timeutil import ZONE, day_start, fixed_window, is_pre_market, market_status, quiet_hours, trade_date
+from braidwork.functions.timeutil import ZONE, day_start, fixed_window, instant, is_pre_market, market_status, quiet_hours, trade_date
 from braidwork.operators.matching import as_of, latest
 from braidwork.plans.views import daily_market, table, view, with_views
 
@@ -53,9 +53,10 @@ def last_value_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local and UTC day and their starts, status, quiet hours, before the market, and 5-minute window of each event, moved by
     731 days into a year whose holidays are known."""
-    ts = F.col("ts").cast("timestamp") + F.expr("INTERVAL 731 DAYS")
+    e = table(spark, sf_dir, "events")
+    ts = F.timestamp_micros(F.unix_micros(instant(e, "ts")) + 731 * 86_400_000_000)
     starts = [F.unix_seconds(day_start(ts, zone)).alias(name) for zone, name in ((ZONE, "local_start"), (None, "utc_start"))]
-    return table(spark, sf_dir, "events").select(trade_date(ts, None).alias("utc_day"), *starts, is_pre_market(ts).alias("pre_market"), "event_id", trade_date(ts).alias("local_day"), market_status(ts).alias("status"), quiet_hours(ts).alias("quiet"), fixed_window(ts, 300).alias("bucket"))
+    return e.select(trade_date(ts, None).alias("utc_day"), *starts, is_pre_market(ts).alias("pre_market"), "event_id", trade_date(ts).alias("local_day"), market_status(ts).alias("status"), quiet_hours(ts).alias("quiet"), fixed_window(ts, 300).alias("bucket"))
 
 
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from braidwork.functions import scoring as S
 from braidwork.functions.similarity import edit_similarity
 from braidwork.functions.text import chip_tone
+from braidwork.functions.timeutil import instant
 from braidwork.operators import decisions as D
 from braidwork.plans.market import score_sql
 from braidwork.plans.views import table, view, with_views
@@ -106,7 +107,8 @@ def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T9, D12."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 3).alias("ip"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "signup", "DISCOVERY_REQUEST").when(F.col("event_type") == "view", "SEARCH").when(F.col("event_type") == "click", "ANONYMOUS_READ").alias("tier"))
+    e = table(spark, sf_dir, "events")
+    e = e.select(F.col("event_id").alias("request_id"), (F.col("user_id") % 3).alias("ip"), instant(e, "ts").alias("at"), F.when(F.col("event_type") == "signup", "DISCOVERY_REQUEST").when(F.col("event_type") == "view", "SEARCH").when(F.col("event_type") == "click", "ANONYMOUS_READ").alias("tier"))
     return D.rate_limited(e).where("tier is not null").select("request_id", "nth", "allowed")
 
 

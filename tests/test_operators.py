@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,3 +304,30 @@ def test_switched_off_edges_and_sources(spark):
     f = spark.createDataFrame([(s, k, k, s == 2) for s in (1, 2, 3) for k in range(3)], "source_id long, at long, fetch_id long, failed boolean")
     robots = spark.createDataFrame([(1, True), (3, False)], "source_id long, allowed boolean")
     assert {r["source_id"]: (r["errors"], r["active"]) for r in decisions.source_health(f, 3, robots).collect()} == {1: (0, True), 2: (3, False), 3: (0, False)}
+
+
+def rows_and_moved(spark, make):
+    """(rows of a frame that is made and collected, rows that its stages wrote for later ones)."""
+    sc = spark.sparkContext
+    store, gateway = sc._jsc.sc().statusStore(), sc._gateway
+    seen = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = max([seen().apply(i).stageId() for i in range(seen().size())], default=-1)
+    rows = make().collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = seen()
+    stages = [found.apply(i) for i in range(found.size())]
+    return rows, sum(s.shuffleWriteRecords() + s.outputRecords() for s in stages if s.stageId() > before)
+
+
+def test_copies_of_names_do_not_meet_one_by_one(spark):
+    """40 copies of each name against 60 companies of each kind: the best alias of each pair, and rows between stages follow the copies, not their pairs."""
+    names = ["steel ring", "steel ringx", "blue bolt", "q", "", None]
+    entities = spark.createDataFrame([(i, n, n, n) for i, n in enumerate(names * 40)], "entity_id long, name string, norm string, spelled string")
+    kinds = [["steel ring", "steel"], ["steel", "steel ring"], ["blue bold", "bl"], ["quiet", None], ["zinc", "steel"]]
+    rows = [(1000 - 3 * c + k, c, t, t, t) for c in range(300) for k, t in enumerate(kinds[c % 5] + kinds[c % 5][:1])]
+    aliases = spark.createDataFrame(rows, "alias_id long, company_id long, alias string, alias_norm string, alias_spelled string")
+    columns = ["entity_id", "company_id", "alias_id", "rule", "recall_score"]
+    got, moved = rows_and_moved(spark, lambda: matching.best_aliases(entities, aliases).select(*columns))
+    want = matching.best_per_company(matching.alias_hits(entities, aliases)).select(*columns).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) > 19000 and moved < len(got) / 3

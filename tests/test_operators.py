@@ -331,3 +331,16 @@ def test_copies_of_names_do_not_meet_one_by_one(spark):
     got, moved = rows_and_moved(spark, lambda: matching.best_aliases(entities, aliases).select(*columns))
     want = matching.best_per_company(matching.alias_hits(entities, aliases)).select(*columns).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) > 19000 and moved < len(got) / 3
+
+
+def test_copies_of_texts_do_not_meet_one_by_one(spark):
+    """2,000 texts of four kinds and 100 keywords of five; an id with several rows, and one without a text."""
+    kinds = [["steel ring", None], ["bolt", "steel"], ["x"], [None]]
+    texts = spark.createDataFrame([(i, kinds[i % 4]) for i in range(2000)] + [(1, ["xenon"]), (9000, None)], "text_id long, texts array<string>")
+    words = ["st", "x", "", "teel", None]
+    keywords = spark.createDataFrame([(i, words[i % 5]) for i in range(100)] + [(0, "ring"), (2, "x")], "keyword_id long, keyword_norm string")
+    got, moved = rows_and_moved(spark, lambda: matching.keyword_hits(texts, keywords))
+    have = [(i, t) for i in range(2000) for t in kinds[i % 4] if t is not None] + [(1, "xenon")]
+    asked = [(i, words[i % 5]) for i in range(100) if i % 5 < 4] + [(0, "ring"), (2, "x")]
+    every = {(t, k) for t in [*range(2000), 9000] for k, w in asked if w == ""}
+    assert Counter(map(tuple, got)) == Counter({(t, k) for t, s in have for k, w in asked if w in s} | every) and len(got) > 80000 and moved < len(got) / 3

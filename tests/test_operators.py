@@ -344,3 +344,37 @@ def test_copies_of_texts_do_not_meet_one_by_one(spark):
     asked = [(i, words[i % 5]) for i in range(100) if i % 5 < 4] + [(0, "ring"), (2, "x")]
     every = {(t, k) for t in [*range(2000), 9000] for k, w in asked if w == ""}
     assert Counter(map(tuple, got)) == Counter({(t, k) for t, s in have for k, w in asked if w in s} | every) and len(got) > 80000 and moved < len(got) / 3
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Similar sets by tokens and in small blocks, tiles and bits that many tokens share, against all pairs; titles meet in blocks, not as rows."""
+    rng = random.Random(2)
+    monkeypatch.setattr(matching, "BLOCK_ROWS", (16, 16))
+    monkeypatch.setattr(matching, "TILE", (5, 7))
+    monkeypatch.setattr(matching, "LOOKUPS", 400)
+    letters = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+    base = [rng.sample(letters, rng.choice((1, 2, 5, 20, 40, 300))) for _ in range(60)]
+    sets = dict(enumerate(base + [[*x[len(x) // 4 :], *rng.sample(letters, len(x) // 4), *x[:1]] for x in base for _ in range(2)] + [[], []]))
+    df = spark.createDataFrame(list(sets.items()), "set_id long, tokens array<string>")
+    for floor in (0.3, 0.5, 0.8):
+        real = {(a, b): len({*x} & {*y}) / len({*x} | {*y}) for a, x in sets.items() for b, y in sets.items() if a < b and x and y}
+        want = {k: pytest.approx(v) for k, v in real.items() if v >= floor}
+        for blocks in (True, False, None):
+            out = matching.jaccard_pairs(df, floor, blocks).collect()
+            assert {(r["a"], r["b"]): r["jaccard"] for r in out} == want and len(out) == len(want) > 20
+    assert matching.jaccard_pairs(df.limit(0), 0.5, True).count() == 0
+
+
+def test_frequent_tokens_meet_in_blocks_and_rare_ones_as_rows(spark, monkeypatch):
+    """1,500 titles of the same few letter pairs, 1.1 million pairs that nearly all share a rare token, never meet as rows; titles of many words do."""
+    rng = random.Random(3)
+    letters = [a + b for a in "etaoinsh" for b in "etaoinsh"]
+    for tokens, size, way in ((letters, 20, "_met_by_tokens"), ([str(i) for i in range(30000)], 8, "_met_in_blocks")):
+        sets = [frozenset(rng.sample(tokens, size)) for _ in range(1490)]
+        sets += [frozenset([*sorted(x)[1:], "new"]) for x in sets[:10]]
+        df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "set_id long, tokens array<string>")
+        with monkeypatch.context() as m:
+            m.delattr(matching, way)
+            got = matching.jaccard_pairs(df).collect()
+        want = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, 1500) if 2 * len(x & sets[j]) >= len(x | sets[j])}
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) >= 10

@@ -378,3 +378,19 @@ def test_frequent_tokens_meet_in_blocks_and_rare_ones_as_rows(spark, monkeypatch
             got = matching.jaccard_pairs(df).collect()
         want = {(i, j) for i, x in enumerate(sets) for j in range(i + 1, 1500) if 2 * len(x & sets[j]) >= len(x | sets[j])}
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) >= 10
+
+
+def test_clusters_of_frequent_tokens_meet_in_blocks(spark, monkeypatch):
+    """Titles of the same few letter pairs, a third of them near copies: clusters are the loop's, and no rows of titles meet."""
+    rng, day = random.Random(4), dt.datetime(2026, 1, 5)
+    letters = [a + b for a in "etaoinsh" for b in "etaoinsh"]
+    titles = [rng.sample(letters, 20) for _ in range(200)]
+    titles += [[*x[4:], *rng.sample(letters, 4)] for x in titles[:100]]
+    rng.shuffle(titles)
+    rows = [(i, t, day + dt.timedelta(minutes=20 * i), 1 + i * 7 % 3) for i, t in enumerate(titles)]
+    monkeypatch.delattr(matching, "_met_by_tokens")
+    got = {r["id"]: (r["cluster_id"], r["representative"]) for r in stories.clustered(spark.createDataFrame(rows, "id long, tokens array<string>, published_at timestamp, tier int")).collect()}
+    open_, want = [], {}
+    for i, tokens, at, tier in rows:
+        want[i] = stories.step(open_, {"id": i, "tokens": tokens, "at": at.timestamp(), "tier": tier}, 0.5, 24, 0.88)
+    assert got == {i: (c["id"], c["rep"]) for i, c in want.items()} and len(open_) < 270
